@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import chat, mixing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,52 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.drop("text")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = rows.union(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"))
+    return chat.digest(chat.format_chats(turns))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.page_digests(warc.read_archive(spark, warc.archive(_table(spark, sf_dir, "pages"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_sharding)}
+    return {f.__name__: f for f in (op3_source_mixing, op4_sharding, op7_chat_format, op9_warc)}
+
+
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(s>|/s>|/?INST\]|/?ROLE\]|MSG\]|(?:IMAGE|AUDIO|DOCUMENT) [0-9]+\])', '\1\\\2', 'g') AS text_out,
+         regexp_replace(replace(role, '\', '\\'), '([<\[])(s>|/s>|/?INST\]|/?ROLE\]|MSG\]|(?:IMAGE|AUDIO|DOCUMENT) [0-9]+\])', '\1\\\2', 'g') AS role_out
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(13 + length(role_out) + length(text_out) + CASE WHEN role = 'user' THEN 13 ELSE 9 END))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
 
+_WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat_format": _CHAT, "op9_warc": _WARC}
