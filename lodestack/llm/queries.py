@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, sharding, warc
+from . import chat, mixing, ngram_join, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: 5-word sets, similarity 0.8."""
+    return ngram_join.ngram_classes(_table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
@@ -29,7 +34,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
     turns = rows.union(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"))
     return chat.digest(chat.format_chats(turns))
 
@@ -40,7 +45,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_sharding, op7_chat_format, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_sharding, op7_chat_format, op9_warc)}
 
 
 _CHAT = r"""

@@ -101,7 +101,8 @@ def balanced_cuts(units: DataFrame, n_shards: int) -> list[int]:
 
     parts = summed(units, FIRST_BITS)
     while parts and (split := _to_split(parts, n_shards)):
-        parts = [p for p in parts if p not in set(split)]
+        gone = set(split)
+        parts = [p for p in parts if p not in gone]
         for bits in {p.bits for p in split}:
             at = units.sparkSession.createDataFrame([(p.prefix - (1 << 64 if p.prefix >> 63 else 0),) for p in split if p.bits == bits], "at long")
             parts += summed(units.join(F.broadcast(at), F.shiftrightunsigned("key", 64 - bits) == F.col("at"), "left_semi"), min(64, bits + MORE_BITS))
