@@ -143,7 +143,7 @@ def _verifier(n: int, threshold: float):
                 if b > a:
                     out += within(nodes[a:b], sets[a:b], copies[a:b])
         else:
-            left, right = (np.flatnonzero(group["block"].to_numpy() == k) for k in key[1:])
+            left, right = (np.flatnonzero(group["block"].to_numpy() == k) for k in key[1:3])
             if len(left) and len(right):
                 links = _linked([sets[i] for i in left], [sets[i] for i in right], threshold)
                 both = np.zeros((len(nodes), len(nodes)), bool)
@@ -156,7 +156,7 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
+def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their sets of word
@@ -165,7 +165,8 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     links lead to (null if none has an id).  A text of fewer than ``n`` words has
     one n-gram, all its words; null and wordless texts have none and are linked to
     nothing, their class is their own id.  Rows with one doc_id are separate
-    documents.  Other columns are ignored.  ``recall`` is the least chance that a
+    documents.  Other columns are ignored.  A task compares about ``block_nodes`` texts
+    with as many others.  ``recall`` is the least chance that a
     pair just at the threshold becomes a candidate; higher ones surely do.
     """
     bands, rows = choose_bands(threshold, recall)
@@ -180,7 +181,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     comps = components(banded.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b")))
     found = cut(comps.select("node", F.col("root").alias("comp")).join(nodes.drop("bands", "least"), "node"))
 
-    sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = found.join(sizes, "comp")
     small = found.count()
     packs = max(1, small // 256)
