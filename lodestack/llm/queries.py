@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, ngram_join, quality, sharding, warc
+from . import chat, decontaminate, mixing, ngram_join, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.drop("text")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its edit distance."""
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
+
+
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether rules and perplexity keep it."""
     return quality.assess(_table(spark, sf_dir, "documents")).drop("row_key")
@@ -50,7 +56,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_sharding, op6_kneser_ney_rules, op7_chat_format, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op9_warc)}
 
 
 _CHAT = r"""
