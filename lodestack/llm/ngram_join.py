@@ -210,8 +210,10 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
 
     Rows without doc_id and documents without words are kept as they are.
     """
-    kept = ngram_classes(docs, n, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = first.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return once.dropDuplicates(["doc_id"]).select(*columns).union(docs.where("doc_id is null"))
+    kept = ngram_classes(docs, n, threshold).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    kept = cut(kept)
+    once = docs.join(kept.where("_rows = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    repeated = kept.where("_rows > 1")
+    if not repeated.isEmpty():
+        once = once.union(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return once.union(docs.where("doc_id is null"))
