@@ -1 +1,62 @@
-"""Cleaning a corpus in stages."""
+"""Cleaning, mixing and sharding a corpus in stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept, written as Parquet and read again, so a lost executor costs one stage at
+most.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestack.llm import decontaminate, mixing, ngram_join, quality, sharding
+from lodestack.llm.workspace import fresh_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that rules and perplexity keep."""
+    return quality.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing to target weights", mixed),
+    ("sharding", sharded),
+]
+
+#: SQL can express neither the language model nor the alignments.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = fresh_path(spark, "stage")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
