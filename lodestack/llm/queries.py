@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, ngram_join, quality, sharding, warc
+from . import chat, decontaminate, licenses, mixing, ngram_join, quality, sharding, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(_table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document's lines, paragraphs or whole text state."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
@@ -50,13 +56,22 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns))
 
 
+#: Vocabulary of op8; another file is a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word pieces of every document."""
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), wordpiece.load_pieces(PIECES))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     return warc.page_digests(warc.read_archive(spark, warc.archive(_table(spark, sf_dir, "pages"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op8_wordpiece_counts, op9_warc)}
 
 
 _CHAT = r"""
@@ -89,4 +104,16 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op7_chat_format": _CHAT, "op9_warc": _WARC}
+_TEMPLATES = ", ".join("('{}', ['{}'])".format(n, "', '".join(licenses.template_bigrams(t))) for n, t in licenses.TEMPLATES)
+_LICENSES = rf"""
+WITH templates(name, b) AS (VALUES {_TEMPLATES}),
+texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
+units AS (SELECT r, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n(?: ?\n)+'), [t]))) AS u FROM texts),
+words AS (SELECT r, string_split(trim(regexp_replace(u, '[ \n]+', ' ', 'g')), ' ') AS w, row_number() OVER () AS k FROM units),
+sets AS (SELECT r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words WHERE len(w) > 1),
+found AS (SELECT r, k, name, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets, templates WHERE len(a) BETWEEN 0.6 * len(b) AND 2 * len(b)),
+best AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT k) AS n_matches, arg_min(name, (-dice, name)) AS best_license, round(max(dice), 6) AS best_dice FROM found WHERE dice >= 0.8 - 1e-9 GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, best_license, best_dice FROM texts LEFT JOIN best USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_license_scan": _LICENSES, "op7_chat_format": _CHAT, "op9_warc": _WARC}
