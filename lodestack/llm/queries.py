@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, licenses, mixing, ngram_join, quality, sharding, warc, wordpiece
+from . import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, sharding, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_archive(spark, warc.archive(_table(spark, sf_dir, "pages"))))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, all spans."""
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op8_wordpiece_counts, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op8_wordpiece_counts, op9_warc, op10_pii)}
 
 
 _CHAT = r"""
