@@ -484,7 +484,7 @@ def active_scopes(spark: SparkSession, sf: str) -> DataFrame:
 def activity_feed_top25(spark: SparkSession, sf: str) -> DataFrame:
     e = tb.table(spark, sf, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.concat(F.lit("e"), "event_id").alias("what"))
     o = tb.table(spark, sf, "orders").select(F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("what"))
-    return boards.activity_feed(e, o).select(F.unix_micros("at").alias("micros"), "kind", "what")
+    return boards.activity_feed(e, o).select(F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), "kind", "what")
 
 
 @query(f"WITH {_NOTES} SELECT note_id, round(exp(-greatest({_TODAY} - created, 0) / 14.0::DOUBLE), 6) AS fresh FROM notes")

@@ -66,7 +66,9 @@ def parse_notes(files: DataFrame) -> DataFrame:
 
     def listed(name: str) -> Column:
         raw = F.get_json_object("json", f"$.{name}")
-        many = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, ",") if name == "tags" else F.array(raw))
+        bare = F.split(raw, ",") if name == "tags" else F.array(raw)
+        # a wikilink opens like an array too
+        many = F.when(raw.rlike(r"^\[(?!\[)"), F.coalesce(F.from_json(raw, "array<string>"), bare)).otherwise(bare)
         items = F.transform(many, lambda x: F.regexp_replace(F.trim(x), "^#+", "") if name == "tags" else F.trim(x))
         return F.coalesce(F.when(raw.isNotNull(), F.filter(items, lambda x: x != "")), F.array().cast("array<string>"))
 
