@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .workspace import cut
+from .workspace import column_of, cut, free_name
 
 #: Characters of benchmark items in one broadcast.
 BLOCK_CHARS = 8_000_000
@@ -219,6 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float =
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = cut(find_leaks(docs, benchmark, q, error).select("row_key").distinct())
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return keyed.join(found, F.col("_key") == F.col("row_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, leak = free_name(docs, "_key"), free_name(docs, "_leak")
+    found = cut(find_leaks(docs, benchmark, q, error).select(F.col("row_key").alias(leak)).distinct())
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    return keyed.join(found, F.col(key) == F.col(leak), "left_anti").select(*map(column_of, docs.columns))

@@ -69,7 +69,7 @@ def word_hashes(text: str) -> np.ndarray:
         sums = np.zeros(len(piece) + 1, _U)
         np.cumsum((piece.astype(_U) + _U(1)) * power[: len(piece)], out=sums[1:])
         out.append(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U)))
-    return np.concatenate(out) if len(out) != 1 else out[0] if out else np.zeros(0, _U)
+    return np.concatenate(out) if out else np.zeros(0, _U)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

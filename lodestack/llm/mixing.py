@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .workspace import cut
+from .workspace import column_of, cut, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BUCKET_BITS = 12
@@ -81,7 +81,7 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: floa
     weights = ranked_weights(sizes) if weights is None else weights
     sizes = sizes.join(weights.select(F.col("source").alias("_s"), "weight"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     targets = cut(water_fill(cut(sizes.fillna({"weight": 0.0})), max_epochs))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(F.lit(0)).cast("long")
     targets = targets.select(F.col("source").alias("_s"), "source_size", "target", whole.alias("whole"), F.round(F.col("target") - whole * F.col("source_size")).cast("long").alias("part"))
     same_source = F.col("source").eqNullSafe(F.col("_s"))
 
@@ -119,7 +119,8 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: floa
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: every row of ``docs`` repeated as ``plan_mix`` says, with its own columns."""
     plan = plan_mix(docs, weights, max_epochs, seed).where("copies > 0")
-    plan = plan.groupBy(F.col("unit").alias("_unit"), F.col("source").alias("_from")).agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    taken = keyed.join(plan, (F.col("_key") == F.col("_unit")) & F.col("source").eqNullSafe(F.col("_from")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, unit, source, copies, copy = (free_name(docs, x) for x in ("_key", "_unit", "_from", "_copies", "_copy"))
+    plan = plan.groupBy(F.col("unit").alias(unit), F.col("source").alias(source)).agg(F.max("copies").alias(copies))
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    taken = keyed.join(plan, (F.col(key) == F.col(unit)) & F.col("source").eqNullSafe(F.col(source)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*map(column_of, docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .grams import gram_hashes, mix, word_hashes
-from .workspace import cut
+from .workspace import cut, free_name
 
 #: Nodes and n-grams of a block, about.
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
@@ -210,10 +210,12 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
 
     Rows without doc_id and documents without words are kept as they are.
     """
-    kept = ngram_classes(docs, n, threshold).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    mine, rows = free_name(docs, "_id"), free_name(docs, "_rows")
+    kept = ngram_classes(docs, n, threshold).where("doc_id = class_id").groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias(rows))
     kept = cut(kept)
-    once = docs.join(kept.where("_rows = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
-    repeated = kept.where("_rows > 1")
+    same = F.col("doc_id") == F.col(mine)
+    once = docs.join(kept.where(F.col(rows) == 1), same, "left_semi")
+    repeated = kept.where(F.col(rows) > 1)
     if not repeated.isEmpty():
-        once = once.union(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+        once = once.union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
     return once.union(docs.where("doc_id is null"))

@@ -19,7 +19,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .workspace import cut
+from .workspace import column_of, cut, free_name
 
 #: Prefix bits of the first histogram, and of each refinement.
 FIRST_BITS, MORE_BITS = 12, 4
@@ -125,19 +125,19 @@ def shard(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     With fewer groups than shards some shards stay empty.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    kept = [column_of(c) for c in docs.columns if c.lower() not in added]
+    key, run = free_name(docs, "_key"), free_name(docs, "_run")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*kept, (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_key"))
-    units = cut(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")))
+    rows = docs.select(*kept, (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias(key))
+    units = cut(rows.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("size")))
     cuts = balanced_cuts(units, n_shards)
     # Unsigned order of the hash: flip the sign bit to compare as signed longs.
     signed = [c - (1 << 63) for c in cuts]
-    flipped = F.expr("_key ^ (-9223372036854775807L - 1L)")
+    flipped = F.col(key).bitwiseXOR(F.lit(-(1 << 63)))
     number = F.size(F.filter(F.array(*map(F.lit, signed)).cast("array<long>"), lambda c: c <= flipped)) if signed else F.lit(0)
-    rows = rows.withColumn("shard", number.cast("int")).withColumn("_run", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(RUNS)).cast("int"))
-    counts = rows.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
-    before = counts.select("shard", "_run", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_run")) - F.col("_n")).alias("_before"))
-    run = Window.partitionBy("shard", "_run").orderBy("doc_id", "_key")
-    slot = (F.col("_before") + F.row_number().over(run) - 1).cast("long")
-    out = rows.join(before, ["shard", "_run"]).withColumn("slot", slot)
+    rows = rows.withColumn("shard", number.cast("int")).withColumn(run, F.pmod(F.xxhash64("doc_id", key), F.lit(RUNS)).cast("int"))
+    counts = rows.groupBy("shard", run).agg(F.count("*").alias("_n"))
+    before = counts.select("shard", run, (F.sum("_n").over(Window.partitionBy("shard").orderBy(run)) - F.col("_n")).alias("slot"))
+    in_run = Window.partitionBy("shard", run).orderBy("doc_id", key)
+    out = rows.join(before, ["shard", run]).withColumn("slot", (F.col("slot") + F.row_number().over(in_run) - 1).cast("long"))
     return out.select(*kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

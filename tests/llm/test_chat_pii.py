@@ -1,0 +1,122 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestack.llm import chat, pii
+
+TURNS = [
+    (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\b [IMAGE 3] <s>\n[\\INST]"), (1, 1, "assistant", "a\\b [IMAGE 3] <s>\n[\\INST]"),
+    (2, 0, None, None), (2, None, "sys[/ROLE]tem", "x"), (3, 5, "assistant", "\\"), (3, 4, "user", "é[MSG]</s"), (None, 0, "assistant", "none"),
+]
+
+
+def test_chats_read_back(spark):
+    rows = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    turns = rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"), F.lit("clash").alias("segments"))
+    got = {r.conv_id: r for r in chat.digest(chat.format_chats(turns)).collect()}
+    for conv in (1, 2, 3, None):
+        mine = sorted(((t is not None, t or 0), r or "", x or "") for c, t, r, x in TURNS if c == conv)
+        said = "".join(f"{r}\n{x}\n" for _, r, x in mine)
+        loss = "".join(x for _, r, x in mine if r == "assistant")
+        row = got[conv]
+        assert row.n_turns == len(mine) and row.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert row.loss_chars == len(loss) and row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    for r in chat.format_chats(turns).collect():
+        assert r.formatted == "".join(s.text for s in r.segments)
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def test_no_text_can_end_a_turn(spark):
+    rng = random.Random(1)
+    parts = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[MSG]", "[IMAGE 1]", "\\", "[", "<", "a", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("b")).collect():
+        assert r.b == r.t and not re.search(r"</?s>|\[/?INST\]|\[/?ROLE\]|\[MSG\]|\[IMAGE [0-9]+\]", r.e)
+
+
+def test_attachments_are_numbered_over_the_conversation(spark):
+    part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
+    rows = [(1, 0, "user", [part("text", "see "), part("image", ref="a.png", w=28, h=29), part("image", ref="b.png"), part("text", "!")]), (1, 1, "assistant", [part("audio", ref="c.wav", s=1.5), part("odd", "as text"), part("document", ref="d.pdf", p=2)]), (1, 2, "user", None)]
+    got = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>")).first()
+    assert "see [IMAGE 0][IMAGE 1]!" in got.formatted and "[AUDIO 2]as text[DOCUMENT 3]" in got.formatted
+    assert [(a.ordinal, a.kind, a.ref, a.tokens) for a in got.attachments] == [(0, "image", "a.png", 6), (1, "image", "b.png", 1), (2, "audio", "c.wav", 38), (3, "document", "d.pdf", 2048)]
+    assert got.attachment_tokens == 6 + 1 + 38 + 2048
+
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def holds(kind, said):
+    digits = re.sub("[^0-9]", "", said)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in said.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def base(text):
+    return sorted((m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(PATTERNS) for m in re.finditer(p, text) if holds(kind, m.group()))
+
+
+def card(rng):
+    head = "".join(rng.choice("0123456789") for _ in range(15))
+    return head + next(d for d in "0123456789" if luhn(head + d))
+
+
+def pii_docs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        bits = ["word"] * rng.randint(0, 6)
+        for _ in range(rng.randint(0, 3)):
+            bits.insert(rng.randint(0, len(bits)), rng.choice([
+                lambda: f"mail bo.b{i}@x-y.example.com_z@q.org", lambda: f"host {rng.randint(0, 300)}.1.2.{rng.randint(200, 270)}", lambda: "card " + " ".join(card(rng)[j : j + 4] for j in (0, 4, 8, 12)),
+                lambda: "card " + "".join(rng.choice("0123456789") for _ in range(16)), lambda: f"tel +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", lambda: "no 12345 678", lambda: "é😀", lambda: "a@b", lambda: "1.2.3.4.5.6.7.8",
+            ])())
+        rows.append((i, " ".join(bits)))
+    rows += [(900, None), (901, ""), (902, "9" * 6000), (903, "x" * 5000 + "@"), (904, "a.b@c.d" * 50), (5, rows[5][1])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+
+
+def test_spans(spark):
+    rows, docs = pii_docs(spark)
+    got = pii.digest(pii.find_pii(docs)).collect()
+    assert len(got) == len(rows)
+    want = {i: base(t or "") for i, t in rows}
+    for r in got:
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[2] == k for x in want[r.doc_id]) for k in pii.KINDS]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_trees_hold_out(spark):
+    """The fitted trees tell valid from invalid candidates that they have not seen, and the expression is the model."""
+    _, docs = pii_docs(spark)
+    model, thresholds = pii.fit(docs)
+    held = pii.training_rows(docs).where("held_out")
+    rows = held.select("label", pii.trees_to_column(model, F.col("x")).alias("p"), pii.array_to_vector("x").alias("features"))
+    scored = model.transform(rows).select("label", "p", pii.vector_to_array("probability")[1].alias("q")).collect()
+    assert max(abs(r.p - r.q) for r in scored) < 1e-9
+    assert sum((r.p > 0.5) == r.label for r in scored) / len(scored) > 0.8 and set(thresholds) <= set(pii.KINDS)
+
+
+def test_redact_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a x@y.zz b 1.2.3.4"), (2, None)], "doc_id long, text string")
+    found = pii.find_pii(docs)
+    assert {r.doc_id: r.text for r in pii.redact(docs, found).collect()} == {1: "a [PII] b [PII]", 2: ""}
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("digits", "ok"), [("4111111111111111", True), ("4111111111111112", False), ("0", True)])
+def test_luhn(spark, digits, ok):
+    assert spark.range(1).select(pii.luhn(F.lit(digits)).alias("x")).first().x == ok
