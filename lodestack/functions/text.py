@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-TOKEN = r"([\p{L}\p{N}]+)"
+TOKEN = r"([\p{L}\p{N}\u0300-\u036F]+)"
 
 
 def _fold_tables() -> tuple[str, str]:
@@ -35,8 +35,14 @@ def fold_py(text: str) -> str:
 
 
 def tokens(text: Column) -> Column:
-    """Folded runs of letters and digits; null text has none."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+    """Folded runs of letters and digits; null text has none.
+
+    Only tokens that are not ASCII are folded, which is the slow part; combining
+    marks hold a token together and then go.
+    """
+    raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+    plain = F.transform(raw, lambda t: F.when(F.octet_length(t) > F.length(t), F.translate(t, _ACCENTED, _PLAIN)).otherwise(t))
+    return F.filter(plain, lambda t: t != "")
 
 
 def collapse(text: Column) -> Column:

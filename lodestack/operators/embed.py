@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,12 +22,27 @@ def hash_features(text: str) -> list[str]:
     return [f"w:{w}" for w in words] + [f"w:{a} {b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:{line[i : i + 3]}" for i in range(len(line) - 2)]
 
 
-def hash_vector(text: str, dim: int = DIM) -> np.ndarray:
+class _Hashes(dict):
+    """BLAKE2b-64 of the features seen so far, at most ``most`` at a time."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[feature] = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+        return h
+
+
+def hash_vector(text: str, dim: int = DIM, known: dict[str, int] | None = None) -> np.ndarray:
     """Unit vector of signed feature counts; zero for a text without words."""
+    known = _Hashes() if known is None else known
     out = np.zeros(dim)
-    for feature in hash_features(text):
-        h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-        out[h % dim] += 1 if h >> 63 else -1
+    for feature, n in Counter(hash_features(text)).items():
+        h = known[feature]
+        out[h % dim] += n if h >> 63 else -n
     size = np.linalg.norm(out)
     return out / size if size else out
 
@@ -54,7 +70,12 @@ def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, text) -> (id, embedding) by feature hashing."""
     if dim < 1:
         raise ValueError("dim must be positive")
-    return embed_with(rows, lambda: lambda texts: np.stack([hash_vector(t, dim) for t in texts]))
+
+    def provider() -> Callable[[list[str]], np.ndarray]:
+        known = _Hashes()
+        return lambda texts: np.stack([hash_vector(t, dim, known) for t in texts])
+
+    return embed_with(rows, provider)
 
 
 def http_provider(post: Callable[[list[str]], list[dict]]) -> Callable[[], Callable[[list[str]], np.ndarray]]:
