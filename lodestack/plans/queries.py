@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import Maintenance
 from ..functions import dates as dx, text as tx, vectors as vx
-from ..operators import boards, chunk, embed, filters, gate, graph, hybrid, index, lexical, maintain, vector
+from ..operators import boards, chunk, embed, filters, gate, graph, hybrid, index, lexical, maintain, vector, write
 from . import tables as tb
 from .consolidate import consolidate
 
@@ -511,3 +511,28 @@ def count_active_types(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_NOTES} SELECT day::DATE AS day, count(note_id) AS notes FROM (SELECT unnest(range(DATE '2024-03-01', DATE '2024-04-01', INTERVAL 1 DAY)) AS day) LEFT JOIN notes ON created = day GROUP BY 1", dates=("day",))
 def month_days(spark: SparkSession, sf: str) -> DataFrame:
     return boards.month_days(tb.notes(spark, sf), dt.date(2024, 3, 1))
+
+
+# ------------------------------------------------------------------------ writing
+
+_PLAN = """, fine AS (SELECT * FROM notes WHERE type IN ('semantic', 'episodic') AND scope IN (SELECT 'src' || i FROM range(18) t(i)) AND scope <> 'src3' AND agent <> 'a9' AND NOT coalesce(profile = 'writer' AND doc_id % 2 = 1, false)),
+r AS (SELECT note_id, type, tags, CASE type WHEN 'semantic' THEN 'Semantic' ELSE 'Episodic/' || agent END AS folder,
+  '2024-10-01_' || CASE type WHEN 'semantic' THEN 'INS' ELSE 'MEM' END || '_' || coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'nota') AS name FROM fine),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY note_id) AS n FROM r)
+SELECT note_id, folder, name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS file, array_to_string(['mem/' || type] || tags, ',') AS some_tags FROM k"""
+
+
+@query(f"WITH {_NOTES}{_PLAN}")
+def write_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the accepted candidates would be stored."""
+    judged = gate.evaluate(_candidates(spark, sf), tb.MANIFEST)
+    plan = write.plan_writes(judged, F.lit(TODAY), required=["vault"])
+    kind = F.filter("all_tags", lambda t: t.startswith("mem/") | ~(t.startswith("agent/") | (t == "vault")))
+    return plan.select("note_id", "folder", "file", F.array_join(kind, ",").alias("some_tags"))
+
+
+@query(f"WITH {_NOTES} SELECT '[[d' || c_custkey || '|x]]' AS ref, note_id, title, note_id IS NOT NULL AS found FROM customer LEFT JOIN notes ON note_id = 'd' || c_custkey")
+def note_get(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' numbers as wikilinks to notes, some of which do not exist."""
+    refs = tb.table(spark, sf, "customer").select(F.concat(F.lit("[[d"), "c_custkey", F.lit("|x]]")).alias("ref"))
+    return write.get(tb.notes(spark, sf).select("note_id", "title"), refs)

@@ -374,3 +374,30 @@ def test_manifest():
             Manifest.read(bad)
     with pytest.raises(ConfigError, match="did you mean"):
         m.agent("xx")
+
+
+# writing
+
+
+def test_names_and_tags(spark):
+    from lodestack.operators import write
+
+    day = F.lit(D(2026, 1, 15))
+    assert one(spark, write.note_name(F.lit("semantic"), F.lit("Olá mundo"), day)) == "2026-01-15_INS_ola-mundo"
+    assert one(spark, write.note_name(F.lit("procedural"), F.lit("Deploy"), day)) == "PROC_deploy"
+    assert one(spark, write.note_name(F.lit("episodic"), F.lit(None).cast("string"), F.lit(None).cast("date"))) == "MEM_nota"
+    own = F.array(F.lit("x"), F.lit("mem/semantic"), F.lit("req"))
+    assert one(spark, write.note_tags(F.lit("semantic"), F.lit("a"), ["req"], own)) == ["mem/semantic", "agent/a", "req", "x"]
+
+
+def test_proposals_and_derived_documents(spark):
+    from lodestack.operators import write
+
+    notes, _, _ = vault(spark)
+    changes = table(spark, [("a", "text", "x"), ("nope", "text", "x")], "target string, body string, agent string")
+    assert [r.target for r in write.proposals(changes, notes).collect()] == ["a"]
+    stored = table(spark, [("i", "1"), ("s", "2"), ("l", "3")], "path string, body string")
+    rendered = table(spark, [("i", "1"), ("s", "9"), ("m", "4")], "path string, body string")
+    assert {r.path: r.state for r in write.stale_documents(stored, rendered).collect()} == {"s": "stale", "l": "left over", "m": "missing"}
+    refs = table(spark, [("[[a|b]]",), ("zz",)], "ref string")
+    assert {r.ref: r.found for r in write.get(notes, refs).collect()} == {"[[a|b]]": True, "zz": False}
