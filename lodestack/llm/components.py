@@ -8,7 +8,8 @@ from .workspace import cut
 
 
 def _mins(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Least neighbour of each node, as a table: a join with it shuffles both sides plainly, so AQE may split a hub."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,8 +21,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of them."""
-    moved = edges.join(_mins(edges), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(_mins(edges).select("u", F.col("m").alias("v"))).distinct()
+    edges = cut(edges)
+    mins = _mins(edges)
+    moved = edges.join(mins, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(mins.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
