@@ -189,7 +189,11 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     one = F.col("blocks") == 1
     placed = placed.withColumn("block", F.when(one, 0).otherwise(F.pmod(F.xxhash64("node"), "blocks")).cast("int"))
     placed = placed.withColumn("home", F.when(one, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp")))
-    read = texts.withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text").join(placed, "row_key")
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    # Rows repeated in both columns share a key; one of them is read, and a hot one shrinks before the shuffle.
+    if sketched.where("node is not null").join(found.select("row_key"), "row_key", "left_semi").count() > small:
+        keyed = keyed.dropDuplicates(["row_key"])
+    read = keyed.join(placed, "row_key")
     tiles = read.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("home", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), one.alias("settled"), "comp", "node", "block", "copies", "text")
     linked = tiles.groupBy("home", "x", "y", "settled").applyInPandas(_verifier(n, threshold), "node binary, links long, head binary, settled boolean")
     linked = cut(linked)

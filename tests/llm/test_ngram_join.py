@@ -69,6 +69,13 @@ def test_equals_all_pairs(spark, block):
     assert sum(r.n_links > 0 for r in got) > 20
 
 
+def test_one_row_repeated_often(spark):
+    rows = [*corpus()[:20], *[(None, "a row without id " * 3)] * 60, *[(900, "one row with an id that comes often")] * 60, (901, "one row with an id that comes often")]
+    got = ngram_classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(map(tuple, got), key=key) == brute(rows)
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("x"), "_id": F.lit(1), "text2": F.col("text")})
