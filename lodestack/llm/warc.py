@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .workspace import fresh_path
+from .workspace import cut, fresh_path
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 HEADERS = [x.split()[0] for x in SCHEMA.split(", ")][:-1]
@@ -314,7 +314,8 @@ def records(pages: DataFrame, least_bytes: int = 1000, date: str = "1970-01-01T0
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_digest", F.sha1(F.col("html"))).withColumn("payload_length", F.octet_length("html").cast("long"))
     first = rows.where(F.col("payload_length") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "payload_digest", "left")
+    # Written out first, so that the join shuffles both sides plainly and AQE may split a hot payload.
+    rows = rows.join(cut(first), "payload_digest", "left")
     revisit = F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False))
     return rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), _record_id(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), F.when(revisit, _record_id(F.col("first"))).alias("refers_to"), "payload_digest", "payload_length", F.when(~revisit, F.encode("html", "UTF-8")).alias("payload"))
 
