@@ -15,7 +15,7 @@ from lodestack.llm.workspace import fresh_path
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that rules and perplexity keep."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether rules and perplexity keep it."""
-    return quality.assess(_table(spark, sf_dir, "documents")).drop("row_key")
+    return quality.assess(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
