@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import CONFIDENCE, Manifest
+from ..config import CONFIDENCE, Maintenance, Manifest
+from .embed import hash_embed
+from .vector import similar_pairs
 
 KNOWLEDGE = ("semantic", "procedural")
 ATOMIC_CHARS, ATOMIC_SECTIONS = 4000, 2
@@ -68,6 +70,28 @@ def _shared_rules(manifest: Manifest, level: str = "reject") -> list[tuple[str,
     ]
 
 
+def near_copies(notes: DataFrame, threshold: float = Maintenance().dedup_similarity) -> DataFrame:
+    """(note_id, similar) of knowledge notes with an earlier near copy in the same type and scope.
+
+    ``notes`` has note_id, seq (unique; stored notes have lower ones than candidates),
+    type, scope and body.  Near means a cosine above the threshold.  ``similar`` names
+    the first note of each distinct body, so that many copies do not become many pairs.
+    """
+    known = notes.where(F.col("type").isin(*KNOWLEDGE) & (_text("scope") != ""))
+    known = known.select("note_id", F.col("seq").cast("long").alias("seq"), "type", _text("scope").alias("scope"), F.coalesce("body", F.lit("")).alias("body"))
+    known = known.withColumn("hash", F.sha2("body", 256))
+    first = known.groupBy("type", "scope", "hash").agg(F.min("seq").alias("first"))
+    placed = known.join(first, ["type", "scope", "hash"])
+    heads = placed.where("seq = first").select(F.col("seq").alias("id"), "note_id", "type", "scope", F.col("body").alias("text"))
+    vectors = hash_embed(heads.select("id", "text")).join(heads.select("id", F.concat_ws("/", "type", "scope").alias("kind"), "scope"), "id")
+    pairs = similar_pairs(vectors.select("id", "kind", "scope", "embedding"), threshold).select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).toDF("first", "other")
+    near = placed.select("note_id", "seq", "first").join(both, "first").where("other < seq").select("note_id", F.col("other").alias("id"))
+    near = near.union(placed.where("seq > first").select("note_id", F.col("first").alias("id")))
+    names = heads.select("id", F.col("note_id").alias("name"))
+    return near.join(names, "id").groupBy("note_id").agg(F.array_sort(F.collect_set("name")).alias("similar"))
+
+
 def evaluate(candidates: DataFrame, manifest: Manifest, near: DataFrame | None = None) -> DataFrame:
     """``candidates`` with findings and accepted.
 

@@ -449,6 +449,34 @@ def lint_summary(spark: SparkSession, sf: str) -> DataFrame:
     return gate.totals(gate.lint(n, tb.MANIFEST)).select("check", "notes")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidates in order of doc_id, each compared with those before it."""
+    c = _candidates(spark, sf)
+    return gate.evaluate(c, tb.MANIFEST, gate.near_copies(c.withColumn("seq", F.col("doc_id"))))
+
+
+@query()
+def gate_rules_near(spark: SparkSession, sf: str) -> DataFrame:
+    """gate_rules with the duplicate check, which its SQL leaves out."""
+    return gate.long_form(_judged(spark, sf)).select("note_id", "check")
+
+
+@query()
+def gate_totals_near(spark: SparkSession, sf: str) -> DataFrame:
+    return gate.totals(_judged(spark, sf)).select("check", "notes")
+
+
+@query(f"""{tb.views('notes', 'citations')}, r AS (SELECT note_id, unnest(list_filter([CASE WHEN scope IN ('src18', 'src19') THEN 'scope_unknown' END, CASE WHEN agent = 'a9' THEN 'agent_unknown' END,
+  CASE WHEN profile = 'writer' AND agent <> 'a9' AND doc_id % 2 = 1 THEN 'profile_unknown' END, CASE WHEN scope = 'src3' THEN 'denylist_tags' END, CASE WHEN type = 'episodic' THEN 'episodic_agent_mismatch' END,
+  CASE WHEN type IN ('semantic', 'procedural') AND note_id NOT IN (SELECT source FROM citations UNION ALL SELECT target FROM citations) THEN 'orphan_note' END], lambda x: x IS NOT NULL)) AS "check" FROM notes) SELECT "check", count(*) AS notes FROM r GROUP BY 1""")
+def lint_summary_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """lint_summary with orphans looked for among the citations."""
+    n = tb.notes(spark, sf).withColumns({"keys": F.array().cast("array<string>"), "malformed": F.lit(False)})
+    cited = tb.citations(spark, sf)
+    linked = cited.select(F.col("source").alias("note_id")).union(cited.select("target"))
+    return gate.totals(gate.lint(n, tb.MANIFEST, linked)).select("check", "notes")
+
+
 # ------------------------------------------------------------------------ boards
 
 
@@ -525,7 +553,16 @@ SELECT note_id, folder, name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.m
 @query(f"WITH {_NOTES}{_PLAN}")
 def write_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Where the accepted candidates would be stored."""
-    judged = gate.evaluate(_candidates(spark, sf), tb.MANIFEST)
+    return _placed(gate.evaluate(_candidates(spark, sf), tb.MANIFEST))
+
+
+@query()
+def write_plan_near(spark: SparkSession, sf: str) -> DataFrame:
+    """write_plan without near copies, which its SQL leaves in."""
+    return _placed(_judged(spark, sf))
+
+
+def _placed(judged: DataFrame) -> DataFrame:
     plan = write.plan_writes(judged, F.lit(TODAY), required=["vault"])
     kind = F.filter("all_tags", lambda t: t.startswith("mem/") | ~(t.startswith("agent/") | (t == "vault")))
     return plan.select("note_id", "folder", "file", F.array_join(kind, ",").alias("some_tags"))
