@@ -99,6 +99,16 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("r", rank).where("r <= 5").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def bm25_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth document's whole text as a query against all documents."""
+    docs = _docs(spark, sf)
+    words = docs.select("chunk_id", tx.tokens(F.col("text")).alias("t"))
+    asked = words.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.explode("t").alias("term"))
+    found = lexical.bm25_batch(lexical.postings(docs), words.select("chunk_id", F.size("t").alias("length")), asked, 5)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # -------------------------------------------------------------------- vectors
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -255,6 +265,11 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
     return tb.table(spark, sf, "documents").select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'nota') AS slug FROM documents")
+def slugs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return tb.table(spark, sf, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     d = tb.table(spark, sf, "documents")
