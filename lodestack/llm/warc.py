@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .workspace import cut, fresh_path
+from .workspace import cut, fresh_path, open_fs
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 HEADERS = [x.split()[0] for x in SCHEMA.split(", ")][:-1]
@@ -46,13 +46,6 @@ BATCH_BYTES = 8 << 20
 PEEK = 4096
 
 
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or of a plain local path."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = f"file://{path[5:]}"
-    return fs.FileSystem.from_uri(path)
-
-
 # ---------------------------------------------------------------- record format
 
 

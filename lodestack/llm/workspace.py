@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -37,6 +38,30 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def table(df: DataFrame, kind: str = "table") -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back; smaller than a checkpoint."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a table of statistics may have to be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(rows: DataFrame, stats: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join a table of statistics, broadcast if it is counted to be small and shuffled otherwise."""
+    stats = cut(stats)
+    return rows.join(F.broadcast(stats) if stats.count() <= BROADCAST_ROWS else stats, on, how)
+
+
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI or of a plain local path."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path)
+
+
 def slices(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
