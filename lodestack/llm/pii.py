@@ -275,8 +275,9 @@ def training_rows(docs: DataFrame, sample_docs: int = 2_000, sample_rows: int =
     found = rows.select("*", F.explode(F.flatten(_candidates(_proposed(F.col("t"))))).alias("c")).where((F.col("c.start") < F.col("to")) & (F.col("from") < F.col("c.end")))
     exact = (F.col("c.start") == F.col("from")) & (F.col("c.end") == F.col("to"))
     same = F.col("c.kind") == F.col("planted")
-    # part of an item, or more than it, is neither right nor wrong
-    return found.where(exact | ~same).select("c.kind", "c.x", same.cast("int").alias("label"), (F.pmod("h", F.lit(4)) == 0).alias("held_out"))
+    inside = (F.col("from") <= F.col("c.start")) & (F.col("c.end") <= F.col("to"))
+    # part of an item of its kind, or more than an item, is neither right nor wrong
+    return found.where(exact | (inside & ~same)).select("c.kind", "c.x", same.cast("int").alias("label"), (F.pmod("h", F.lit(4)) == 0).alias("held_out"))
 
 
 def _candidates(proposed: dict[str, Column]) -> Column:
@@ -321,9 +322,8 @@ def fit(docs: DataFrame, precision: float = 0.98, sample_docs: int = 2_000, samp
         n = right = 0
         for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):
             n, right = n + r["n"], right + r["right"]
-            if right / n < precision:
-                break
-            thresholds[kind] = max(r["bin"] / 50, 0.5)
+            if right / n >= precision:
+                thresholds[kind] = max(r["bin"] / 50, 0.5)
     return model, thresholds
 
 
