@@ -3,7 +3,9 @@
 A benchmark item of m characters leaks into a document if some region of it is
 within k = error * m edits of the item.  Such a region keeps at least
 m + 1 - q * (k + 1) of the item's q-grams, and their diagonals (place in the
-document less place in the item) differ by at most k.  So q-grams of a document
+document less place in the item) differ by at most k.  The bound says something only
+where q <= m / (k + 1), so short items get shorter q-grams than others, down to the
+whole item where no edit is allowed; there is an index for each q.  q-grams of a document
 that the items have too are counted in overlapping diagonal bands, twice as wide
 as the budget allows; only bands that reach the bound are aligned, with edit
 distance restricted to the band.
@@ -21,10 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .workspace import column_of, cut, free_name
-
 #: Characters of benchmark items in one broadcast.
 BLOCK_CHARS = 8_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -57,9 +58,14 @@ def budget(length: int, error: float) -> int:
     return int(error * length)
 
 
+def gram_size(length: int, edits: int, most: int) -> int:
+    """The largest q up to ``most`` for which a region within the budget surely shares a q-gram; 0 if there is none."""
+    return min(most, length // (edits + 1))
+
+
 def bound(length: int, q: int, edits: int) -> int:
-    """q-grams that a region within the budget shares at least (at least one)."""
-    return max(1, length + 1 - q * (edits + 1))
+    """q-grams that a region within the budget shares at least."""
+    return length + 1 - q * (edits + 1)
 
 
 def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int] | None:
@@ -91,13 +97,28 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, e
     return (int(row[best]), min(len(region), low + best + len(item))) if row[best] <= edits else None
 
 
-class ItemIndex:
-    """q-grams of benchmark items, sorted by hash, with a table of their leading bits in front."""
+class Items:
+    """Benchmark items by the size of the q-grams that find them."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, error: float) -> None:
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, text in items:
+            points = _points(normalise(text or ""))
+            if size := gram_size(len(points), budget(len(points), error), q):
+                by_size.setdefault(size, []).append((i, points))
+        self.indexes = [ItemIndex(mine, size, error) for size, mine in sorted(by_size.items())]
+
+    def leaks(self, text: str) -> list[tuple[int, int, int]]:
+        """(item id, distance, end in the normalised text) of the best alignment of each item that leaks."""
+        points = _points(normalise(text))
+        return [x for index in self.indexes for x in index.leaks(points)]
+
+
+class ItemIndex:
+    """q-grams of benchmark items (none shorter than q), sorted by hash, with a table of their leading bits in front."""
+
+    def __init__(self, texts: list[tuple[int, np.ndarray]], q: int, error: float) -> None:
         self.q = q
-        texts = [(i, _points(normalise(t or ""))) for i, t in items]
-        texts = [(i, t) for i, t in texts if len(t) >= q]
         self.ids = [i for i, _ in texts]
         self.points = [t for _, t in texts]
         self.length = np.array([len(t) for _, t in texts], np.int64)
@@ -149,66 +170,58 @@ class ItemIndex:
         stride = self.edits[item] + 1
         band = (place.astype(np.int64) - within + self.length[item]) // stride
         band, item2 = np.concatenate([band, band - 1]), np.concatenate([item, item]).astype(np.int64)
-        found, counts = self._bands(item2, band)
-        for (i, b), n in zip(found, counts, strict=True):
-            # repeated q-grams hit more than once: both sides' distinct places must reach the bound
-            if n >= self.bound[i] and self._distinct((item2 == i) & (band == b), place, within) >= self.bound[i]:
-                first = int(b * (self.edits[i] + 1) - self.length[i])
-                yield int(i), first, first + 2 * int(self.edits[i] + 1) - 1
-
-    @staticmethod
-    def _distinct(here: np.ndarray, place: np.ndarray, within: np.ndarray) -> int:
-        at = np.flatnonzero(here) % len(place)
-        return min(len(np.unique(place[at])), len(np.unique(within[at])))
-
-    @staticmethod
-    def _bands(item: np.ndarray, band: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
         base = int(band.min())
         span = int(band.max()) - base + 1
-        keys, counts = np.unique(item * span + (band - base), return_counts=True)
-        return [(int(k // span), int(k % span) + base) for k in keys], counts
+        keys = item2 * span + (band - base)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        owner = keys[edges[:-1]] // span
+        for at in np.flatnonzero(np.diff(edges) >= self.bound[owner]).tolist():
+            i, b = int(owner[at]), int(keys[edges[at]] % span) + base
+            hit = order[edges[at] : edges[at + 1]] % len(place)
+            # repeated q-grams hit more than once: both sides' distinct places must reach the bound
+            if min(len(np.unique(place[hit])), len(np.unique(within[hit]))) >= self.bound[i]:
+                first = int(b * (self.edits[i] + 1) - self.length[i])
+                yield i, first, first + 2 * int(self.edits[i] + 1) - 1
 
-    def leaks(self, text: str) -> list[tuple[int, int, int]]:
-        """(item index, distance, end in the normalised text) of the best alignment of each item that leaks."""
-        points = _points(normalise(text))
+    def leaks(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item id, distance, end in the text) of the best alignment of each item that leaks; the first of equals."""
         best: dict[int, tuple[int, int]] = {}
         if len(points) < self.q:
             return []
         for i, low, high in self.regions(points):
-            edits = int(self.edits[i])
+            edits = best[i][0] - 1 if i in best else int(self.edits[i])
+            if edits < 0:
+                continue
             start = max(0, low)
             region = points[start : max(start, high + int(self.length[i]))]
-            found = banded_distance(self.points[i], region, low - start, high - start, edits)
-            if found and (i not in best or found < best[i]):
+            if found := banded_distance(self.points[i], region, low - start, high - start, edits):
                 best[i] = found[0], found[1] + start
-        return [(i, *best[i]) for i in sorted(best)]
+        return [(self.ids[i], *best[i]) for i in sorted(best)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, row_key, item_id, distance, end for each benchmark item found in each document.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; ``end`` is the end
-    of the best region in the normalised text.  Items shorter than ``q`` characters
-    cannot be found and are left out; null texts hold and are nothing.  Equal items
+    of the best region in the normalised text.  Items of every length are found, the
+    shortest (no edit allowed) where they occur letter for letter; null and blank items
+    are in no text, null texts hold none.  ``error`` is below one.  Texts of any length
+    are searched whole.  Equal items
     are found alike.  Repeated documents give repeated rows.  Row keys hash doc_id
     and text.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text").where("text is not null")
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows], q, error))
+    for index in _blocks(benchmark, q, error, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             items = index.value
             for batch in batches:
                 found: list[tuple] = []
                 for doc, key, text in zip(batch.column("doc_id"), batch.column("row_key"), batch.column("text"), strict=True):
-                    found += [(doc.as_py(), key.as_py(), items.ids[i], d, end) for i, d, end in items.leaks(text.as_py())]
+                    found += [(doc.as_py(), key.as_py(), *x) for x in items.leaks(text.as_py())]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "row_key", "item_id", "distance", "end"])
 
@@ -217,9 +230,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float =
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    key, leak = free_name(docs, "_key"), free_name(docs, "_leak")
-    found = cut(find_leaks(docs, benchmark, q, error).select(F.col("row_key").alias(leak)).distinct())
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return keyed.join(found, F.col(key) == F.col(leak), "left_anti").select(*map(column_of, docs.columns))
+def _blocks(benchmark: DataFrame, q: int, error: float, block_chars: int) -> Iterator[Broadcast]:
+    """The items, in broadcasts of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // block_chars) or 1
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], q, error))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item.
+
+    Rows are judged where they lie and pass on or not, without a shuffle or a join.
+    """
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    for index in _blocks(benchmark, q, error, block_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            items = index.value
+            for batch in batches:
+                texts = batch.column(at)
+                yield batch.filter(pa.array([not (t.is_valid and items.leaks(t.as_py())) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -56,7 +56,7 @@ def test_equals_brute_force(spark, blocks):
     for i, body in docs:
         for k, item in items:
             n = dc.normalise(item or "")
-            if len(n) >= 8 and body is not None and (x := distance(n, dc.normalise(body))) <= dc.budget(len(n), 0.1):
+            if n and body is not None and (x := distance(n, dc.normalise(body))) <= dc.budget(len(n), 0.1):
                 want.append((i, k, x))
                 dirty.add((i, body))
     assert got == sorted(want) and len(got) > 10
@@ -65,6 +65,44 @@ def test_equals_brute_force(spark, blocks):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if (i, t) not in dirty)
 
 
+@pytest.mark.parametrize("length", range(1, 61))
+def test_items_of_every_length_are_found(length):
+    """Evenly spaced edits inside the budget hide nothing; the index equals a search of all regions."""
+    rng = random.Random(length)
+    letters = "abcdefghijklmnop"
+    for trial in range(12):
+        item = "".join(rng.choice(letters) for _ in range(length))
+        edits = dc.budget(length, 0.1) + (trial % 4 == 3)  # every fourth goes over
+        chars = list(item)
+        for e in range(edits):
+            at = (2 * e + 1) * length // (2 * edits)
+            chars[at] = ("#", "", chars[at] + "#")[(trial + e) % 3]
+        around = ["".join(rng.choice("qrstuvwxyz") for _ in range(40)) for _ in range(2)]
+        text = around[0] + "".join(chars) + around[1]
+        want = distance(item, text)
+        got = dc.Items([(1, item), (2, ""), (3, "  ")], 8, 0.1).leaks(text)
+        if want <= dc.budget(length, 0.1):
+            assert [(i, d) for i, d, _ in got] == [(1, want)]
+        else:
+            assert not got
+
+
+def test_a_long_text_that_quotes_much_takes_linear_time(spark):
+    import time
+
+    items = [(i, text(12)) for i in range(40)]
+    parts = [items[i % 40][1] + " " + text(3) for i in range(6000)]
+    seconds = []
+    for n in (1500, 6000):
+        body, began = " ".join(parts[:n]), time.time()
+        found = dc.Items(items, 8, 0.1).leaks(body)
+        seconds.append(time.time() - began)
+        assert {i for i, d, _ in found if d == 0} == set(range(40))
+    assert seconds[1] < 10 * seconds[0] + 1
+    docs = spark.createDataFrame([(1, body), (2, "z" * 1_000_000), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in dc.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
