@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .grams import gram_hashes, mix, word_hashes
-from .workspace import cut, free_name
+from .workspace import cut, free_name, small
 
 #: Nodes and n-grams of a block, about.
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
@@ -156,23 +156,16 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
+def _row_key() -> Column:
+    """128 bits of doc_id and text."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.col("text"))))
 
-    Two documents are linked if the Jaccard similarity of their sets of word
-    n-grams is at least ``threshold``.  n_links counts the documents that a
-    document is linked to, copies included; class_id is the least doc_id that
-    links lead to (null if none has an id).  A text of fewer than ``n`` words has
-    one n-gram, all its words; null and wordless texts have none and are linked to
-    nothing, their class is their own id.  Rows with one doc_id are separate
-    documents.  Other columns are ignored.  A task compares about ``block_nodes`` texts
-    with as many others.  ``recall`` is the least chance that a
-    pair just at the threshold becomes a candidate; higher ones surely do.
-    """
+
+def _classified(docs: DataFrame, n: int, threshold: float, recall: float, block_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` as (doc_id, row_key, node), and every node as (node, copies, least, links, root)."""
     bands, rows = choose_bands(threshold, recall)
-    row_key = F.xxhash64("doc_id", "text").alias("row_key")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = texts.select("doc_id", row_key, "text").mapInArrow(_sketcher(n, bands, rows), "doc_id long, row_key long, node binary, grams int, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = texts.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(_sketcher(n, bands, rows), "doc_id long, row_key binary, node binary, grams int, bands array<long>")
     sketched = cut(sketched)
     nodes = cut(sketched.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
 
@@ -181,17 +174,18 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     comps = components(banded.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b")))
     found = cut(comps.select("node", F.col("root").alias("comp")).join(nodes.drop("bands", "least"), "node"))
 
+    # Written out first, so that the join shuffles both sides plainly and AQE may split a large component.
     sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = found.join(sizes, "comp")
-    small = found.count()
-    packs = max(1, small // 256)
+    placed = found.join(cut(sizes), "comp")
+    few, grams = found.agg(F.count("*"), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    packs = max(1, few // 256, grams // BLOCK_GRAMS)
     # Components of one block share packs; the others get a tile for every two blocks.
     one = F.col("blocks") == 1
     placed = placed.withColumn("block", F.when(one, 0).otherwise(F.pmod(F.xxhash64("node"), "blocks")).cast("int"))
     placed = placed.withColumn("home", F.when(one, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp")))
-    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    keyed = texts.select(_row_key().alias("row_key"), "text")
     # Rows repeated in both columns share a key; one of them is read, and a hot one shrinks before the shuffle.
-    if sketched.where("node is not null").join(found.select("row_key"), "row_key", "left_semi").count() > small:
+    if sketched.where("node is not null").join(found.select("row_key"), "row_key", "left_semi").count() > few:
         keyed = keyed.dropDuplicates(["row_key"])
     read = keyed.join(placed, "row_key")
     tiles = read.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("home", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), one.alias("settled"), "comp", "node", "block", "copies", "text")
@@ -203,23 +197,48 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     counted = counted.join(tied, "node", "left").select("node", "links", F.coalesce("root", "head", "node").alias("root"))
     ids = nodes.select("node", "copies", "least")
     counted = cut(counted.join(ids, "node", "right").withColumn("root", F.coalesce("root", "node")))
+    return sketched.select("doc_id", "row_key", "node"), counted
+
+
+def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
+
+    Two documents are linked if the Jaccard similarity of their sets of word
+    n-grams is at least ``threshold``.  n_links counts the documents that a
+    document is linked to, copies included; class_id is the least doc_id that
+    links lead to (null if none has an id).  A text of fewer than ``n`` words has
+    one n-gram, all its words; null and wordless texts have none and are linked to
+    nothing, their class is their own id.  Rows with one doc_id are separate
+    documents.  Other columns are ignored.  A task compares about ``block_nodes`` texts
+    with as many others.  ``recall`` is the least chance that a
+    pair just at the threshold becomes a candidate; higher ones surely do.
+    """
+    sketched, counted = _classified(docs, n, threshold, recall, block_nodes)
     roots = counted.where("links is not null").groupBy("root").agg(F.min("least").alias("class_id"))
     known = counted.join(roots, "root", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     wordless = sketched.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return sketched.where("node is not null").select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links").union(wordless)
 
 
-def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, that with the least doc_id; rows repeating it go too.
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """One row of each class: that with the least doc_id (rows without one come last), among several the one of the least hash.
 
-    Rows without doc_id and documents without words are kept as they are.
+    What counts as a row is doc_id and text together: rows of one doc_id with unlike
+    texts are in classes of their own, and of full repeats one stays.  Rows without
+    words are kept as they are.
     """
-    mine, rows = free_name(docs, "_id"), free_name(docs, "_rows")
-    kept = ngram_classes(docs, n, threshold).where("doc_id = class_id").groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias(rows))
-    kept = cut(kept)
-    same = F.col("doc_id") == F.col(mine)
-    once = docs.join(kept.where(F.col(rows) == 1), same, "left_semi")
-    repeated = kept.where(F.col(rows) > 1)
+    key, mine = free_name(docs, "_key"), free_name(docs, "_mine")
+    sketched, counted = _classified(docs, n, threshold, recall, BLOCK_NODES)
+    rows = sketched.where("node is not null").groupBy("doc_id", "row_key", "node").agg(F.count("*").alias("rows"))
+    rows = cut(rows.join(counted.select("node", "root"), "node").select("doc_id", "row_key", "rows", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "rows")
+    first = cut(rows.groupBy("root").agg(F.min(order).alias("first")))
+    others = rows.join(first, "root").where("row_key <> first.row_key").select(F.col("row_key").alias(mine))
+    repeated = cut(first.where("first.rows > 1").select(F.col("first.row_key").alias(mine)))
+    keyed = docs.withColumn(key, _row_key())
+    same = F.col(key) == F.col(mine)
+    once = keyed.join(small(others.union(repeated)), same, "left_anti")
     if not repeated.isEmpty():
-        once = once.union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
-    return once.union(docs.where("doc_id is null"))
+        # repeats shrink before the shuffle
+        once = once.union(keyed.join(small(repeated), same, "left_semi").dropDuplicates([key]))
+    return once.drop(key)

@@ -49,10 +49,15 @@ def table(df: DataFrame, kind: str = "table") -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
+def small(stats: DataFrame) -> DataFrame:
+    """``stats`` computed once, and marked to be broadcast if it is counted to be small."""
+    stats = cut(stats)
+    return F.broadcast(stats) if stats.count() <= BROADCAST_ROWS else stats
+
+
 def join_small(rows: DataFrame, stats: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join a table of statistics, broadcast if it is counted to be small and shuffled otherwise."""
-    stats = cut(stats)
-    return rows.join(F.broadcast(stats) if stats.count() <= BROADCAST_ROWS else stats, on, how)
+    return rows.join(small(stats), on, how)
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:

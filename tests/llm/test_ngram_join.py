@@ -76,14 +76,46 @@ def test_one_row_repeated_often(spark):
     assert sorted(map(tuple, got), key=key) == brute(rows)
 
 
+def roots(rows, threshold=0.8):
+    """Class of each row (least index), None without words."""
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        new = [min([root[i], *(root[j] for j in range(len(rows)) if sets[i] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]))]) for i in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    return [r if s else None for r, s in zip(root, sets, strict=True)]
+
+
 def test_keep_one(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("x"), "_id": F.lit(1), "text2": F.col("text")})
+    """One row of each class whatever the ids; rows of one id with unlike texts are two documents."""
+    rows = [*corpus(), (None, "nothing like it at all here"), (None, "nothing like it at all here"), (7000, "nothing like it at all here"), (7000, "nothing like it at all here")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("x"), "_id": F.lit(1), "text2": F.col("text"), "_KEY": F.lit(2)})
     kept = keep_one(docs)
     assert kept.columns == docs.columns
-    want = sorted({c for d, c, _ in brute(rows) if c is not None})
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == want
-    assert kept.where("doc_id is null").count() == 1
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    classes = collections.defaultdict(list)
+    for row, r in zip(rows, roots(rows), strict=True):
+        classes[r].append(row)
+    wordless = classes.pop(None)
+    assert sorted(map(str, (x for x in got if not grams(x[1])))) == sorted(map(str, wordless))
+    assert len(got) == len(classes) + len(wordless)
+    for mine in classes.values():
+        [left] = [x for x in got if x in mine]
+        assert left[0] == min((d for d, _ in mine if d is not None), default=None)
+    assert (3, "again three another text of some words") in got and (7000, "nothing like it at all here") in got
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    other = list(words)
+    other[::20] = ["x"] * len(other[::20])  # similarity far below
+    near = [*words[:-3], "y", "z"]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other)), (4, "a" * 2_000_000), (5, "a" * 2_000_000), (6, None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 0)}
 
 
 def test_empty(spark):
