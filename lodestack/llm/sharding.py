@@ -104,7 +104,8 @@ def balanced_cuts(units: DataFrame, n_shards: int) -> list[int]:
         gone = set(split)
         parts = [p for p in parts if p not in gone]
         for bits in {p.bits for p in split}:
-            at = units.sparkSession.createDataFrame([(p.prefix - (1 << 64 if p.prefix >> 63 else 0),) for p in split if p.bits == bits], "at long")
+            prefixes = F.array(*[F.lit(p.prefix - (1 << 64 if p.prefix >> 63 else 0)) for p in split if p.bits == bits]).cast("array<long>")
+            at = units.sparkSession.range(1).select(F.explode(prefixes).alias("at"))
             parts += summed(units.join(F.broadcast(at), F.shiftrightunsigned("key", 64 - bits) == F.col("at"), "left_semi"), min(64, bits + MORE_BITS))
         parts.sort(key=lambda p: p.first_key)
     if not parts:
