@@ -4,7 +4,8 @@
 
 Writing: each task writes one ``.warc.gz`` with a name of its own; only the files
 of successful tasks enter the manifest that the driver commits, so a retried or
-speculative task leaves nothing that a reader sees.  Each record is a gzip member
+speculative task leaves nothing that a reader sees.  Each write adds a manifest of its
+own; a reader sees the files of all of them, after an overwrite of the last.  Each record is a gzip member
 whose extra field ``sl`` holds the member's length, so a reader can step over it.
 
 Reading: files are packed into partitions by size.  A record's headers are read
@@ -39,7 +40,7 @@ from .workspace import cut, fresh_path, open_fs
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 HEADERS = [x.split()[0] for x in SCHEMA.split(", ")][:-1]
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: Output batches hold about so many payload bytes.
 BATCH_BYTES = 8 << 20
 #: Compressed bytes that are read to see the headers.
@@ -180,6 +181,12 @@ class Written(WriterCommitMessage):
     size: int = 0
 
 
+def manifests_of(store: fs.FileSystem, path: str) -> list[str]:
+    """What every committed write to a folder has left."""
+    infos = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(x.path for x in infos if x.base_name.startswith(MANIFEST))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
@@ -196,10 +203,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, path = open_fs(self.path)
-        try:
-            with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-                found = [(x["name"], x["size"]) for x in json.loads(f.read())]
-        except FileNotFoundError:
+        if manifests := manifests_of(store, path):
+            found = []
+            for name in manifests:
+                with store.open_input_stream(name) as f:
+                    found += [(x["name"], x["size"]) for x in json.loads(f.read())]
+        else:
             infos = store.get_file_info(fs.FileSelector(path, recursive=True))
             found = [(x.path.removeprefix(path).lstrip("/"), x.size) for x in infos if x.path.endswith((".warc", ".warc.gz"))]
         packs: list[list[str]] = []
@@ -230,8 +239,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = open_fs(self.path)
@@ -252,8 +261,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, path = open_fs(self.path)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{MANIFEST}") as f:
+        old = manifests_of(store, path) if self.overwrite else []
+        with store.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([{"name": m.name, "size": m.size} for m in messages if m and m.name]).encode())
+        for name in old:
+            store.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, path = open_fs(self.path)
@@ -276,7 +288,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -39,6 +39,17 @@ def test_only_committed_files_are_read(spark, tmp_path):
     assert warc.read_archive(spark, path).count() == len(PAGES)
 
 
+def test_appending_adds_and_overwriting_replaces(spark, tmp_path):
+    page = lambda i: spark.createDataFrame([(i, None, f"page {i}")], "page_id long, url string, html string")
+    path = f"{tmp_path}/w"
+    for i in (1, 2):
+        warc.archive(page(i), path)
+    read = lambda: sorted(r.page_id for r in warc.page_digests(warc.read_archive(spark, path)).collect())
+    assert read() == [1, 2]
+    warc.records(page(3)).write.format("warc").mode("overwrite").save(path)
+    assert read() == [3]
+
+
 @pytest.mark.parametrize("kind", ["plain", "gzip"])
 def test_foreign_archives(spark, tmp_path, kind):
     record = {"record_type": "response", "record_id": "urn:r", "target_uri": "http://a", "date": "d", "refers_to": None, "payload_digest": None, "payload_length": None}
