@@ -61,22 +61,35 @@ def test_dates(spark):
 # chunks and embeddings
 
 
-def test_chunks_follow_headings():
+def chunked(spark, body, *budget):
+    return [(list(c.heading_path), c.raw_text) for c in one(spark, chunk.chunks(F.lit(body), *budget))]
+
+
+def test_chunks_follow_headings(spark):
     body = "intro\n\n# A\n\n## B\n\ntext b\n\n```sh\n# no heading\n\nstill code\n```\n\n## C #\ntext c\n#tag is text"
-    assert chunk.sections(body) == [([], "intro"), (["A", "B"], "## B\ntext b\n\n```sh\n# no heading\n\nstill code\n```"), (["A", "C"], "## C #\ntext c\n#tag is text")]
-    assert chunk.chunk_text("# A\n\n## B\nx\n\n## C\ny") == [(["A"], "## B\nx\n\n## C\ny")]
-    assert chunk.chunk_text("  \n") == []
+    cut = one(spark, F.transform(chunk.sections(F.lit(body)), lambda s: F.struct(s["path"].alias("path"), chunk.section_text(s["part"]).alias("text"))))
+    assert [(list(s.path), s.text) for s in cut] == [([], "intro"), (["A", "B"], "## B\ntext b\n\n```sh\n# no heading\n\nstill code\n```"), (["A", "C"], "## C #\ntext c\n#tag is text")]
+    assert chunked(spark, "# A\n\n## B\nx\n\n## C\ny") == [(["A"], "## B\nx\n\n## C\ny")]
+    assert chunked(spark, "  \n") == [] and chunked(spark, "") == []
+    assert chunked(spark, "### deep\n# top\n###\nunnamed") == [(["top"], "###\nunnamed")]
+    assert chunked(spark, "````\n```\n# in\n````\n# out\nx", 20, 0) == [([], "````\n```\n# in\n````"), (["out"], "# out\nx")]
 
 
-def test_chunks_split_and_overlap():
+def test_chunks_split_and_overlap(spark):
     words = " ".join(f"w{i:03d}" for i in range(200))
-    pieces = chunk.chunk_text(f"# T\n{words}\n\n# U\nlast", 100, 20)
+    pieces = chunked(spark, f"# T\n{words}\n\n# U\nlast", 100, 20)
     assert pieces[0][1].startswith("# T\n") and pieces[-1] == (["U"], "# U\nlast")
     for (_, a), (_, b) in zip(pieces, pieces[1:-1], strict=False):
         head, rest = b.split("\n\n", 1)
         assert a.endswith(head) and 0 < len(head) <= 20 and len(rest) <= 100
-    assert "".join(chunk.chunk_text("x" * 250, 100, 0)[i][1] for i in range(3)) == "x" * 250
-    assert [t for _, t in chunk.chunk_text("~~~\na\n\nb", 4, 0)][0].startswith("~~~")
+    assert "".join(t for _, t in chunked(spark, "x" * 250, 100, 0)) == "x" * 250
+    assert [t for _, t in chunked(spark, "~~~\na\n\nb", 4, 0)][0].startswith("~~~")
+
+
+def test_long_bodies_are_chunked_whole(spark):
+    body = "".join(f"# h{i}\n\n" + "word " * 30 + "\n\n" for i in range(3000)) + "```\n" + "code\n" * 20_000
+    pieces = chunked(spark, body, 200, 0)
+    assert sum(t.count("word") for _, t in pieces) == 90_000 and sum(t.count("code") for _, t in pieces) == 20_000
 
 
 def test_chunk_notes(spark):
