@@ -14,8 +14,8 @@ from ..functions.arrays import let, places, runs, scan, shared_prefix
 from ..functions.text import context_prefix, embed_text
 
 MAX_CHARS, OVERLAP = 1200, 120
-_FENCE = r"^ {0,3}(?:(`{3,}+).*?(?:^ {0,3}\1`*+[^\S\n]*+$|\z)|(~{3,}+).*?(?:^ {0,3}\2~*+[^\S\n]*+$|\z))"
-_TOKEN = rf"(?msd){_FENCE}|^[^\n]*+$"
+FENCE = r"^ {0,3}(?:(`{3,}+).*?(?:^ {0,3}\1`*+[^\S\n]*+$|\z)|(~{3,}+).*?(?:^ {0,3}\2~*+[^\S\n]*+$|\z))"
+_TOKEN = rf"(?msd){FENCE}|^[^\n]*+$"
 _FENCED = r"^ {0,3}(?:`{3}|~{3})"
 _HEADING = r"(?d)^ {0,3}(#{1,6})(?:[ \t]+(.*))?$"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,38 +12,57 @@ from pyspark.sql import DataFrame
 
 DIM = 256
 _WORD = re.compile(r"\w+")
+#: Texts that are embedded together; each distinct feature among them is hashed once.
+HASHED_TOGETHER = 1024
 
 
-def hash_features(text: str) -> list[str]:
-    """Words and word pairs, and character trigrams of the words joined by blanks, in lower case."""
-    words = _WORD.findall(text.lower())
-    line = " ".join(words)
-    return [f"w:{w}" for w in words] + [f"w:{a} {b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:{line[i : i + 3]}" for i in range(len(line) - 2)]
+def _signed_places(features: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and sign of each feature, from BLAKE2b-64."""
+    digests = b"".join(hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=8).digest() for f in features)
+    h = np.frombuffer(digests, ">u8").astype(np.uint64)
+    return (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-class _Hashes(dict):
-    """BLAKE2b-64 of the features seen so far, at most ``most`` at a time."""
+def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """A unit vector of signed feature counts for each text; zero for a text without words.
 
-    def __init__(self, most: int = 500_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, feature: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[feature] = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-        return h
-
-
-def hash_vector(text: str, dim: int = DIM, known: dict[str, int] | None = None) -> np.ndarray:
-    """Unit vector of signed feature counts; zero for a text without words."""
-    known = _Hashes() if known is None else known
-    out = np.zeros(dim)
-    for feature, n in Counter(hash_features(text)).items():
-        h = known[feature]
-        out[h % dim] += n if h >> 63 else -n
-    size = np.linalg.norm(out)
-    return out / size if size else out
+    Features are the words in lower case, pairs of neighbouring words, and the
+    character trigrams of the words joined by blanks.
+    """
+    out = np.zeros(len(texts) * dim)
+    words = [_WORD.findall(t.lower()) for t in texts]
+    numbers: dict[str, int] = {}
+    flat = np.array([numbers.setdefault(w, len(numbers)) for own in words for w in own], np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+    known = list(numbers)
+
+    def add(features: list[str], which: np.ndarray, owners: np.ndarray) -> None:
+        place, sign = _signed_places(features, dim)
+        np.add(out, np.bincount(owners * dim + place[which], sign[which], len(out)), out=out)
+
+    if len(flat):
+        add([f"w:{w}" for w in known], flat, owner)
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, which = np.unique(flat[near] * len(known) + flat[near + 1], return_inverse=True)
+        if len(pairs):
+            add([f"w:{known[p // len(known)]} {known[p % len(known)]}" for p in pairs.tolist()], which, owner[near])
+        lines = [" ".join(own) for own in words]
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.array([len(x) for x in lines])
+        inside = np.repeat(np.arange(len(lines)), length)
+        at = np.flatnonzero(inside[2:] == inside[:-2])
+        codes, which = np.unique((points[at] << np.uint64(42)) | (points[at + 1] << np.uint64(21)) | points[at + 2], return_inverse=True)
+        if len(codes):
+            three = [(int(c) >> 42, int(c) >> 21 & 0x1FFFFF, int(c) & 0x1FFFFF) for c in codes]
+            add([f"c:{chr(a)}{chr(b)}{chr(c)}" for a, b, c in three], which, inside[at])
+    vectors = out.reshape(len(texts), dim)
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def hash_vector(text: str, dim: int = DIM) -> np.ndarray:
+    """``hash_vectors`` of one text."""
+    return hash_vectors([text], dim)[0]
 
 
 def embed_with(rows: DataFrame, provider: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
@@ -60,8 +78,9 @@ def embed_with(rows: DataFrame, provider: Callable[[], Callable[[list[str]], np.
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 piece = part.slice(at, batch)
-                vectors = embed([t or "" for t in piece.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))], ["id", "embedding"])
+                vectors = np.asarray(embed([t or "" for t in piece.column("text").to_pylist()]), np.float64)
+                ends = pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(ends, pa.array(vectors.reshape(-1)))], ["id", "embedding"])
 
     return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<double>")
 
@@ -71,11 +90,7 @@ def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
     if dim < 1:
         raise ValueError("dim must be positive")
 
-    def provider() -> Callable[[list[str]], np.ndarray]:
-        known = _Hashes()
-        return lambda texts: np.stack([hash_vector(t, dim, known) for t in texts])
-
-    return embed_with(rows, provider)
+    return embed_with(rows, lambda: lambda texts: hash_vectors(texts, dim), HASHED_TOGETHER)
 
 
 def http_provider(post: Callable[[list[str]], list[dict]]) -> Callable[[], Callable[[list[str]], np.ndarray]]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CONFIDENCE, Maintenance, Manifest
+from ..functions.arrays import let
+from .chunk import FENCE
 from .embed import hash_embed
 from .vector import similar_pairs
 
@@ -44,9 +46,8 @@ def has_content(items: str) -> Column:
 
 def top_sections(body: Column) -> Column:
     """How many headings of the highest level there are outside of fenced code."""
-    prose = F.regexp_replace(body, r"(?s)```.*?```", "")
-    marks = F.regexp_extract_all(prose, F.lit(r"(?m)^(#{1,6})[ \t]+\S"), F.lit(1))
-    return F.size(F.filter(marks, lambda m: F.length(m) == F.array_min(F.transform(marks, F.length))))
+    marks = lambda b: F.regexp_extract_all(F.regexp_replace(b, rf"(?msd){FENCE}", ""), F.lit(r"(?md)^(#{1,6})[ \t]+\S"), F.lit(1))
+    return let(marks(body), lambda m: let(F.array_min(F.transform(m, F.length)), lambda least: F.size(F.filter(m, lambda x: F.length(x) == least))))
 
 
 def _findings(rules: list[tuple[str, str, Column]]) -> Column:

@@ -73,12 +73,13 @@ def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, ve
 
     ``chunks`` is (chunk_id, note_id, ordinal, text, embedding), ``notes`` (note_id,
     type, scope, agent, profile, status, confidence, tags, title).  Filters reach
-    both scans before their cuts.  Texts are joined to the k winners only.
+    both scans before their cuts.  Texts are joined to the k winners only.  A chunk
+    without an embedding (null) is found by its words alone.
     """
     allowed = flt.apply(notes, filters).select("note_id")
     kept = chunks.join(allowed, "note_id", "left_semi")
     pool = pool_size(k)
-    dense = cosine_topk(kept.select(F.col("chunk_id").alias("id"), "embedding"), vector, pool).where(above(F.col("cos"))).withColumnRenamed("id", "chunk_id")
+    dense = cosine_topk(kept.where("embedding is not null").select(F.col("chunk_id").alias("id"), "embedding"), vector, pool).where(above(F.col("cos"))).withColumnRenamed("id", "chunk_id")
     marked = chunks.select("chunk_id", "text", "note_id").join(allowed.withColumn("_ok", F.lit(True)), "note_id", "left")
     sparse = top(bm25(marked, query, F.col("_ok")), pool)
     found = fuse(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")

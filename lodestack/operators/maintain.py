@@ -100,12 +100,13 @@ def type_of(folders: Column, tags: Column, rule: str) -> Column:
     """A note's type from its folder names (nearest last) and mem/ tags.
 
     ``tag_first`` takes the tag, then the two nearest folders; ``folder_first`` any
-    folder, then the tag; ``folder_only`` any folder.
+    folder, then the tag; ``folder_only`` any folder.  Of several folders that name a
+    type the nearest counts.
     """
     kinds = F.array(*map(F.lit, ("episodic", "semantic", "procedural", "research")))
     lower = F.transform(folders, F.lower)
     by_tag = F.get(F.filter(kinds, lambda k: F.array_contains(tags, F.concat(F.lit("mem/"), k))), F.lit(0))
-    by_folder = lambda f: F.get(F.filter(kinds, lambda k: F.array_contains(f, k)), F.lit(0))
+    by_folder = lambda f: F.get(F.filter(F.reverse(f), lambda x: F.array_contains(kinds, x)), F.lit(0))
     if rule == "tag_first":
         return F.coalesce(by_tag, by_folder(F.slice(lower, F.greatest(F.size(lower) - 1, F.lit(1)), F.lit(2))))
     if rule == "folder_first":

@@ -201,10 +201,10 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hybrid_search_expanded(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole search, filters and one hop along the citations."""
+    """The whole search over all documents, those without a vector too, with filters and one hop along the citations."""
     notes = tb.notes(spark, sf)
     v = _vectors(spark, sf).select(F.col("id").alias("doc_id"), "embedding")
-    chunks = notes.join(v, "doc_id").select(F.concat("note_id", F.lit("#0")).alias("chunk_id"), "note_id", F.lit(0).alias("ordinal"), F.col("body").alias("text"), "embedding")
+    chunks = notes.join(v, "doc_id", "left").select(F.concat("note_id", F.lit("#0")).alias("chunk_id"), "note_id", F.lit(0).alias("ordinal"), F.col("body").alias("text"), "embedding")
     return hybrid.search(chunks, notes, tb.citations(spark, sf), TEXT, _query_vector(spark, sf), K, {"min_confidence": "medium"})
 
 

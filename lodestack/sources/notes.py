@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HEAD = r"(?s)^---[ \t]*\n(.*?\n)?---[ \t]*(?:\n|$)"
 _FIELDS = ("scope", "status", "confidence", "title", "agent", "profile", "source", "created", "modified", "last_accessed", "last_tested")
@@ -86,15 +86,41 @@ def render_note(fields: dict, body: str) -> str:
     return (f"---\n{head}---\n" if head else "") + body.strip("\n") + "\n"
 
 
-def file_names(notes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """``notes`` (name wanted in ``name``) with unique file names: -2, -3 … after the first of a name.
+def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with ``_k``, gapless from 0 within ``by`` in the order of a string column.
 
-    ``taken`` (name) are names in use, counted before any new one.
+    Rows are counted by the order's leading characters and numbered within these, so
+    that the notes of a hot name do not meet in one task.
     """
-    from pyspark.sql import Window
+    runs = rows.withColumn("_run", F.substring(order, 1, 16))
+    counts = runs.groupBy(by, "_run").agg(F.count("*").alias("_n"))
+    before = counts.select(by, "_run", (F.sum("_n").over(Window.partitionBy(by).orderBy("_run")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(by, "_run").orderBy(order)) - 1
+    return runs.join(before, [by, "_run"]).withColumn("_k", (F.col("_before") + place).cast("long")).drop("_before", "_run")
+
 
-    rows = notes.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("note_id")))
-    if taken is not None:
-        used = taken.groupBy("name").agg(F.count("*").alias("_used"))
-        rows = rows.join(used, "name", "left").withColumn("_n", F.col("_n") + F.coalesce("_used", F.lit(0))).drop("_used")
-    return rows.withColumn("file", F.concat("name", F.when(F.col("_n") > 1, F.concat(F.lit("-"), "_n")).otherwise(""), F.lit(".md"))).drop("_n")
+def file_names(notes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``notes`` (note_id, name wanted in ``name``) with unique file names: -2, -3 … behind a name that is in use.
+
+    ``taken`` (name) are names in use before.  All notes of a name try numbers of
+    their own at once; of names that meet in one (``a`` numbered 2 and ``a-2``) the
+    one with the lower number gets it, and who finds a number taken goes on above
+    those that its name has tried, until no note is left.
+    """
+    said = F.when(F.col("_at") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("_at").cast("string")))
+    waiting, done = notes.withColumn("_at", F.lit(1).cast("long")), None
+    used = None if taken is None else taken.select(F.col("name").alias("_wanted")).distinct()
+    while True:
+        tried = _numbered(waiting, "name", "note_id").withColumn("_at", F.col("_at") + F.col("_k")).drop("_k").withColumn("_wanted", said)
+        first = tried.groupBy("_wanted").agg(F.min(F.struct("_at", "name")).alias("_first"))
+        free = first if used is None else first.join(used, "_wanted", "left_anti")
+        tried = tried.join(free, "_wanted", "left").withColumn("_won", F.coalesce(F.col("_first") == F.struct("_at", "name"), F.lit(False))).drop("_first")
+        won = tried.where("_won").drop("_won", "_at").withColumn("file", F.concat("_wanted", F.lit(".md")))
+        done = won if done is None else done.unionByName(won)
+        names = won.select("_wanted")
+        used = names if used is None else used.union(names)
+        lost = tried.where(~F.col("_won")).select(*notes.columns)
+        if lost.isEmpty():
+            return done.drop("_wanted")
+        top = tried.groupBy("name").agg((F.max("_at") + 1).alias("_at"))
+        waiting = lost.join(top, "name").select(*notes.columns, "_at")

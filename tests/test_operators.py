@@ -1,5 +1,7 @@
 import datetime as dt
+import hashlib
 import math
+import re
 import sqlite3
 
 import numpy as np
@@ -101,12 +103,24 @@ def test_chunk_notes(spark):
             chunk.chunk_notes(notes, *bad)
 
 
+def plain_vector(text, dim):
+    """Feature by feature."""
+    words = re.findall(r"\w+", text.lower())
+    line = " ".join(words)
+    out = np.zeros(dim)
+    for f in [f"w:{w}" for w in words] + [f"w:{a} {b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:{line[i : i + 3]}" for i in range(len(line) - 2)]:
+        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+        out[h % dim] += 1 if h >> 63 else -1
+    return out / (np.linalg.norm(out) or 1)
+
+
 def test_embeddings(spark):
     rows = table(spark, [(1, "Hello hello world"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: r.embedding for r in embed.hash_embed(rows, 32).collect()}
     assert np.linalg.norm(got[1]) == pytest.approx(1) and not any(got[2]) and not any(got[3])
     assert got[1] == pytest.approx(list(embed.hash_vector("Hello hello world", 32)))
-    assert embed.hash_features("ab cd") == ["w:ab", "w:cd", "w:ab cd", "c:ab ", "c:b c", "c: cd"]
+    texts = ["ab cd", "", "a", "Ünï _x 12 Ünï", "the cat the cat", "😀 ab😀c"]
+    assert embed.hash_vectors(texts, 64) == pytest.approx(np.stack([plain_vector(t, 64) for t in texts]))
     back = embed.http_provider(lambda texts: [{"index": i, "embedding": [float(len(t)), 0.0]} for i, t in reversed(list(enumerate(texts)))])
     assert back()(["a", "bb"]).tolist() == [[1, 0], [2, 0]]
     with pytest.raises(ValueError):
@@ -291,6 +305,11 @@ def cycle_notes(spark):
     return table(spark, rows, "note_id string, type string, scope string, status string, created date, modified date, last_accessed date, last_tested date")
 
 
+@pytest.mark.parametrize(("body", "n"), [("# a\n## b\n# c", 2), ("~~~\n# x\n~~~\n# a", 1), ("# a\n```\n# open", 1), ("````\n```\n# x\n````\n## a\n## b", 2), ("none", 0)])
+def test_top_sections(spark, body, n):
+    assert one(spark, gate.top_sections(F.lit(body))) == n
+
+
 def test_cycle(spark):
     notes = cycle_notes(spark)
     access = table(spark, [("2026-09-30T10:00:00Z", ["read", "ghost"]), ("2026-09-01", ["read"]), ("torn", ["old"])], "ts string, ids array<string>")
@@ -311,6 +330,7 @@ def test_cycle(spark):
 def test_type_rules(spark):
     a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     kind = lambda rule, folders, tags=(): one(spark, maintain.type_of(a(*folders), a(*tags), rule))
+    assert kind("tag_first", ["episodic", "semantic"]) == kind("folder_first", ["episodic", "semantic"]) == "semantic" and kind("tag_first", ["semantic", "Episodic", "x"]) == "episodic"
     assert kind("tag_first", ["Semantic", "x"], ["mem/procedural"]) == "procedural"
     assert kind("tag_first", ["Semantic", "x", "y"]) is None and kind("folder_first", ["Semantic", "x", "y"]) == "semantic"
     assert kind("folder_first", ["x"], ["mem/research"]) == "research" and kind("folder_only", ["x"], ["mem/research"]) is None

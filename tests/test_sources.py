@@ -36,6 +36,11 @@ def test_file_names(spark):
     rows = spark.createDataFrame([("1", "n"), ("2", "n"), ("3", "m")], "note_id string, name string")
     taken = spark.createDataFrame([("m",)], "name string")
     assert {r.note_id: r.file for r in notes.file_names(rows, taken).collect()} == {"1": "n.md", "2": "n-2.md", "3": "m-2.md"}
+    named = lambda wanted, taken: {r.note_id: r.file for r in notes.file_names(spark.createDataFrame([(str(i), n) for i, n in enumerate(wanted)], "note_id string, name string"), spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
+    assert named(["a", "a", "a-2"], []) == {"0": "a.md", "1": "a-3.md", "2": "a-2.md"}
+    assert named(["a"], ["a", "a-2"]) == {"0": "a-3.md"}
+    many = named(["a", "a-2", "a", "a-2", "a-2-2", "b", "a", "a-3"], ["a-2", "a-4", "b", "b-2", "b-3"])
+    assert len(set(many.values())) == 8 and not {x[:-3] for x in many.values()} & {"a-2", "a-4", "b", "b-2", "b-3"}
 
 
 def test_logs(spark):
