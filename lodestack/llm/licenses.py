@@ -1,24 +1,32 @@
 """Licence scans: normalised text against licence templates.
 
-A document is looked at by line, by paragraph (parts between empty lines) and as
-a whole.  Each such unit is normalised to lower-case words and compared with the
-templates by the Dice coefficient of their sets of word bigrams.  Dice can reach
-the threshold t only if the smaller set has at least t / (2 - t) of the larger
-one's size, and only with that share of the template's bigrams in common; these
-bounds discard nearly every unit and template before any set is intersected.
-
-The templates are a fixed, small table, so they are literals in the plan: the
-scan is one projection without a shuffle or a join.
+Texts and templates are normalised to lower-case words.  A licence is stated where a
+stretch of a text as long as the template reaches a Dice coefficient of ``threshold``
+with it, over the bags of word bigrams.  Stretches are tried wherever a bigram of the
+template occurs, laid so that it falls on its place in the template; lines and
+paragraphs play no part, so notices inside long lines and wrapped notices are found.
+
+Two bounds prune before any stretch is looked at.  Dice can reach t only if the smaller
+bag has t / (2 - t) of the larger one's size in common with it, so a document must hold
+that many of a template's different bigrams (less those that the template repeats); the
+templates that a document may hold are settled in its row.  What is left, a few bigrams
+with their places, is joined by the length of a stretch, so that work grows with the
+length of a text and not with its square.
+
+The templates are a fixed, small table of literals, and no text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The customary notices of public licences.
+from .workspace import cut, small
+
+# The customary notices and whole texts of public licences.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -39,57 +47,94 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("GPL-3.0", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
 ]
 
 
 def template_bigrams(text: str) -> list[str]:
-    """Sorted word bigrams of a template, normalised as the documents are."""
+    """Word bigrams of a template in order, normalised as the documents are."""
     words = re.findall(r"[^\W_]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
-def _bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(unit, r"[ \n]+", " ")), " ")
-    pairs = lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("a"), F.slice(w, F.lit(2), F.size(w) - 1).alias("b")), lambda p: F.concat(p["a"], F.lit(" "), p["b"])))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(words), pairs)[0]
+
+def _literals(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, licenses, n_matches, best_license, best_dice for every row of ``docs`` (doc_id, text).
 
-    ``licenses`` are the sorted names that some unit matches, ``n_matches`` the
-    units that match any template, ``best_dice`` the highest coefficient and
-    ``best_license`` its name, the least in a tie; without a match they are empty,
-    0 and null.  A unit of fewer than two words matches nothing, nor does a null
-    text.  A text of one line is looked at once, and so are repeated rows each.
-    Templates of one word are left out.  Other columns are ignored.
+    ``licenses`` are the sorted names of the templates that some stretch matches,
+    ``n_matches`` how many templates these are, ``best_dice`` the highest coefficient
+    and ``best_license`` its name, the least in a tie; without a match they are empty, 0
+    and null.  A stretch ends where the text does.  Null and blank texts, and texts of
+    one word, match nothing; repeated rows each have a row; texts of any length are
+    looked at whole.  Templates of one word are left out.  Other columns are ignored.
     """
+    spark = docs.sparkSession
     known = [(name, b) for name, text in (TEMPLATES if templates is None else templates) if (b := template_bigrams(text))]
     share = threshold / (2 - threshold)
-    least = min((math.ceil(share * len(b) - 1e-9) for _, b in known), default=1)
-    most = max((math.floor(len(b) / share + 1e-9) for _, b in known), default=0)
     all_bigrams = sorted({x for _, b in known for x in b})
-
-    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    paragraphs = F.split(F.col("_text"), r"\n(?: ?\n)+")
-    units = F.array_distinct(F.concat(F.split("_text", "\n"), paragraphs, F.array("_text")))
-    # Word counts bound set sizes from above; a repetitive unit may have more words than distinct bigrams.
-    long_enough = F.filter(units, lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + F.length(u) - F.length(F.replace(u, F.lit("\n"), F.lit(""))) >= least)
-    sets = F.transform(F.col("_units"), lambda u: F.struct(u.alias("unit"), _bigrams(u).alias("set")))
-    sized = F.filter(sets, lambda s: F.size(s["set"]).between(least, most))
-    shared = F.transform(sized, lambda s: F.struct(F.size(s["set"]).alias("size"), F.filter(s["set"], lambda b: b.isin(all_bigrams)).alias("set")))
-    likely = F.filter(shared, lambda s: F.size(s["set"]) >= least)
-
-    def dices(s: Column) -> Column:
-        found = []
-        for name, b in known:
-            low, high = math.ceil(share * len(b) - 1e-9), math.floor(len(b) / share + 1e-9)
-            common = F.size(F.array_intersect(s["set"], F.array(*map(F.lit, b))))
-            dice = common * 2.0 / (s["size"] + len(b))
-            found.append(F.when(s["size"].between(low, high) & (F.size(s["set"]) >= low) & (dice >= threshold - 1e-9), F.struct((-dice).alias("rank"), F.lit(name).alias("name"))))
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-    per_unit = F.filter(F.transform(likely, dices), lambda m: F.size(m) > 0) if known else F.array().cast("array<array<struct<rank:double,name:string>>>")
-    rows = docs.select(F.col("doc_id"), text.alias("_text")).select("doc_id", long_enough.alias("_units")).select("doc_id", per_unit.alias("_found"))
-    best = F.array_min(F.flatten("_found"))
-    return rows.select("doc_id", F.array_sort(F.array_distinct(F.flatten("_found")["name"])).alias("licenses"), F.size("_found").cast("long").alias("n_matches"), best["name"].alias("best_license"), F.round(-best["rank"], 6).alias("best_dice"))
+    openers = sorted({x.split(" ")[0] for x in all_bigrams})
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _words(F.col("text")).alias("w"))
+    bigram = lambda x, i: F.when(x.isin(openers), F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("place"), bigram(x, i).alias("bigram"))), lambda h: h["bigram"].isin(all_bigrams))
+    rows = rows.select("doc_id", "row_key", (F.size("w") - 1).alias("n"), (hits if known else F.lit(None).cast("array<struct<place:int,bigram:string>>")).alias("hits"))
+    keyed = rows.select("doc_id", "row_key")
+    if not known:
+        return keyed.select("doc_id", *[c.alias(n) for n, c in _nothing().items()])
+
+    # the templates of which a document holds enough different bigrams
+    enough = lambda b: max(1, math.ceil(share * len(b) - 1e-9) - (len(b) - len(set(b))))
+    held = F.array_distinct(F.transform("hits", lambda h: h["bigram"]))
+    likely = F.array(*[F.when(F.size(F.array_intersect("held", _literals(sorted(set(b))))) >= enough(b), F.lit(t)) for t, (_, b) in enumerate(known)])
+    rows = rows.select("row_key", "n", "hits", held.alias("held")).select("row_key", "n", "hits", F.array_compact(likely).alias("likely"))
+    # outer, as a filter on an array's size would sink below what computes the array, and compute it again
+    rows = rows.select("row_key", "n", F.explode_outer("likely").alias("t"), "hits").where("t is not null")
+    rows = rows.select("row_key", "n", "t", F.explode_outer("hits").alias("h")).where("h is not null")
+    rows = cut(rows.select("row_key", "n", "t", "h.place", "h.bigram").distinct())
+
+    places = [(t, k, x, Counter(b)[x], len(b)) for t, (_, b) in enumerate(known) for k, x in enumerate(b)]
+    table = F.broadcast(_table(spark, places))
+    laid = rows.join(table, ["t", "bigram"])
+    cell = lambda c: F.floor(c / F.col("length")).cast("long")
+    found = laid.select("row_key", "t", "place", "bigram", "times", "length", cell(F.col("place")).alias("cell")).distinct()
+    stretches = laid.select("row_key", "t", "n", "length", (F.col("place") - F.col("at")).alias("first")).distinct()
+    stretches = stretches.withColumn("cell", F.explode(F.array(cell(F.col("first")), cell(F.col("first")) + 1)))
+    inside = stretches.join(found.drop("length"), ["row_key", "t", "cell"]).where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("length")))
+    counted = inside.groupBy("row_key", "t", "n", "length", "first", "bigram", "times").agg(F.count("*").alias("here"))
+    sums = counted.groupBy("row_key", "t", "n", "length", "first").agg(F.sum(F.least("here", "times")).alias("shared"))
+    size = F.least("n", F.col("first") + F.col("length")) - F.greatest(F.col("first"), F.lit(0))
+    dice = 2.0 * F.col("shared") / (size + F.col("length"))
+    names = _literals([name for name, _ in known])
+    matched = sums.withColumn("dice", dice).where(F.col("dice") >= threshold - 1e-9).groupBy("row_key", F.get(names, F.col("t")).alias("name"), "t").agg(F.max("dice").alias("dice"))
+    best = F.min(F.struct((-F.col("dice")).alias("rank"), "name"))
+    result = matched.groupBy("row_key").agg(F.sort_array(F.collect_set("name")).alias("licenses"), F.count("*").alias("n_matches"), best.alias("best"))
+    joined = keyed.join(small(result), "row_key", "left")
+    some = {"licenses": F.col("licenses"), "n_matches": F.col("n_matches"), "best_license": F.col("best.name"), "best_dice": F.round(-F.col("best.rank"), 6)}
+    return joined.select("doc_id", *[F.coalesce(some[n], c).alias(n) for n, c in _nothing().items()])
+
+
+def _nothing() -> dict[str, Column]:
+    """What a document without a match has."""
+    return {"licenses": _literals([]), "n_matches": F.lit(0).cast("long"), "best_license": F.lit(None).cast("string"), "best_dice": F.lit(None).cast("double")}
+
+
+def _table(spark, places: list[tuple]) -> DataFrame:
+    """(t, at, bigram, times, length): the places of the templates' bigrams, as literals."""
+    columns = list(zip(*places, strict=True))
+    arrays = F.arrays_zip(*[F.array(*map(F.lit, c)).alias(n) for n, c in zip(("t", "at", "bigram", "times", "length"), columns, strict=True)])
+    return spark.range(1).select(F.explode(arrays).alias("x")).select("x.*")

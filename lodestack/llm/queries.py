@@ -19,7 +19,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences that every document's lines, paragraphs or whole text state."""
+    """Licences that any stretch of a document states."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
@@ -109,15 +109,19 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-_TEMPLATES = ", ".join("('{}', ['{}'])".format(n, "', '".join(licenses.template_bigrams(t))) for n, t in licenses.TEMPLATES)
+_KNOWN = [(t, name, licenses.template_bigrams(text)) for t, (name, text) in enumerate(licenses.TEMPLATES)]
+_PLACES = ", ".join(f"({t}, '{name}', {k}, '{x}', {len(b)})" for t, name, b in _KNOWN for k, x in enumerate(b))
 _LICENSES = rf"""
-WITH templates(name, b) AS (VALUES {_TEMPLATES}),
-texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
-units AS (SELECT r, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n(?: ?\n)+'), [t]))) AS u FROM texts),
-words AS (SELECT r, string_split(trim(regexp_replace(u, '[ \n]+', ' ', 'g')), ' ') AS w, row_number() OVER () AS k FROM units),
-sets AS (SELECT r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words WHERE len(w) > 1),
-found AS (SELECT r, k, name, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets, templates WHERE len(a) BETWEEN 0.6 * len(b) AND 2 * len(b)),
-best AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT k) AS n_matches, arg_min(name, (-dice, name)) AS best_license, round(max(dice), 6) AS best_dice FROM found WHERE dice >= 0.8 - 1e-9 GROUP BY r)
+WITH places(t, name, k, bigram, length) AS (VALUES {_PLACES}),
+bags AS (SELECT t, bigram, count(*) AS times FROM places GROUP BY ALL),
+texts AS (SELECT doc_id, row_number() OVER () AS r, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+pairs AS (SELECT r, len(w) - 1 AS n, unnest(range(len(w) - 1)) AS place, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM texts),
+hits AS (SELECT r, n, place, bigram FROM pairs WHERE bigram IN (SELECT bigram FROM places)),
+stretches AS (SELECT DISTINCT r, n, t, name, length, place - k AS first FROM hits JOIN places USING (bigram)),
+here AS (SELECT s.r, s.n, s.t, s.name, s.length, s.first, h.bigram, count(*) AS c FROM stretches s JOIN hits h ON h.r = s.r AND h.place >= s.first AND h.place < s.first + s.length JOIN bags USING (t, bigram) GROUP BY ALL),
+sums AS (SELECT r, n, t, name, length, first, sum(least(c, times)) AS shared FROM here JOIN bags USING (t, bigram) GROUP BY ALL),
+found AS (SELECT r, t, name, max(2.0 * shared / (least(n, first + length) - greatest(first, 0) + length)) AS dice FROM sums GROUP BY ALL HAVING dice >= 0.8 - 1e-9),
+best AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_matches, arg_min(name, (-dice, name)) AS best_license, round(max(dice), 6) AS best_dice FROM found GROUP BY r)
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, best_license, best_dice FROM texts LEFT JOIN best USING (r)
 """
 

@@ -1,6 +1,8 @@
+import collections
 import gzip
 import hashlib
 import random
+import re
 
 import pytest
 from oracle import SF, connection, rows
@@ -121,7 +123,48 @@ def test_token_counts(spark, tmp_path, monkeypatch):
 # licences
 
 
+def plain_licences(text, templates, threshold=0.8):
+    """{template: dice} by trying every stretch of a text."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    out = {}
+    for t, (_, said) in enumerate(templates):
+        bag = licenses.template_bigrams(said)
+        for first in {i - k for i, x in enumerate(pairs) for k, y in enumerate(bag) if x == y}:
+            part = pairs[max(first, 0) : first + len(bag)]
+            dice = 2 * (collections.Counter(part) & collections.Counter(bag)).total() / (len(part) + len(bag))
+            if dice >= threshold - 1e-9:
+                out[t] = max(out.get(t, 0), dice)
+    return out
+
+
 def test_licences(spark):
+    """Notices in long lines, wrapped ones, whole texts with changes, repeated rows, ties and odd texts."""
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    rng = random.Random(6)
+    texts = [
+        "Copyright (c) 2020 Jane Doe. Released under the MIT License.", "Copyright 2020 Foo. All rights reserved.", "long prose " * 300 + "all rights reserved and so on",
+        "Licensed under the\n  Apache License,\nVersion 2.0.\n\nMore of it", mit, mit.replace("Software", "Program").replace("AUTHORS", "WRITERS"), "x " * 50 + mit[: len(mit) // 2],
+        "LICENSED UNDER CC BY 4.0!", "Licensed under CC BY-SA 4.0, all  rights\treserved", "reserved rights all", "all", "", None, " \n", "a b", "\u00dcber all rights reserved",
+        *[" ".join(rng.choices(re.findall(r"\w+", mit), k=rng.randint(5, 60))) for _ in range(20)], " ".join([mit] * 4), "all rights reserved " * 200,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3 + [(None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"licenses": F.lit("clash"), "T": F.lit(1), "hits": F.lit(2)})
+    for templates in (None, [("b", "all rights reserved"), ("a", "All rights reserved!"), ("one", "word"), ("none", "")]):
+        known = [x for x in (licenses.TEMPLATES if templates is None else templates) if licenses.template_bigrams(x[1])]
+        got = collections.Counter((r.doc_id, tuple(r.licenses), r.n_matches, r.best_license, r.best_dice) for r in licenses.scan_licenses(docs, templates=templates).collect())
+        want = collections.Counter()
+        for i, t in rows:
+            found = plain_licences(t, known)
+            best = min(((-d, known[k][0]) for k, d in found.items()), default=(None, None))
+            want[i, tuple(sorted({known[k][0] for k in found})), len(found), best[1], None if best[0] is None else round(-best[0], 6)] += 1
+        assert got == want
+    found = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
+    assert found[0] == ["MIT"] and found[1] == ["proprietary"] and found[3] == ["Apache-2.0"] and "MIT" in found[4] and "MIT" in found[5] and found[6] == []
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0 and licenses.scan_licenses(docs, templates=[]).agg(F.sum("n_matches")).first()[0] == 0
+
+
+def test_notices(spark):
     apache = licenses.TEMPLATES[4][1]
     docs = [(1, f"prose\n{licenses.TEMPLATES[0][1]}\nmore"), (2, apache.replace(" You ", "\nYou ")), (3, "Licensed under the Apache License, Version 2.0"), (4, None), (5, ""), (6, "All rights reserved. " * 4), (7, "unrelated words only"), (8, "x\n\n" + apache.replace(" ", "\n") + "\n\ny"), (9, "released UNDER the mit license?\nCC BY 4.0, Licensed under")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("licenses", F.lit("clash"))
