@@ -86,41 +86,41 @@ def render_note(fields: dict, body: str) -> str:
     return (f"---\n{head}---\n" if head else "") + body.strip("\n") + "\n"
 
 
-def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """``rows`` with ``_k``, gapless from 0 within ``by`` in the order of a string column.
+def _running(rows: DataFrame, by: str, run: Column, order: list[str], what: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``what`` over the rows of ``by`` up to and with each, in the order of ``run`` and then ``order``.
 
-    Rows are counted by the order's leading characters and numbered within these, so
-    that the notes of a hot name do not meet in one task.
+    Runs are summed first and rows within their run, so that a hot ``by`` does not meet in one task.
     """
-    runs = rows.withColumn("_run", F.substring(order, 1, 16))
-    counts = runs.groupBy(by, "_run").agg(F.count("*").alias("_n"))
-    before = counts.select(by, "_run", (F.sum("_n").over(Window.partitionBy(by).orderBy("_run")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(by, "_run").orderBy(order)) - 1
-    return runs.join(before, [by, "_run"]).withColumn("_k", (F.col("_before") + place).cast("long")).drop("_before", "_run")
+    rows = rows.withColumn("_run", run).withColumn("_what", what)
+    sums = rows.groupBy(by, "_run").agg(F.sum("_what").alias("_sum"))
+    before = sums.select(by, "_run", (F.sum("_sum").over(Window.partitionBy(by).orderBy("_run")) - F.col("_sum")).alias("_before"))
+    upto = Window.partitionBy(by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(before, [by, "_run"]).withColumn(name, F.col("_before") + F.sum("_what").over(upto)).drop("_before", "_run", "_what")
 
 
 def file_names(notes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``notes`` (note_id, name wanted in ``name``) with unique file names: -2, -3 … behind a name that is in use.
 
-    ``taken`` (name) are names in use before.  All notes of a name try numbers of
-    their own at once; of names that meet in one (``a`` numbered 2 and ``a-2``) the
-    one with the lower number gets it, and who finds a number taken goes on above
-    those that its name has tried, until no note is left.
+    ``taken`` (name) are names in use before.  The first note of a name that is free
+    gets it; the others of that name get the numbers from 2 on that neither a taken
+    nor a wanted name has (``a-2`` may be either).  Numbered names of unlike names are
+    unlike, as the last number tells them apart, so these are all that can be in use.
     """
-    said = F.when(F.col("_at") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("_at").cast("string")))
-    waiting, done = notes.withColumn("_at", F.lit(1).cast("long")), None
-    used = None if taken is None else taken.select(F.col("name").alias("_wanted")).distinct()
-    while True:
-        tried = _numbered(waiting, "name", "note_id").withColumn("_at", F.col("_at") + F.col("_k")).drop("_k").withColumn("_wanted", said)
-        first = tried.groupBy("_wanted").agg(F.min(F.struct("_at", "name")).alias("_first"))
-        free = first if used is None else first.join(used, "_wanted", "left_anti")
-        tried = tried.join(free, "_wanted", "left").withColumn("_won", F.coalesce(F.col("_first") == F.struct("_at", "name"), F.lit(False))).drop("_first")
-        won = tried.where("_won").drop("_won", "_at").withColumn("file", F.concat("_wanted", F.lit(".md")))
-        done = won if done is None else done.unionByName(won)
-        names = won.select("_wanted")
-        used = names if used is None else used.union(names)
-        lost = tried.where(~F.col("_won")).select(*notes.columns)
-        if lost.isEmpty():
-            return done.drop("_wanted")
-        top = tried.groupBy("name").agg((F.max("_at") + 1).alias("_at"))
-        waiting = lost.join(top, "name").select(*notes.columns, "_at")
+    rows = _running(notes, "name", F.substring("note_id", 1, 16), ["note_id"], F.lit(1), "_k")
+    wanted = notes.select("name").distinct()
+    if taken is None:
+        used, rows = wanted, rows.withColumn("_free", F.lit(True))
+    else:
+        used = wanted.union(taken.select("name")).distinct()
+        rows = rows.join(taken.select("name").distinct().withColumn("_taken", F.lit(True)), "name", "left").withColumn("_free", F.col("_taken").isNull()).drop("_taken")
+    # numbers in use behind a name, and how many free ones lie below each
+    parts = used.select(F.regexp_extract("name", r"(?s)^(.*)-([1-9][0-9]{0,17})$", 1).alias("base"), F.regexp_extract("name", r"(?s)^(.*)-([1-9][0-9]{0,17})$", 2).try_cast("long").alias("n")).where("n >= 2")
+    run = F.floor(F.col("n") / 65536)
+    below = _running(parts, "base", run, ["n"], F.lit(1), "_j").select(F.col("base").alias("name"), (F.col("n") - 1 - F.col("_j")).alias("place"), F.lit(0).alias("is_note"), F.lit(None).cast("string").alias("note_id"))
+    plain = F.col("_free") & (F.col("_k") == 1)
+    place = F.col("_k") - 1 - F.col("_free").cast("long")
+    waiting = rows.where(~plain).select("name", place.alias("place"), F.lit(1).alias("is_note"), "note_id")
+    both = _running(below.unionByName(waiting), "name", F.floor(F.col("place") / 65536), ["place", "is_note", "note_id"], 1 - F.col("is_note"), "_skipped")
+    numbers = both.where("is_note = 1").select("name", "note_id", (2 + F.col("place") + F.col("_skipped")).alias("_n"))
+    out = rows.join(numbers, ["name", "note_id"], "left")
+    return out.withColumn("file", F.concat(F.concat_ws("-", "name", F.col("_n").cast("string")), F.lit(".md"))).select(*notes.columns, "file")
