@@ -29,6 +29,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let, scan
 from .workspace import cut
 
 #: Base kinds, and what only the generators find.
@@ -57,37 +58,6 @@ _WORDS = (r"(?i)tel|phone|call|fax|mob|ring|whatsapp", r"(?i)mail|contact|write|
 _SPAN = "struct<start:int,end:int,said:string,before:string,after:string>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def scan(items: Column, start: Column, state: Callable, emit: Callable, keep: Callable, kind: str) -> Column:
-    """Emitted elements of a running pass over an array.
-
-    ``state(s, x)`` is the state after element x, ``emit(s, x)`` what is emitted if
-    ``keep(s, x)``, in the state before it.  Appending copies an array, so the pass is
-    made in runs of about the root of the length, whose outputs are joined at the end.
-    ``kind`` is the type of what is emitted.
-    """
-    none = F.array().cast(f"array<{kind}>")
-    step = lambda a, x: F.struct(state(a["s"], x).alias("s"), F.when(keep(a["s"], x), F.array_append(a["out"], emit(a["s"], x))).otherwise(a["out"]).alias("out"))
-
-    def passed(xs: Column) -> Column:
-        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
-
-        def run(n: Column) -> Column:
-            def part(a: Column, i: Column) -> Column:
-                done = F.aggregate(F.slice(xs, i * n + 1, n), F.struct(a["s"].alias("s"), none.alias("out")), step)
-                return let(done, lambda d: F.struct(d["s"].alias("s"), F.array_append(a["out"], d["out"]).alias("out")))
-
-            return F.flatten(F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(xs) / n).cast("int") - 1), F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), part)["out"])
-
-        return F.when(F.size(xs) > 0, let(size, run)).otherwise(none)
-
-    return let(items, passed)
-
-
 def find(text: Column, pattern: str, gate: Column, keep: Callable[[Column], Column] = lambda said: F.lit(True)) -> Column:
     """The leftmost non-overlapping matches that ``keep`` accepts as (start, end, said, before, after), in code points.
 
