@@ -66,6 +66,27 @@ def apply(rows: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame:
     return rows if "status" in clean else rows.where(live(F.col("status")))
 
 
+def metadata(rows: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
+    """Rows that pass filters on any columns: all of them, each by any of its values.
+
+    A column of arrays passes if it holds one of the values.  A filter of None is
+    ignored, an empty list is an error, and a column that does not exist passes nothing.
+    """
+    kinds = dict(rows.dtypes)
+    for key, value in filters.items():
+        if value is None:
+            continue
+        if not (wanted := _values(value)):
+            raise FilterError(f"filter {key!r} is an empty list")
+        if key not in kinds:
+            rows = rows.where(F.lit(False))
+        elif kinds[key].startswith("array"):
+            rows = rows.where(F.arrays_overlap(F.col(key).cast("array<string>"), F.array(*map(F.lit, wanted))))
+        else:
+            rows = rows.where(F.col(key).cast("string").isin(wanted))
+    return rows
+
+
 def browse(notes: DataFrame, text: str = "", **equal: str | None) -> DataFrame:
     """Notes with equal fields and the text somewhere in title, id, agent or scope."""
     for key, value in equal.items():

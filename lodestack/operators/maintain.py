@@ -59,6 +59,11 @@ def stale(notes: DataFrame, today: dt.date, stale_days: int, excluded: DataFrame
     return rows.select("note_id", "scope", "last_tested", days.alias("days_stale"))
 
 
+def longest_untested(found: DataFrame) -> DataFrame:
+    """What ``stale`` returns in the order of a report: the longest untested first, then by note_id."""
+    return found.orderBy(F.desc("days_stale"), "note_id")
+
+
 def dead_notes(notes: DataFrame) -> DataFrame:
     """note_id, state, successor of notes no longer alive; archived with a successor counts as superseded."""
     first = F.get("superseded_by", F.lit(0)) if "superseded_by" in notes.columns else F.lit(None).cast("string")

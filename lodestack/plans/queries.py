@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import Maintenance
 from ..functions import dates as dx, text as tx, vectors as vx
 from ..operators import boards, chunk, embed, filters, gate, graph, hybrid, index, lexical, maintain, vector, write
+from ..sources.notes import file_names
 from . import tables as tb
 from .consolidate import consolidate
 
@@ -226,6 +227,35 @@ def scalar_filters(spark: SparkSession, sf: str) -> DataFrame:
     return filters.apply(tb.notes(spark, sf), {"scope": ["src1", "src2"], "type": "semantic", "status": ["arquivado", "ativo"]}).select("note_id", "status")
 
 
+@query(f"WITH {_NOTES} SELECT note_id FROM notes WHERE list_has_any(tags, ['de', 'src1']) AND scope IN ('src1', 'src2')")
+def metadata_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters on any column, lists by any of their values."""
+    return filters.metadata(tb.notes(spark, sf), {"tags": ["de", "src1"], "scope": ["src1", "src2"], "profile": None}).select("note_id")
+
+
+@query("""WITH n AS (SELECT 'd' || doc_id AS note_id, CASE WHEN doc_id % 10 = 0 THEN source || '-2' ELSE source END AS name FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY note_id) AS r FROM n)
+SELECT note_id, name || CASE WHEN r = 1 THEN '' WHEN ends_with(name, '-2') OR name || '-2' NOT IN (SELECT name FROM n) THEN '-' || r ELSE '-' || (r + 1) END || '.md' AS file FROM r""")
+def unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as wanted names, of which some are numbered already."""
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat("source", F.lit("-2"))).otherwise(F.col("source"))
+    return file_names(tb.notes(spark, sf).join(tb.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("note_id", name.alias("name"))).select("note_id", "file")
+
+
+_KINDS = "['episodic', 'semantic', 'procedural', 'research']"
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_KINDS} AS kinds, [{_KINDS}[doc_id % 4 + 1], source, upper({_KINDS}[doc_id // 4 % 4 + 1]), lang] AS f, CASE WHEN doc_id % 5 = 0 THEN 'procedural' END AS tag FROM documents)
+SELECT doc_id, coalesce(tag, lower(f[3])) AS tag_first, lower(f[3]) AS folder_first, lower(f[3]) AS folder_only, coalesce(tag, f[1]) AS outer_only FROM n""")
+def type_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Types by folder and tag under each rule; the nearest folder counts."""
+    d, kinds = F.col("doc_id"), F.array(*map(F.lit, ("episodic", "semantic", "procedural", "research")))
+    outer, inner = F.get(kinds, (d % 4).cast("int")), F.upper(F.get(kinds, (F.floor(d / 4) % 4).cast("int")))
+    tags = F.when(d % 5 == 0, F.array(F.lit("mem/procedural"), "lang")).otherwise(F.array("lang"))
+    kind = lambda folders, rule: maintain.type_of(folders, tags, rule)
+    whole = F.array(outer, "source", inner, "lang")
+    return tb.table(spark, sf, "documents").select("doc_id", *[kind(whole, r).alias(r) for r in ("tag_first", "folder_first", "folder_only")], kind(F.array(outer, F.lit("x")), "tag_first").alias("outer_only"))
+
+
 @query(f"WITH {_NOTES} SELECT note_id, round(CASE WHEN status = 'ativo' THEN doc_id::DOUBLE ELSE doc_id / 2.0 END, 6) AS score FROM notes")
 def status_penalty(spark: SparkSession, sf: str) -> DataFrame:
     rows = tb.notes(spark, sf).select("note_id", "status", F.col("doc_id").cast("double").alias("score"))

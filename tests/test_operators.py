@@ -310,6 +310,17 @@ def test_top_sections(spark, body, n):
     assert one(spark, gate.top_sections(F.lit(body))) == n
 
 
+def test_metadata_filters(spark):
+    rows = table(spark, [("a", "p", ["x", "y"], 1), ("b", "q", [], 2), ("c", None, None, None)], "id string, scope string, tags array<string>, n int")
+    ids = lambda **f: sorted(r.id for r in filters.metadata(rows, f).collect())
+    assert ids() == ids(scope=None) == ["a", "b", "c"] and ids(scope=["p", "q"]) == ["a", "b"] and ids(tags="y") == ["a"]
+    assert ids(scope="q", n=[1, 2]) == ["b"] and ids(scope="p", tags="z") == [] and ids(none="x") == []
+    with pytest.raises(filters.FilterError):
+        ids(scope=[])
+    late = table(spark, [("b", 3), ("a", 3), ("c", 9)], "note_id string, days_stale int")
+    assert [r.note_id for r in maintain.longest_untested(late).collect()] == ["c", "a", "b"]
+
+
 def test_cycle(spark):
     notes = cycle_notes(spark)
     access = table(spark, [("2026-09-30T10:00:00Z", ["read", "ghost"]), ("2026-09-01", ["read"]), ("torn", ["old"])], "ts string, ids array<string>")
