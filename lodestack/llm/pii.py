@@ -237,7 +237,8 @@ def training_rows(docs: DataFrame, sample_docs: int = 2_000, sample_rows: int =
     sample = docs.where(F.pmod(order, F.lit(1_000_003)) < share).select(order.alias("h"), F.substring(text, at + 1, F.lit(30)).alias("left"), F.substring(text, at + 31, F.lit(20)).alias("right"))
     sample = cut(sample.orderBy("h", "left", "right").limit(sample_docs))
     times = -(-sample_rows // max(sample.count(), 1))
-    rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("i")).withColumn("h", F.xxhash64("h", "left", "right", "i"))
+    # the sample comes from one task; what is planted is spread over more
+    rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("i")).repartition(8, "h", "i").withColumn("h", F.xxhash64("h", "left", "right", "i"))
     rows = cut(rows.withColumn("p", _planted(F.col("h"))))
     left = F.concat(F.regexp_extract("left", r"(?s)^.*\s", 0), F.col("p.cue"))
     right = F.concat(F.when(F.col("p.cue").rlike("[\"']$"), F.right("p.cue", F.lit(1))).otherwise(""), F.regexp_replace("right", r"^\S*", ""))
