@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -11,35 +10,15 @@ from ..config import Maintenance
 from ..functions import dates as dx, text as tx, vectors as vx
 from ..operators import boards, chunk, embed, filters, gate, graph, hybrid, index, lexical, maintain, vector, write
 from ..sources.notes import file_names
-from . import tables as tb
+from . import tables as tb, upkeep  # noqa: F401  (registers its queries)
 from .consolidate import consolidate
+from .registry import ORACLES, QUERIES, TODAY, TODAY_SQL as _TODAY, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-TODAY = dt.date(2024, 10, 1)
-_TODAY = "DATE '2024-10-01'"
 TEXT = "the that with für"
 TERMS = lexical.query_terms(TEXT)
 K = 10
 
 
-def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query; its ``dates`` are compared as ISO strings."""
-
-    def register(f: Query) -> Query:
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            return f(spark, sf).withColumns({d: F.col(d).cast("string") for d in dates})
-
-        QUERIES[f.__name__] = run if dates else f
-        if sql:
-            listed = ", ".join(f"{d}::VARCHAR AS {d}" for d in dates)
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({listed}) FROM ({sql})" if dates else sql
-        return f
-
-    return register
-
-
 # ------------------------------------------------------------------- lexical
 
 
