@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .filters import live
 from .maintain import is_active
+from ..workspace import fresh_path
 
 HOT_ENTRIES, SHARD_LINES, PAGE = 15, 200, 30
 _PREFIX = {"semantic": "INS", "procedural": "PROC"}
@@ -36,24 +37,61 @@ def scope_order(scope: Column, known: list[str]) -> Column:
     return F.struct(F.when(scope == "global", 2).when(place > 0, 0).otherwise(1).alias("group"), place.alias("place"), scope.alias("name"))
 
 
-def index_map(notes: DataFrame) -> DataFrame:
-    """scope, entries, lines: the map of live knowledge, a line for each note, by title then id."""
+def _map_entries(notes: DataFrame) -> DataFrame:
+    """scope, t, i, line of live knowledge; t and i are what lines are ordered by."""
     rows = notes.where(is_active(F.col("status")) & F.col("type").isin(*_PREFIX))
     prefix = F.when(F.col("type") == "semantic", "INS").otherwise("PROC")
     tail = F.concat_ws(" · ", prefix, "agent", "confidence")
     line = F.concat(F.lit("- [["), F.col("note_id"), F.lit("]] — "), F.coalesce("title", F.lit("")), F.lit(" · "), tail)
-    entry = F.struct(F.lower("title").alias("t"), F.col("note_id").alias("i"), line.alias("line"))
-    grouped = rows.groupBy("scope").agg(F.count("*").alias("entries"), F.sort_array(F.collect_list(entry)).alias("e"))
+    return rows.select("scope", F.lower("title").alias("t"), F.col("note_id").alias("i"), line.alias("line"))
+
+
+def index_lines(notes: DataFrame) -> DataFrame:
+    """scope, entry (from 1), line: the map of live knowledge as a row for each note, by title then id.
+
+    Rows are cut into ranges of that order and written out; an entry's number is its
+    place in its range and the scope's rows in the ranges before, so a scope may be of any size.
+    """
+    spark, path = notes.sparkSession, fresh_path(notes.sparkSession, "index-lines")
+    _map_entries(notes).repartitionByRange("scope", "t", "i").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("scope", "part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("scope").alias("_scope"), F.col("part").alias("_part"), (F.sum("n").over(Window.partitionBy("scope").orderBy("part")) - F.col("n")).alias("before"))
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("scope", "part").orderBy("t", "i")))
+    joined = placed.join(before, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("part") == F.col("_part")))
+    return joined.select("scope", (F.col("before") + F.col("at")).alias("entry"), "line")
+
+
+def index_files(lines: DataFrame, known: list[str] | None = None, shard_lines: int = SHARD_LINES) -> DataFrame:
+    """path, place, entry, line of the index, from what ``index_lines`` returns.
+
+    One file, or one for each scope if it would be longer than ``shard_lines``.
+    ``place`` sorts the scopes of a file: the known ones as listed, the others, global.
+    """
+    sizes = lines.groupBy("scope").agg((F.count("*") + 4).alias("n")).agg(F.sum("n").alias("n"))
+    sharded = (F.col("n") > shard_lines) & (F.col("scope") != "global")
+    path = F.when(sharded, F.concat(F.lit("indices/"), "scope", F.lit(".md"))).otherwise("index.md")
+    return lines.join(F.broadcast(sizes)).select(path.alias("path"), scope_order(F.col("scope"), known or []).alias("place"), "entry", "line")
+
+
+def index_map(notes: DataFrame) -> DataFrame:
+    """scope, entries, lines: the map of live knowledge, a line for each note, by title then id.
+
+    A scope's map is one row, as a file of it is one; ``index_lines`` has no such bound.
+    """
+    grouped = _map_entries(notes).groupBy("scope").agg(F.count("*").alias("entries"), F.sort_array(F.collect_list(F.struct("t", "i", "line"))).alias("e"))
     return grouped.select("scope", "entries", F.array_join("e.line", "\n").alias("lines"))
 
 
-def index_documents(maps: DataFrame, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """path, body: one index, or a file for each scope if it would be longer than ``shard_lines``.
+def index_documents(maps: DataFrame, shard_lines: int = SHARD_LINES, known: list[str] | None = None) -> DataFrame:
+    """path, place, body: one index, or a file for each scope if it would be longer than ``shard_lines``.
 
-    ``maps`` is what ``index_map`` returns: a row for each scope.
+    ``maps`` is what ``index_map`` returns: a row for each scope.  ``place`` puts the
+    known scopes first, as listed, and global last.
     """
     total = maps.agg((F.sum(F.col("entries") + 4)).alias("n"))
-    return maps.join(F.broadcast(total)).select(F.when((F.col("n") > shard_lines) & (F.col("scope") != "global"), F.concat(F.lit("indices/"), "scope", F.lit(".md"))).otherwise("index.md").alias("path"), F.concat(F.lit("## "), "scope", F.lit("\n\n"), "lines").alias("body"))
+    path = F.when((F.col("n") > shard_lines) & (F.col("scope") != "global"), F.concat(F.lit("indices/"), "scope", F.lit(".md"))).otherwise("index.md")
+    return maps.join(F.broadcast(total)).select(path.alias("path"), scope_order(F.col("scope"), known or []).alias("place"), F.concat(F.lit("## "), "scope", F.lit("\n\n"), "lines").alias("body"))
 
 
 def status_counts(notes: DataFrame) -> DataFrame:

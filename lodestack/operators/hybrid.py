@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import filters as flt
 from .graph import expand
-from .lexical import bm25, query_terms, top
+from .lexical import bm25, bm25_stored, query_terms, top
 from .vector import above, cosine_topk
 from ..config import Retrieval
 from ..functions.text import excerpt
@@ -22,20 +22,29 @@ def pool_size(k: int) -> int:
     return max(5 * k, 40)
 
 
-def min_max(scores: DataFrame, column: str) -> DataFrame:
+def min_max(scores: DataFrame, column: str, pooled: bool = False) -> DataFrame:
     """``column`` scaled to 0..1 over the list; all equal, or alone, is 1.
 
-    The extremes are one broadcast row rather than a window over everything.
+    The extremes are one broadcast row, for which ``scores`` is computed a second
+    time.  A list that is ``pooled``, cut to a few rows, is scaled in one task instead.
     """
-    ends = scores.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    lo, hi = F.min(column), F.max(column)
+    if pooled:
+        everything = Window.partitionBy(F.lit(0))
+        ranged = scores.withColumns({"_lo": lo.over(everything), "_hi": hi.over(everything)})
+    else:
+        ranged = scores.join(F.broadcast(scores.agg(lo.alias("_lo"), hi.alias("_hi"))))
     scaled = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    return scores.join(F.broadcast(ends)).withColumn(column, scaled).drop("_lo", "_hi")
+    return ranged.withColumn(column, scaled).drop("_lo", "_hi")
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, weights: Retrieval = Retrieval()) -> DataFrame:
-    """chunk_id, score, cos over the union of (chunk_id, cos) and (chunk_id, score); a missing half is 0."""
-    left = min_max(vector.select("chunk_id", "cos", F.col("cos").alias("v")), "v")
-    right = min_max(lexical.select("chunk_id", F.col("score").alias("b")), "b")
+    """chunk_id, score, cos over the union of (chunk_id, cos) and (chunk_id, score); a missing half is 0.
+
+    Both are pools of candidates, cut to ``pool_size`` before.
+    """
+    left = min_max(vector.select("chunk_id", "cos", F.col("cos").alias("v")), "v", pooled=True)
+    right = min_max(lexical.select("chunk_id", F.col("score").alias("b")), "b", pooled=True)
     both = left.join(right, "chunk_id", "full_outer")
     score = F.coalesce("v", F.lit(0.0)) * weights.vector_weight + F.coalesce("b", F.lit(0.0)) * weights.bm25_weight
     return both.select("chunk_id", score.alias("score"), F.coalesce("cos", F.lit(0.0)).alias("cos"))
@@ -68,20 +77,25 @@ def spread(seeds: DataFrame, reached: DataFrame, direct: DataFrame, statuses: Da
     return seeds.select("note_id", "score", F.lit(0).alias("hops"), F.array("note_id").alias("path")).union(new.select("note_id", score.alias("score"), "hops", "path"))
 
 
-def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, vector: list[float], k: int = 8, filters: Mapping[str, Any] | None = None, hops: int | None = None, settings: Retrieval = Retrieval()) -> DataFrame:
+def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, vector: list[float], k: int = 8, filters: Mapping[str, Any] | None = None, hops: int | None = None, settings: Retrieval = Retrieval(), index: str | None = None) -> DataFrame:
     """The k best notes for a query, with scores, provenance and an excerpt.
 
     ``chunks`` is (chunk_id, note_id, ordinal, text, embedding), ``notes`` (note_id,
     type, scope, agent, profile, status, confidence, tags, title).  Filters reach
     both scans before their cuts.  Texts are joined to the k winners only.  A chunk
-    without an embedding (null) is found by its words alone.
+    without an embedding (null) is found by its words alone.  ``index`` is the path of
+    a stored index of the chunks, which spares their texts being read and cut.
     """
     allowed = flt.apply(notes, filters).select("note_id")
     kept = chunks.join(allowed, "note_id", "left_semi")
     pool = pool_size(k)
     dense = cosine_topk(kept.where("embedding is not null").select(F.col("chunk_id").alias("id"), "embedding"), vector, pool).where(above(F.col("cos"))).withColumnRenamed("id", "chunk_id")
-    marked = chunks.select("chunk_id", "text", "note_id").join(allowed.withColumn("_ok", F.lit(True)), "note_id", "left")
-    sparse = top(bm25(marked, query, F.col("_ok")), pool)
+    if index is None:
+        marked = chunks.select("chunk_id", "text", "note_id").join(allowed.withColumn("_ok", F.lit(True)), "note_id", "left")
+        scores = bm25(marked, query, F.col("_ok"))
+    else:
+        scores = bm25_stored(chunks.sparkSession, index, query, kept)
+    sparse = top(scores, pool)
     found = fuse(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")
     folded = fold_to_notes(found)
     direct = penalise(folded.join(notes.select("note_id", "status"), "note_id"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine, is_valid, l2_normalize
 
-#: Queries in one broadcast; rows in one block of a pair search.
-QUERY_BLOCK, PAIR_BLOCK = 4096, 2048
+#: Queries in one broadcast or block; rows in one block of a search and of a pair search.
+QUERY_BLOCK, ROW_BLOCK, PAIR_BLOCK = 4096, 16384, 2048
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -22,38 +22,72 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return scored.drop("embedding").orderBy(F.desc("cos"), "id").limit(max(k, 0))
 
 
-def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _unit(rows: pa.ChunkedArray | pd.Series) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay zero."""
+    matrix = np.array(rows.to_pylist() if hasattr(rows, "to_pylist") else rows.to_list(), np.float64)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def _best(cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``cos`` (queries by rows) the columns of its k best, ties by id, and their cosines."""
+    by_id = np.argsort(ids, kind="stable")
+    cos = cos[:, by_id]
+    order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    return by_id[order], np.take_along_axis(cos, order, axis=1)
+
+
+def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, id, cos, rank: the k most similar rows for each query (query_id, embedding).
 
-    Queries are broadcast in blocks of bounded size.  Each batch of vectors keeps
-    its own k best of a query, so the shuffle is by query and small.
+    Queries that fit one block are broadcast, and each task keeps a running k best for
+    each of them.  More are dealt to blocks, as are the vectors, and each two
+    blocks meet in one task as a matrix product; nothing passes through the driver.
+    Ties in the k-th cosine go to the lower id.
     """
-    ids = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
-    best = None
-    for at in range(0, max(len(ids), 1), QUERY_BLOCK):
-        block = queries.where(F.col("query_id").isin(ids[at : at + QUERY_BLOCK])).collect() if len(ids) > QUERY_BLOCK else queries.collect()
-        matrix = np.array([r["embedding"] for r in block], np.float64).reshape(len(block), -1)
-        size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], matrix))
-
-        def search(batches, shared=shared):
+    asked = queries.select("query_id", "embedding")
+    few = asked.limit(query_block + 1).collect()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, cos double"
+    rows = vectors.select("id", "embedding")
+    if len(few) <= query_block:
+        names = [r["query_id"] for r in few]
+        shared = vectors.sparkSession.sparkContext.broadcast((names, _unit(pd.Series([r["embedding"] for r in few])) if few else None))
+
+        def search(batches):
             names, wanted = shared.value
+            ids, cos = None, None
             for batch in batches:
-                if not batch.num_rows or not len(names):
+                if not batch.num_rows or not names:
                     continue
-                rows = np.array(batch.column("embedding").to_pylist(), np.float64)
-                size = np.linalg.norm(rows, axis=1, keepdims=True)
-                cos = wanted @ np.divide(rows, size, out=np.zeros_like(rows), where=size > 0).T
-                id_ = batch.column("id").to_numpy(zero_copy_only=False)
-                out = []
-                for q, scores in enumerate(cos):
-                    top = np.lexsort((id_, -scores))[:k]
-                    out += [(names[q], id_[i], float(scores[i])) for i in top]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "id", "cos"]), preserve_index=False)
-
-        part = vectors.select("id", "embedding").mapInArrow(search, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, cos double")
-        best = part if best is None else best.union(part)
+                new = batch.column("id").to_numpy(zero_copy_only=False)
+                scores = wanted @ _unit(batch.column("embedding")).T
+                at, scores = _best(scores, new, k)
+                new = new[at]
+                if ids is not None:
+                    new, scores = np.concatenate([ids, new], axis=1), np.concatenate([cos, scores], axis=1)
+                    order = np.stack([np.lexsort((i, -c))[:k] for i, c in zip(new, scores, strict=True)])
+                    new, scores = np.take_along_axis(new, order, axis=1), np.take_along_axis(scores, order, axis=1)
+                ids, cos = new, scores
+            if ids is not None:
+                out = pd.DataFrame({"query_id": np.repeat(np.array(names, dtype=object), ids.shape[1]), "id": ids.ravel(), "cos": cos.ravel()})
+                yield pa.RecordBatch.from_pandas(out.infer_objects(), preserve_index=False)
+
+        best = rows.mapInArrow(search, schema)
+    else:
+        sizes = asked.agg(F.count("*").alias("n")).join(rows.agg(F.count("*").alias("m"))).first()
+        q_blocks, v_blocks = -(-sizes["n"] // query_block), max(-(-sizes["m"] // row_block), 1)
+        deal = lambda df, key, own, own_n, other, other_n: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+        left = deal(asked, "query_id", "x", q_blocks, "y", v_blocks)
+        right = deal(rows, "id", "y", v_blocks, "x", q_blocks)
+
+        def meet(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(wanted) or not len(found):
+                return pd.DataFrame({"query_id": wanted.query_id[:0], "id": found.id[:0], "cos": np.array([], np.float64)})
+            ids = found.id.to_numpy()
+            at, cos = _best(_unit(wanted.embedding) @ _unit(found.embedding).T, ids, k)
+            return pd.DataFrame({"query_id": np.repeat(wanted.query_id.to_numpy(), at.shape[1]), "id": ids[at].ravel(), "cos": cos.ravel()})
+
+        best = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -61,6 +61,18 @@ def bm25_accent_fold(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25(_docs(spark, sf), "für fur élé").withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_bm25_sql(TERMS)} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT {K}")
+def bm25_stored_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """bm25_topk from a stored index, which is made once for each session."""
+    return lexical.top(lexical.bm25_stored(spark, tb.lexical_index(spark, sf), TEXT), K).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_bm25_sql(TERMS, _KEEP)} SELECT chunk_id, round(score, 6) AS score FROM bm")
+def bm25_stored_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from a stored index, of some sources in one language."""
+    return lexical.bm25_stored(spark, tb.lexical_index(spark, sf), TEXT, _docs(spark, sf).where(_KEEP)).withColumn("score", F.round("score", 6))
+
+
 _BATCH = """, p AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM p GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tok), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 q AS (SELECT doc_id AS query_id, term, count(*) AS times FROM (SELECT doc_id, unnest(t[1:5]) AS term FROM tok WHERE doc_id % 100 = 0) GROUP BY ALL),
@@ -142,10 +154,11 @@ def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------- hybrid
 
 
-def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _halves(spark: SparkSession, sf: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     pool = hybrid.pool_size(K)
+    scores = lexical.bm25_stored(spark, tb.lexical_index(spark, sf), TEXT) if stored else lexical.bm25(_docs(spark, sf), TEXT)
     dense = vector.cosine_topk(_vectors(spark, sf).select("id", "embedding"), _query_vector(spark, sf), pool).where(vector.above(F.col("cos")))
-    return dense.withColumnRenamed("id", "chunk_id"), lexical.top(lexical.bm25(_docs(spark, sf), TEXT), pool)
+    return dense.withColumnRenamed("id", "chunk_id"), lexical.top(scores, pool)
 
 
 _HALVES = f"""WITH {_bm25_sql(TERMS)}, sparse AS (SELECT chunk_id, score FROM bm ORDER BY score DESC, chunk_id LIMIT 50),
@@ -171,14 +184,27 @@ def hybrid_fold_max_by(spark: SparkSession, sf: str) -> DataFrame:
 _NOTES = tb.SQL["notes"]
 
 
-@query(f"{_HALVES}, {_NOTES} SELECT note_id, round(CASE WHEN status = 'ativo' THEN score ELSE score / 2 END, 6) AS score, status FROM fused JOIN notes ON doc_id = chunk_id ORDER BY CASE WHEN status = 'ativo' THEN score ELSE score / 2 END DESC, note_id LIMIT {K}")
-def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: documents as one-chunk notes, both halves fused, penalised and cut."""
+_SEARCH = f"{_HALVES}, {_NOTES} SELECT note_id, round(CASE WHEN status = 'ativo' THEN score ELSE score / 2 END, 6) AS score, status FROM fused JOIN notes ON doc_id = chunk_id ORDER BY CASE WHEN status = 'ativo' THEN score ELSE score / 2 END DESC, note_id LIMIT {K}"
+
+
+def _searched(spark: SparkSession, sf: str, stored: bool) -> DataFrame:
     notes = tb.notes(spark, sf).select("doc_id", "note_id", "status")
-    found = hybrid.fuse(*_halves(spark, sf)).join(notes, F.col("chunk_id") == F.col("doc_id"))
+    found = hybrid.fuse(*_halves(spark, sf, stored)).join(notes, F.col("chunk_id") == F.col("doc_id"))
     return hybrid.penalise(found).orderBy(F.desc("score"), "note_id").limit(K).select("note_id", F.round("score", 6).alias("score"), "status")
 
 
+@query(_SEARCH)
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: documents as one-chunk notes, both halves fused, penalised and cut."""
+    return _searched(spark, sf, False)
+
+
+@query(_SEARCH)
+def hybrid_search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship over a stored index, which is made once for each session."""
+    return _searched(spark, sf, True)
+
+
 @query()
 def hybrid_search_expanded(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search over all documents, those without a vector too, with filters and one hop along the citations."""
@@ -527,6 +553,15 @@ def index_map(spark: SparkSession, sf: str) -> DataFrame:
     return boards.index_map(tb.notes(spark, sf))
 
 
+_LINE = "'- [[' || note_id || ']] — ' || coalesce(title, '') || ' · ' || concat_ws(' · ', CASE type WHEN 'semantic' THEN 'INS' ELSE 'PROC' END, agent, confidence)"
+
+
+@query(f"WITH {_NOTES} SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY lower(title) NULLS FIRST, note_id) AS entry, {_LINE} AS line FROM notes WHERE status = 'ativo' AND type IN ('semantic', 'procedural')")
+def index_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """index_map as a row for each line."""
+    return boards.index_lines(tb.notes(spark, sf))
+
+
 @query(f"{tb.views('notes', 'seen')} SELECT scope, max(seen) AS latest FROM notes JOIN seen USING (note_id) GROUP BY 1", dates=("latest",))
 def active_scopes(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.active_scopes(tb.notes(spark, sf), maintain.last_seen(tb.access(spark, sf)))

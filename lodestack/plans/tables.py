@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Agent, Frontmatter, Manifest, Scopes
+from ..operators.lexical import write_index
+from ..workspace import fresh_path
 
 MANIFEST = Manifest(
     scopes=Scopes(known=tuple(f"src{i}" for i in range(18))),
@@ -75,6 +77,19 @@ def opening_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.regexp_extract("text", r"^(\S+)", 1).alias("note_id"), F.concat(F.lit("d"), "doc_id").alias("path"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the stored index of the documents, made once for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = fresh_path(spark, "lexical")
+        write_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)
+        _stored[key] = path
+    return _stored[key]
+
+
 #: The same views for DuckDB.
 SQL = {
     "notes": """notes AS (SELECT d.doc_id, 'd' || d.doc_id AS note_id, 'vault/' || source || '/d' || d.doc_id || '.md' AS path,

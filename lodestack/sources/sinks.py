@@ -14,9 +14,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def write_documents(docs: DataFrame, path: str) -> None:
     """(path, body) -> one text file for each path below ``path``, in a folder named for it.
 
-    Parts of one document are joined in order of ``body``.
+    Parts of one document are joined in order of ``place`` where there is such a column, and then of ``body``.
     """
-    whole = docs.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("body")), "\n\n").alias("value"))
+    order = ["place", "body"] if "place" in docs.columns else ["body"]
+    parts = F.sort_array(F.collect_list(F.struct(*order)))
+    whole = docs.groupBy("path").agg(F.array_join(parts["body"], "\n\n").alias("value"))
     whole.withColumn("document", F.regexp_replace("path", "[^A-Za-z0-9._-]+", "_")).select("document", "value").write.mode("overwrite").partitionBy("document").text(path)
 
 

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.maintain import last_seen
 from ..sources.logs import parse_access
 
+#: Buckets of a merged table; the driver sees a number for each.
+BUCKETS = 64
+
 
 def stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """The records of a growing folder of JSON lines."""
@@ -30,22 +34,48 @@ def flush(records: DataFrame, apply: Callable[[DataFrame], None], checkpoint: st
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def merge_into(spark: SparkSession, path: str) -> Callable[[DataFrame], None]:
-    """An ``apply`` that keeps note_id, seen as a Parquet table of two alternating versions."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.utils import AnalysisException
+def _newest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The last version of a merged table and the version that holds each bucket."""
+    try:
+        listed = spark.read.parquet(f"{path}/versions")
+    except AnalysisException:
+        return 0, {}
+    rows = listed.where(F.col("v") == listed.agg(F.max("v")).first()[0]).collect()
+    return rows[0]["v"], {r["bucket"]: r["at"] for r in rows}
+
+
+def _folders(path: str, marks: dict[int, int]) -> list[str]:
+    return [f"{path}/rows/v={v}/bucket={b}" for b, v in marks.items()]
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """note_id, seen as the last whole ``merge_into`` left them."""
+    marks = _newest(spark, path)[1]
+    schema = "note_id string, seen date"
+    return spark.read.schema(schema).parquet(*_folders(path, marks)) if marks else spark.createDataFrame([], schema)
+
+
+def merge_into(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Callable[[DataFrame], None]:
+    """An ``apply`` that keeps note_id, seen in buckets by a hash of the note; ``current`` reads them.
+
+    A batch rewrites only the buckets that it touches, and counts when its list of
+    buckets is written.  Folders that the newest list does not name may be removed
+    when nobody reads them.  ``buckets`` is fixed for the life of the table.
+    """
 
     def apply(seen: DataFrame) -> None:
-        found = []
-        for side in ("a", "b"):
-            try:
-                found.append((spark.read.parquet(f"{path}/{side}").agg(F.max("version")).first()[0] or 0, side))
-            except AnalysisException:
-                found.append((-1, side))
-        version, side = max(found)
-        old = spark.read.parquet(f"{path}/{side}").select("note_id", "seen") if version >= 0 else None
-        both = seen if old is None else old.unionByName(seen)
-        merged = both.groupBy("note_id").agg(F.max("seen").alias("seen")).withColumn("version", F.lit(version + 1))
-        merged.write.mode("overwrite").parquet(f"{path}/{'b' if side == 'a' else 'a'}")
+        spark = seen.sparkSession
+        new = seen.select("note_id", "seen").withColumn("bucket", F.pmod(F.xxhash64("note_id"), F.lit(buckets)).cast("int")).persist()
+        touched = {r[0] for r in new.select("bucket").distinct().collect()}
+        version, marks = _newest(spark, path)
+        if touched:
+            both, held = new.select("note_id", "seen"), {b: v for b, v in marks.items() if b in touched}
+            if held:
+                both = both.unionByName(spark.read.schema("note_id string, seen date").parquet(*_folders(path, held)))
+            merged = both.groupBy("note_id").agg(F.max("seen").alias("seen")).withColumn("bucket", F.pmod(F.xxhash64("note_id"), F.lit(buckets)).cast("int"))
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/v={version + 1}")
+            rows = sorted((marks | dict.fromkeys(touched, version + 1)).items())
+            spark.createDataFrame(rows, "bucket int, at int").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={version + 1}")
+        new.unpersist()
 
     return apply

@@ -144,6 +144,23 @@ def test_cosine_topk(spark):
     assert batch[1, 1] == 1 and batch[1, 2] == 2 and batch[4, 1] == 4 and len(batch) == 8
 
 
+@pytest.mark.parametrize("blocks", [(100, 100), (3, 4), (1, 1), (7, 100)])
+def test_cosine_topk_batch_whatever_the_blocks(spark, blocks):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-2, 3, size=3).astype(float).tolist()) for i in range(30)]
+    v = table(spark, rows, "id long, embedding array<double>")
+    asked = v.where("id % 4 = 0").select(F.col("id").alias("query_id"), "embedding")
+    unit = [np.array(e) / (np.linalg.norm(e) or 1) for _, e in rows]
+    got = {(r.query_id, r["rank"]): (round(r.cos, 9), r.id) for r in vector.cosine_topk_batch(v, asked, 5, *blocks).collect()}
+    for q in range(0, 30, 4):
+        ranked = [got[q, n][0] for n in range(1, 6)]
+        assert ranked == sorted((round(float(u @ unit[q]), 9) for u in unit), reverse=True)[:5]
+        assert all(c == round(float(unit[q] @ unit[i]), 9) for n in range(1, 6) for c, i in [got[q, n]])
+    none = table(spark, [], "id long, embedding array<double>")
+    assert vector.cosine_topk_batch(none, asked, 5, *blocks).count() == 0
+    assert vector.cosine_topk_batch(v, none.withColumnRenamed("id", "query_id"), 5, *blocks).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 3, 100])
 def test_similar_pairs_whatever_the_blocks(spark, block):
     rng = np.random.default_rng(0)
@@ -195,6 +212,37 @@ def test_bm25_equals_sqlite(spark):
 # hybrid
 
 
+def test_a_stored_index_scores_alike(spark, tmp_path):
+    texts = ["the fur of für", "", "the the a", None, "fur", "x y z", "the"]
+    chunks = table(spark, list(enumerate(texts)), "chunk_id long, text string")
+    lexical.write_index(chunks, str(tmp_path))
+    for q in ("the für", "fur FUR z", "nowhere", "", "the für fur"):
+        want = {r.chunk_id: r.score for r in lexical.bm25(chunks, q).collect()}
+        assert {r.chunk_id: r.score for r in lexical.bm25_stored(spark, str(tmp_path), q).collect()} == pytest.approx(want)
+    few = chunks.where("chunk_id in (0, 1, 6)")
+    want = {r.chunk_id: r.score for r in lexical.bm25(chunks, "the", F.col("chunk_id").isin(0, 1, 6)).collect()}
+    assert {r.chunk_id: r.score for r in lexical.bm25_stored(spark, str(tmp_path), "the", few).collect()} == pytest.approx(want) and set(want) == {0, 6}
+    plan = lexical.bm25_stored(spark, str(tmp_path), "the")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_index_lines_number_each_scope(spark):
+    notes = table(spark, [(f"n{i:03}", f"s{i % 3}" if i % 7 else None, f"T{i * 37 % 20}" if i % 5 else None) for i in range(200)], "note_id string, scope string, title string")
+    notes = notes.withColumns({"type": F.lit("semantic"), "status": F.lit(None).cast("string"), "agent": F.lit("x"), "confidence": F.lit("low")})
+    lines = boards.index_lines(notes)
+    got = {}
+    for r in lines.orderBy("entry").collect():
+        got.setdefault(r.scope, []).append((r.entry, r.line))
+    whole = {r.scope: r.lines.split("\n") for r in boards.index_map(notes).collect()}
+    assert {s: [x for _, x in rows] for s, rows in got.items()} == whole
+    assert all([n for n, _ in rows] == list(range(1, len(rows) + 1)) for rows in got.values())
+    files = boards.index_files(lines.where("scope is not null"), ["s2"], 10)
+    assert {r.path for r in files.select("path").distinct().collect()} == {"indices/s0.md", "indices/s1.md", "indices/s2.md"}
+    one_file = boards.index_files(lines.where("scope is not null"), ["s2"], 1000)
+    first = one_file.orderBy("path", "place", "entry").first()
+    assert first.path == "index.md" and first.place.name == "s2" and first.entry == 1
+
+
 def test_min_max_and_fusion(spark):
     dense = table(spark, [("a", 0.9), ("b", 0.5)], "chunk_id string, cos double")
     sparse = table(spark, [("b", 3.0)], "chunk_id string, score double")

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -73,7 +74,8 @@ def test_access_stream(spark, tmp_path):
     write = lambda name, *rows: put(logs_dir, name, "\n".join(json.dumps(r) for r in rows) + '\n{"torn')
     apply = access.merge_into(spark, table)
     run = lambda f: access.flush(access.stream(spark, str(logs_dir)), f, state).awaitTermination()
-    seen = lambda: {r.note_id: str(r.seen) for side in "ab" for r in _latest(spark, table, side)}
+    seen = lambda: {r.note_id: str(r.seen) for r in access.current(spark, table).collect()}
+    assert seen() == {}
     write("1.jsonl", {"ts": "2026-01-02T00:00:00Z", "kind": "get", "ids": ["a", "b"]}, {"ts": "2026-01-05T23:30:00-03:00", "kind": "get", "ids": ["a"]})
     run(apply)
     assert seen() == {"a": "2026-01-06", "b": "2026-01-02"}
@@ -89,9 +91,13 @@ def test_access_stream(spark, tmp_path):
     assert seen() == {"a": "2026-01-06", "b": "2026-01-02", "c": "2026-01-01"}
 
 
-def _latest(spark, path, side):
-    import os
-
-    sides = {s: spark.read.parquet(f"{path}/{s}") for s in "ab" if os.path.isdir(f"{path}/{s}")}
-    best = max(sides, key=lambda s: sides[s].agg(F.max("version")).first()[0])
-    return sides[side].collect() if side == best else []
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    apply = access.merge_into(spark, str(tmp_path), 8)
+    rows = lambda *r: spark.createDataFrame([(n, dt.date(2026, 1, d)) for n, d in r], "note_id string, seen date")
+    apply(rows(*[(f"n{i}", 5) for i in range(40)]))
+    apply(rows(("n3", 9), ("n4", 1)))
+    apply(rows())
+    assert len(list((tmp_path / "rows" / "v=1").glob("bucket=*"))) == 8
+    assert len(list((tmp_path / "rows" / "v=2").glob("bucket=*"))) <= 2 and not (tmp_path / "rows" / "v=3").exists()
+    got = {r.note_id: r.seen.day for r in access.current(spark, str(tmp_path)).collect()}
+    assert got == {f"n{i}": 9 if i == 3 else 5 for i in range(40)}
