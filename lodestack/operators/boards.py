@@ -31,6 +31,11 @@ def hot_board(notes: DataFrame, today: dt.date | None = None, hot_days: int = 0,
     return shown.join(sizes, "scope")
 
 
+def hot_scopes(board: DataFrame) -> DataFrame:
+    """scope, latest of what ``hot_board`` returns, the most recently touched scope first, ties by name."""
+    return board.groupBy("scope").agg(F.max("recency").alias("latest")).orderBy(F.desc_nulls_last("latest"), "scope")
+
+
 def scope_order(scope: Column, known: list[str]) -> Column:
     """Sort key: known scopes in their order, others by name, global last."""
     place = F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), scope)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import filters as flt
-from .graph import expand
+from .graph import expand, via
 from .lexical import bm25, bm25_stored, query_terms, top
 from .vector import above, cosine_topk
 from ..config import Retrieval
 from ..functions.text import excerpt
 
 HOP_DECAY, DEAD_PENALTY = 0.5, 0.5
+#: What a hit shows of its note.
+HIT_FIELDS = ("title", "scope", "type", "status", "agent", "profile", "confidence", "tags")
 
 
 def pool_size(k: int) -> int:
@@ -78,7 +81,7 @@ def spread(seeds: DataFrame, reached: DataFrame, direct: DataFrame, statuses: Da
 
 
 def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, vector: list[float], k: int = 8, filters: Mapping[str, Any] | None = None, hops: int | None = None, settings: Retrieval = Retrieval(), index: str | None = None) -> DataFrame:
-    """The k best notes for a query, with scores, provenance and an excerpt.
+    """The k best notes for a query, with scores, how links led to them, fields and an excerpt.
 
     ``chunks`` is (chunk_id, note_id, ordinal, text, embedding), ``notes`` (note_id,
     type, scope, agent, profile, status, confidence, tags, title).  Filters reach
@@ -97,16 +100,25 @@ def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, ve
         scores = bm25_stored(chunks.sparkSession, index, query, kept)
     sparse = top(scores, pool)
     found = fuse(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")
-    folded = fold_to_notes(found)
-    direct = penalise(folded.join(notes.select("note_id", "status"), "note_id"))
+    # A pool of notes, used four times below.
+    direct = penalise(fold_to_notes(found).join(notes.select("note_id", "status"), "note_id")).persist()
     seeds = direct.orderBy(F.desc("score"), "note_id").limit(k)
     hops = settings.hops_default if hops is None else hops
     reached = expand(edges, seeds.select("note_id"), hops, settings.hops_max)
     # a note may be reached from several seeds; the best score counts
     all_hits = spread(seeds, reached, direct, notes.select("note_id", "status"))
     hits = all_hits.orderBy(F.desc("score"), "note_id").limit(k)
-    texts = folded.select("note_id", "best_chunk", "similarity")
-    hits = hits.join(texts, "note_id", "left").join(notes.select("note_id", "title", "scope", "type", "status"), "note_id")
-    body = chunks.select(F.col("chunk_id").alias("best_chunk"), "text")
-    shown = hits.join(body, "best_chunk", "left").withColumn("excerpt", excerpt(F.col("text"), query_terms(query)))
-    return shown.select("note_id", F.round("score", 6).alias("score"), F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"), "hops", "path", "title", "scope", "type", "status", "excerpt").orderBy(F.desc("score"), "note_id")
+    hits = hits.join(direct.select("note_id", "best_chunk", "similarity"), "note_id", "left").join(notes.select("note_id", *HIT_FIELDS), "note_id")
+    # the best chunk, or the opening one of a note that links led to
+    choice = F.struct(F.coalesce(F.col("chunk_id") != F.col("best_chunk"), F.lit(True)), "ordinal", "chunk_id")
+    texts = hits.select("note_id", "best_chunk").join(chunks.select("note_id", "chunk_id", "ordinal", "text"), "note_id").groupBy("note_id").agg(F.min_by("text", choice).alias("text"))
+    shown = hits.join(texts, "note_id", "left").withColumn("excerpt", excerpt(F.col("text"), query_terms(query)))
+    chain = F.when(F.col("hops") > 0, via(F.col("path"))).alias("via")
+    link = F.concat(F.lit("[["), "note_id", F.lit("]]")).alias("wikilink")
+    return shown.select("note_id", link, F.round("score", 6).alias("score"), F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"), "hops", "path", chain, *HIT_FIELDS, "excerpt").orderBy(F.desc("score"), "note_id")
+
+
+def accesses(hits: DataFrame, at: dt.datetime) -> DataFrame:
+    """ts, kind, ids: the access record of one search's hits, for ``logs.write_access``; no hits, no record."""
+    ids = hits.agg(F.array_sort(F.collect_set("note_id")).alias("ids")).where(F.size("ids") > 0)
+    return ids.select(F.lit(at.isoformat()).alias("ts"), F.lit("search").alias("kind"), "ids")

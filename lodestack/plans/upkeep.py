@@ -206,6 +206,12 @@ def stale_report_top20(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.longest_untested(maintain.stale(tb.notes(spark, sf), TODAY, 180)).limit(20)
 
 
+@query(f"WITH {_NOTES} SELECT scope, max(coalesce(modified, created)) AS latest FROM notes WHERE status = 'ativo' AND type IN ('semantic', 'procedural') GROUP BY 1 ORDER BY latest DESC, scope LIMIT 5", dates=("latest",))
+def hot_scopes_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The five scopes that come first on the board."""
+    return boards.hot_scopes(boards.hot_board(tb.notes(spark, sf))).limit(5)
+
+
 @query("SELECT DISTINCT source AS scope FROM documents WHERE source IS NOT NULL")
 def distinct_scopes(spark: SparkSession, sf: str) -> DataFrame:
     return boards.distinct_scopes(tb.notes(spark, sf))

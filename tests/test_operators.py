@@ -277,6 +277,14 @@ def test_search(spark):
     assert [r[0] for r in run(k=5, hops=0, filters={"scope": "q", "status": "arquivado"})] == ["c"]
     with pytest.raises(ValueError):
         run(k=5, hops=3)
+    hits = hybrid.search(chunks, notes, edges, "fox", [1.0, 0.0], k=5)
+    shown = {r.note_id: r for r in hits.collect()}
+    assert shown["a"].via is None and shown["d"].via == "[[a]] → [[d]]" and shown["d"].wikilink == "[[d]]"
+    opening = {r.note_id: r.text for r in chunks.orderBy(F.desc("ordinal")).collect()}
+    assert shown["d"].excerpt == (opening.get("d") or "")
+    at = dt.datetime(2026, 1, 2, 3)
+    assert [tuple(r) for r in hybrid.accesses(hits, at).collect()] == [("2026-01-02T03:00:00", "search", ["a", "b", "d"])]
+    assert hybrid.accesses(hits.where("false"), at).count() == 0
 
 
 def test_filters(spark):
