@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, sharding, warc, wordpiece
+from . import chat, decontaminate, licenses, merkle, mixing, ngram_join, packing, pii, quality, sharding, sql, variants, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +75,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+#: Vocabulary of op11.
+WORDS = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), WORDS, 2048))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document, and the root that it leads to, a third of them tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = docs.select("doc_id", merkle.group_key(F.col("lang")).alias("group"), merkle.leaf_hash(*fields, F.col("text")).alias("leaf"), F.when(tampered, merkle.leaf_hash(*fields, variants.lower_ascii(F.col("text")))).alias("changed"))
+    proved = merkle.prove(merkle.manifest(leaves, "group", ["doc_id"]), "changed")
+    return proved.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, their form and its root."""
+    return variants.group_spellings(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op8_wordpiece_counts, op9_warc, op10_pii)}
+    found = (op1_ngram_jaccard, op2_license_scan, op3_source_mixing, op4_sharding, op5_decontaminate, op6_kneser_ney_rules, op7_chat_format, op8_wordpiece_counts, op9_warc, op10_pii, op11_harmonic_packing, op12_merkle_manifest, op13_spelling_variants)
+    return {f.__name__: f for f in found}
 
 
 _CHAT = r"""
@@ -138,4 +163,4 @@ c AS (SELECT u AS doc_id, min(v) AS class_id FROM reach GROUP BY 1), k AS (SELEC
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": _JACCARD, "op2_license_scan": _LICENSES, "op7_chat_format": _CHAT, "op9_warc": _WARC}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": _JACCARD, "op2_license_scan": _LICENSES, "op7_chat_format": _CHAT, "op9_warc": _WARC, "op12_merkle_manifest": sql.merkle(), "op13_spelling_variants": sql.VARIANTS}
