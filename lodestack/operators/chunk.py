@@ -8,6 +8,8 @@ running pass that says where chunks begin.  Nothing is shuffled and no Python ru
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let, places, runs, scan, shared_prefix
@@ -130,15 +132,16 @@ def chunks(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
     return F.filter(stripped, lambda c: ~_blank(c["raw_text"]))
 
 
-def chunk_notes(notes: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, contextual: bool = True) -> DataFrame:
+def chunk_notes(notes: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, contextual: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """note_id, chunk_id, ordinal, heading_path, raw_text, embed_text for notes (note_id, body, scope, title, tags).
 
     Null and blank bodies have no chunks.  Notes are chunked where they lie; the
-    other columns stay in the row, so nothing is shuffled.
+    other columns stay in the row, so nothing is shuffled.  ``keep`` names columns of the
+    notes that come last.
     """
     if max_chars <= 0 or not 0 <= overlap < max_chars:
         raise ValueError("max_chars must be positive and overlap between 0 and max_chars")
-    cols = ["note_id", "scope", "title", "tags"]
+    cols = list(dict.fromkeys(["note_id", "scope", "title", "tags", *keep]))
     rows = notes.select(*cols, F.posexplode(chunks(F.col("body"), max_chars, overlap)).alias("ordinal", "part")).select(*cols, "ordinal", "part.heading_path", "part.raw_text")
     prefix = context_prefix(F.col("scope"), F.col("title"), F.col("tags"), F.col("heading_path")) if contextual else F.lit("")
-    return rows.select("note_id", F.concat_ws("#", "note_id", "ordinal").alias("chunk_id"), "ordinal", "heading_path", "raw_text", embed_text(prefix, F.col("raw_text")).alias("embed_text"))
+    return rows.select("note_id", F.concat_ws("#", "note_id", "ordinal").alias("chunk_id"), "ordinal", "heading_path", "raw_text", embed_text(prefix, F.col("raw_text")).alias("embed_text"), *keep)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 DIM = 256
 _WORD = re.compile(r"\w+")
@@ -85,6 +86,21 @@ def embed_with(rows: DataFrame, provider: Callable[[], Callable[[list[str]], np.
     return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<double>")
 
 
+def add_embeddings(rows: DataFrame, text: str, provider: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = HASHED_TOGETHER) -> DataFrame:
+    """``rows`` with the embedding of the column ``text`` beside it, so that nothing is joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = provider()
+        for part in batches:
+            for at in range(0, part.num_rows, batch):
+                piece = part.slice(at, batch)
+                vectors = np.asarray(embed([t or "" for t in piece.column(text).to_pylist()]), np.float64)
+                ends = pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.ListArray.from_arrays(ends, pa.array(vectors.reshape(-1)))], [*piece.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
+
 def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, text) -> (id, embedding) by feature hashing."""
     if dim < 1:

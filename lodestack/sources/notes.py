@@ -30,6 +30,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), text.alias("text")).where(~F.col("path").rlike(r"/\.[^/]*$"))
 
 
+def decoded(content: Column) -> Column:
+    """A file's bytes as text without byte order mark, lines ended by LF; bytes that are no UTF-8 are replaced."""
+    return F.regexp_replace(F.regexp_replace(F.decode(content, "utf-8"), "^\ufeff", ""), r"\r\n?", "\n")
+
+
 def split_head(text: Column) -> tuple[Column, Column]:
     """(front matter or null, body); a head that is not closed is body."""
     has = text.rlike(HEAD)
@@ -78,6 +83,50 @@ def parse_notes(files: DataFrame) -> DataFrame:
     return rows.select(name.alias("note_id"), "path", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folders"), *fields, *[listed(n).alias(n) for n in _LISTS], keys, F.try_parse_json("json").alias("frontmatter"), "malformed", "body")
 
 
+#: Words that YAML reads as something else than text.
+_WORDS = "null|true|false|yes|no|on|off|y|n|~"
+
+
+def yaml_text(value: Column) -> Column:
+    """Text as YAML: bare where that is safe, else quoted."""
+    text = value.cast("string")
+    bare = text.rlike(r"^[\p{L}_/][\p{L}\p{N}_/., ()+-]*$") & ~text.rlike(rf"(?i)^({_WORDS})$") & ~text.rlike(r"\s$")
+    return F.when(bare | text.isNull(), text).otherwise(F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1))
+
+
+def yaml_value(value: Column, kind: str) -> Column:
+    """A column of type ``kind`` as YAML on one line; null stays null."""
+    if kind.startswith("array"):
+        return F.when(value.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: F.regexp_extract(F.to_json(F.array(x.cast("string"))), r"(?s)^\[(.*)\]$", 1)), ", "), F.lit("]")))
+    return yaml_text(value) if kind == "string" else value.cast("string")
+
+
+def rendered(notes: DataFrame, fields: list[str]) -> Column:
+    """A note's file: the fields that are not null as front matter, in that order, and ``body`` with one newline at its end."""
+    kinds = dict(notes.dtypes)
+    lines = [F.concat(F.lit(f"{c}: "), yaml_value(F.col(c), kinds[c])) for c in fields]
+    head = F.concat_ws("\n", *lines)
+    body = F.concat(F.regexp_replace(F.coalesce("body", F.lit("")), r"^\n+|\n+$", ""), F.lit("\n"))
+    return F.when(head == "", body).otherwise(F.concat(F.lit("---\n"), head, F.lit("\n---\n"), body))
+
+
+def patched(text: Column, fields: dict[str, Column]) -> Column:
+    """``text`` with fields of its front matter set; nothing else of the file changes.
+
+    Values are YAML on one line (``yaml_value``); a null one leaves its field alone.  A
+    field that is not there goes to the end of the head, a head that is not there is made.
+    A key's further lines, indented or of a list, go with it.
+    """
+    for key, value in fields.items():
+        line = F.concat(F.lit(f"{key}: "), value, F.lit("\n"))
+        head, body = split_head(text)
+        own = rf"(?m)^{key}[ \t]*:.*\n(?:(?:[ \t]+.*|-[ \t].*|[ \t]*)\n)*"
+        inner = F.coalesce(head, F.lit(""))
+        set_ = F.when(inner.rlike(own), F.regexp_replace(inner, F.lit(own), F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))).otherwise(F.concat(inner, line))
+        text = F.when(value.isNull(), text).otherwise(F.concat(F.lit("---\n"), set_, F.lit("---\n"), body))
+    return text
+
+
 def render_note(fields: dict, body: str) -> str:
     """Front matter in the given order and the body, with one newline at the end."""
     import yaml

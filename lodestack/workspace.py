@@ -1,11 +1,12 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what can be done to files in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, its lineage forgotten."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if there is no folder."""
+    fs, at = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
