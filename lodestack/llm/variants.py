@@ -1,11 +1,12 @@
 r"""Spelling variants: words one edit apart, grouped by the most frequent form.
 
 Words are counted over all documents.  Pairs at one edit are found by asymmetric
-q-chunks: of the shorter word (either, at equal lengths) two disjoint chunks, its first
-and last half; of the longer one the positional grams of that size.  One edit leaves one
-of the chunks whole and moves it by one place at most, so words that share a chunk and a
-gram within a shift of one are the candidates, and each is verified by its edit distance.
-Only grams that can meet a chunk are made: those within one of its place.
+q-chunks: the shorter word (either, at equal lengths) gives two disjoint chunks, its first
+and last half; the longer one its positional grams of that size.  One edit leaves one of
+the chunks whole and moves it by one place at most: the first stays at its place, the last
+keeps its distance to the end, so no other gram is made.  The edit is then in the other
+half, which is cut into two chunks again: one of these is whole too.  Words that share
+such a half and a quarter are the candidates, and each is verified by its edit distance.
 
 Everything is DataFrame functions.  A frequent chunk is an ordinary skewed join key
 between two written tables, which AQE may split.
@@ -50,31 +51,32 @@ def word_counts(docs: DataFrame, every: int = 31, least_chars: int = LEAST_CHARS
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def chunks(words: DataFrame) -> DataFrame:
-    """(word, size, side, gram): the first (0) and the last (1) half of each word; size is its length."""
-    size, q = F.length("word"), F.floor(F.length("word") / 2).cast("int")
-    halves = F.array(F.struct(F.lit(0).alias("side"), F.substring("word", F.lit(1), q).alias("gram")), F.struct(F.lit(1).alias("side"), F.substring("word", size - q + 1, q).alias("gram")))
-    return words.select("word", size.alias("size"), F.explode(halves).alias("c")).select("word", "size", "c.side", "c.gram")
+def chunks(words: DataFrame, shorter: bool) -> DataFrame:
+    """(word, size, side, part, gram) of ``words`` (word): half and quarter of a word of ``size`` letters.
 
-
-def grams(words: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(word, size, side, gram): grams that chunks of words as long, or one shorter, can be at a shift of one at most."""
-    m = F.length("word")
-    sized = words.select("word", m.alias("m"), F.explode(F.array(m, m - 1)).alias("size")).where(F.col("size") >= least_chars)
-    sized = sized.withColumn("q", F.floor(F.col("size") / 2).cast("int"))
-    place = lambda side: F.col("size") - F.col("q") if side else F.lit(0)
-    near = lambda side: [F.struct(F.lit(side).alias("side"), (place(side) + s).alias("at")) for s in (-1, 0, 1)]
-    placed = sized.select("word", "size", "q", "m", F.explode(F.array(*near(0), *near(1))).alias("p")).where(F.col("p.at").between(0, F.col("m") - F.col("q")))
-    return placed.select("word", "size", "p.side", F.substring("word", F.col("p.at") + 1, F.col("q")).alias("gram")).distinct()
+    ``side`` says which half is whole, ``part`` which quarter of the other one.  With
+    ``shorter``, the chunks of each word by its own size; else the grams that are in their
+    places for words as long and for words one shorter.
+    """
+    m, size = F.length("word"), F.col("size")
+    sizes = F.array(m) if shorter else F.array(m, m - 1)
+    half = F.floor(size / 2).cast("int")
+    sized = words.select("word", m.alias("m"), F.explode(sizes).alias("size")).select("*", half.alias("q"), F.floor((size - half) / 2).cast("int").alias("u"))
+    m, q, u = F.col("m"), F.col("q"), F.col("u")
+    v = size - q - u
+    cut_at = lambda start, length: F.substring("word", start + 1, length)
+    first, last = cut_at(F.lit(0), q), cut_at(m - q, q)
+    made = [(0, 0, first, cut_at(q, u)), (0, 1, first, cut_at(m - v, v)), (1, 0, last, cut_at(F.lit(0), u)), (1, 1, last, cut_at(m - q - v, v))]
+    each = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(part).alias("part"), F.concat(whole, more).alias("gram")) for side, part, whole, more in made])
+    return sized.select("word", "size", F.explode(each).alias("c")).select("word", "size", "c.side", "c.part", "c.gram")
 
 
 def near_pairs(words: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(a, b): every two words of ``words`` (word; distinct, at least ``least_chars`` long) that one edit parts, once."""
-    left = table(chunks(words).withColumnRenamed("word", "a"), "chunks")
-    right = table(grams(words, least_chars).withColumnRenamed("word", "b"), "chunks")
-    on = ["size", "side", "gram"]
+    left = table(chunks(words, True).withColumnRenamed("word", "a"), "chunks")
+    right = table(chunks(words, False).where(F.col("size") >= least_chars).withColumnRenamed("word", "b"), "chunks")
     ordered = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
-    found = left.join(right, on).where(ordered & (F.levenshtein("a", "b", 1) == 1))
+    found = left.join(right, ["size", "side", "part", "gram"]).where(ordered & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "b").distinct()
 
 
@@ -110,6 +112,6 @@ def group_spellings(docs: DataFrame, every: int = 31) -> DataFrame:
 
     Repeated rows count again, a null doc_id is written as nothing, null and empty texts
     have no words, other columns are ignored.  Texts are read whole; a very long word makes
-    ten grams of half its length.
+    a dozen keys of three quarters of its length.
     """
     return variants(table(word_counts(docs, every), "words"))
