@@ -11,6 +11,8 @@ from ..functions.vectors import cosine, is_valid, l2_normalize
 
 #: Queries in one broadcast or block; rows in one block of a search and of a pair search.
 QUERY_BLOCK, ROW_BLOCK, PAIR_BLOCK = 4096, 16384, 2048
+#: Digits of a cosine beyond which it depends on the order of its sum.
+NOISE_DIGITS = 12
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -143,5 +145,5 @@ def delete(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 
 def above(score: Column, floor: float = 0.0) -> Column:
-    """Only similarities above the floor count; apply after the top-k cut."""
-    return score > floor
+    """Only similarities above the floor count, by more than the noise of their sums; apply after the top-k cut."""
+    return F.round(score, NOISE_DIGITS) > floor
