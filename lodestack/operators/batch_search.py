@@ -83,6 +83,7 @@ def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequenc
     sizes = many.join(rows, keys) if keys else many.join(rows)
     deal = lambda df, key, own, own_n, other, other_n: (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes))).withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("_nx", "_ny")
     left = deal(asked.select("query_id", "embedding", "filters", *keys), "query_id", "_x", "_nx", "_y", "_ny")
+    left = left.toDF(*left.columns)  # queries may be rows of the corpus
     right = deal(held.select("chunk_id", "embedding", *FIELDS, *[k for k in keys if k not in FIELDS]), "chunk_id", "_y", "_ny", "_x", "_nx")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, cos double"
 

@@ -23,6 +23,8 @@ from ..workspace import cut
 
 #: (path) -> (path, content): how contents are read.
 Reader = Callable[[DataFrame], DataFrame]
+#: What embeds lists of texts, set up once a task.
+Provider = Callable[[], Callable[[list[str]], np.ndarray]]
 FIELDS = ("type", "scope", "agent", "profile", "status", "confidence", "tags", "title")
 
 
@@ -65,7 +67,12 @@ def _compared(known: DataFrame | None, now: DataFrame, full: bool, partial: bool
     return both.withColumn("look", look)
 
 
-def chunked(files: DataFrame, provider: Callable[[], Callable[[list[str]], np.ndarray]], settings: Mapping[str, Any]) -> DataFrame:
+def NO_VECTORS() -> Callable[[list[str]], np.ndarray]:  # noqa: N802
+    """Provider of an index of words alone."""
+    raise TypeError("no texts are embedded")
+
+
+def chunked(files: DataFrame, provider: Provider, settings: Mapping[str, Any]) -> DataFrame:
     """Chunks with their note's fields and vectors, from (path, content)."""
     notes = parse_notes(files.select("path", decoded(F.col("content")).alias("text")))
     kind = maintain.type_of(F.col("folders"), F.col("tags"), "tag_first")
@@ -73,16 +80,20 @@ def chunked(files: DataFrame, provider: Callable[[], Callable[[list[str]], np.nd
     clean = [blank_to_null(F.col(c)).alias(c) for c in ("scope", "agent", "profile", "confidence")]
     rows = notes.select("note_id", kind.alias("type"), *clean, status.alias("status"), "tags", "title", "body")
     made = chunk_notes(rows, settings.get("max_chars", MAX_CHARS), settings.get("overlap", OVERLAP), settings.get("contextual", True), FIELDS)
-    return embed.add_embeddings(made.withColumnRenamed("embed_text", "text"), "text", provider)
+    made = made.withColumnRenamed("embed_text", "text")
+    if provider is NO_VECTORS:
+        return made.withColumn("embedding", F.lit(None).cast("array<double>"))
+    return embed.add_embeddings(made, "text", provider)
 
 
-def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provider: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, settings: Mapping[str, Any] | None = None, full: bool = False, partial: bool = False) -> Report:
+def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provider: Provider | None = None, settings: Mapping[str, Any] | None = None, full: bool = False, partial: bool = False) -> Report:
     """Bring the index below ``path`` up to the listing (path, mtime, perhaps read_only).
 
     ``settings`` (``embedding``: the provider's name, ``max_chars``, ``overlap``,
     ``contextual``) are what the index depends on: others than the stored ones, or
     ``full``, make it anew.  A ``partial`` listing names notes to be read whatever their
-    mtime, and says nothing of others.  Of files with one name the first path counts.
+    mtime, and says nothing of others.  Of files with one name the first path counts.  With
+    ``NO_VECTORS`` chunks have null embeddings and are found by their words alone.
     """
     settings = {"embedding": "hash-256", **(settings or {})}
     mark = index.fingerprint(settings)

@@ -318,12 +318,12 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk.chunk_notes(tb.notes(spark, sf))
+    return chunk.chunk_notes(tb.notes(spark, sf, busy=True))
 
 
 @query()
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return embed.hash_embed(tb.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return embed.hash_embed(tb.spread(tb.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 
 # ----------------------------------------------------------------------- graph
@@ -632,3 +632,6 @@ def note_get(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' numbers as wikilinks to notes, some of which do not exist."""
     refs = tb.table(spark, sf, "customer").select(F.concat(F.lit("[[d"), "c_custkey", F.lit("|x]]")).alias("ref"))
     return write.get(tb.notes(spark, sf).select("note_id", "title"), refs)
+
+
+from . import stored  # noqa: E402,F401  (registers its queries, which use the SQL above)

@@ -20,9 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as notes: source is the scope, language the type, labels give status and confidence."""
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan dealt to all cores where its files are too few to keep them busy."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def notes(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """Documents as notes: source is the scope, language the type, labels give status and confidence.
+
+    ``busy`` deals them to all cores, for work that costs more than a shuffle.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = spread(docs) if busy else docs
     d, day = F.col("doc_id"), lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % n).cast("int"))
     kind = F.when(F.col("lang") == "en", "semantic").when(F.col("lang") == "de", "procedural").when(F.col("lang") == "fr", "episodic").otherwise("research")
     status = F.when(F.col("toxic") == 1, "arquivado").when(F.col("quality") == 0, "deprecado").otherwise("ativo")
