@@ -22,8 +22,9 @@ from ..config import CONFIDENCE, Maintenance, Retrieval
 from ..functions.text import TOKEN, fold, tokens
 from . import filters as flt
 from .hybrid import DEAD_PENALTY, pool_size
-from .lexical import idf, postings, term_score
+from .lexical import idf, posted, term_score
 from .vector import NOISE_DIGITS, _best, _unit
+from ..workspace import cut
 
 FILTERS = "map<string,array<string>>"
 #: Queries and vectors of one block.
@@ -111,20 +112,21 @@ def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequenc
 def sparse_pools(index: DataFrame, fields: DataFrame, queries: DataFrame, pool: int, n: int, words: int, same: Sequence[str] = ()) -> DataFrame:
     """query_id, chunk_id, score: each query's ``pool`` best chunks by BM25 that pass its filters.
 
-    ``index`` is the postings (chunk_id, length, term, tf) of ``n`` chunks with ``words``
-    tokens in all, ``fields`` (chunk_id, the ``FIELDS``) of those chunks.
+    ``index`` is the postings (chunk_id, length, term, tf, the ``same`` columns) of ``n``
+    chunks with ``words`` tokens in all, ``fields`` (chunk_id, the ``FIELDS``) of those
+    chunks.  Postings are shuffled once; how many chunks hold a term is counted before that.
     """
     keys = list(same)
-    asked = queries.select("query_id", "filters", *keys, F.explode(terms_of(F.col("text"))).alias("term"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("_df"))
+    asked = queries.select("query_id", *keys, F.explode(terms_of(F.col("text"))).alias("term")).groupBy("query_id", *keys, "term").agg(F.count("*").alias("times"))
+    wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    df = index.groupBy("term").agg(F.count("*").alias("_df")).join(wanted, "term").drop("_asked")
+    asked = cut(asked.join(df, "term"))
     weight = term_score(idf(F.lit(float(n)), F.col("_df")), F.col("tf"), F.col("length"), F.lit(words / n if n else 1.0))
-    scored = hits.join(df, "term").select("chunk_id", "term", weight.alias("_s"))
-    placed = scored.join(fields.select("chunk_id", *dict.fromkeys((*FIELDS, *keys))), "chunk_id")
-    met = placed.join(asked, ["term", *keys]).where(passes(F.col("filters")))
-    sums = met.groupBy("query_id", "chunk_id").agg(F.sum("_s").alias("score"))
+    met = index.join(asked, ["term", *keys])
+    sums = met.groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
+    placed = sums.join(fields.select("chunk_id", *FIELDS), "chunk_id").join(queries.select("query_id", "filters"), "query_id").where(passes(F.col("filters")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return sums.withColumn("_r", rank).where(F.col("_r") <= pool).drop("_r")
+    return placed.select("query_id", "chunk_id", "score", rank.alias("_r")).where(F.col("_r") <= pool).drop("_r")
 
 
 def fuse_pools(dense: DataFrame, sparse: DataFrame, weights: Retrieval = Retrieval()) -> DataFrame:
@@ -155,8 +157,13 @@ def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     if "filters" not in queries.columns:
         queries = queries.withColumn("filters", F.lit(None).cast(FILTERS))
     fields = chunks.select("chunk_id", "note_id", "embedding").join(notes.select("note_id", *dict.fromkeys((*FIELDS, *same))), "note_id")
-    if index is None:
-        made = postings(chunks)
+    keys = ["note_id", *same]
+    if index is not None:
+        placed = index[0].join(chunks.select("chunk_id", "note_id").join(notes.select(*keys), "note_id").drop("note_id"), "chunk_id") if same else index[0]
+        index = (placed, *index[1:])
+    else:
+        rows = chunks.select("chunk_id", "note_id", "text")
+        made = posted(rows.join(notes.select(*keys), "note_id") if same else rows, ["chunk_id", *same])
         index = (made, *chunks.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first())
     pool = pool_size(k)
     dense = dense_pools(fields, queries, pool, same)

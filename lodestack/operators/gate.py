@@ -67,7 +67,7 @@ def _shared_rules(manifest: Manifest, level: str = "reject") -> list[tuple[str,
         ("agent_unknown", level, (agent != "") & ~fine_agent),
         ("profile_unknown", level, fine_agent & (_text("profile") != "") & ~profile_fits(manifest)),
         ("denylist_keys", level, denied("keys", manifest.frontmatter.denylist_keys)),
-        ("denylist_tags", level, denied("tags", manifest.frontmatter.denylist_tags)),
+        ("denylist_tags", level, denied(F.transform("tags", lambda t: F.regexp_replace(F.trim(t), "^#+", "")), manifest.frontmatter.denylist_tags)),
     ]
 
 

@@ -117,9 +117,26 @@ def hubs(edges: DataFrame, notes: DataFrame, top: int = 5) -> DataFrame:
     return degree.withColumn("_r", rank).where(F.col("_r") <= top).select("type", "note_id", "degree")
 
 
+_LINK = ("source", "target", "relation", "origin")
+
+
+def judged_links(existing: DataFrame, proposed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Proposed (source, target, relation, origin), each once, with ``reason``: blank, self, unknown, known, or null if it is new.
+
+    Links are compared with nulls equal, so what was appended is never appended again.
+    """
+    rows = proposed.select(*_LINK).distinct()
+    known = lambda name: ids.select(F.col("note_id").alias(name), F.lit(True).alias(f"{name}_ok")).distinct()
+    there = existing.select(*[F.col(c).alias(f"_{c}") for c in _LINK], F.lit(True).alias("_there")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _LINK]
+    rows = rows.join(known("source"), "source", "left").join(known("target"), "target", "left").join(there, same, "left")
+    blank = F.lit(False)
+    for c in ("source", "target", "relation"):
+        blank = blank | (F.trim(F.coalesce(c, F.lit(""))) == "")
+    reason = F.when(blank, "blank").when(F.col("source") == F.col("target"), "self").when(F.col("source_ok").isNull() | F.col("target_ok").isNull(), "unknown").when(F.col("_there"), "known")
+    return rows.select(*_LINK, reason.alias("reason"))
+
+
 def new_links(existing: DataFrame, proposed: DataFrame, ids: DataFrame) -> DataFrame:
     """Proposed (source, target, relation, origin) that are not there yet and join two different known notes."""
-    known = ids.select("note_id")
-    fine = proposed.where((F.col("source") != F.col("target")) & (F.trim("relation") != "")).distinct()
-    fine = fine.join(known, F.col("source") == F.col("note_id"), "left_semi").join(known, F.col("target") == F.col("note_id"), "left_semi")
-    return fine.join(existing, ["source", "target", "relation", "origin"], "left_anti")
+    return judged_links(existing, proposed, ids).where("reason is null").select(*_LINK)

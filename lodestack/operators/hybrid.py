@@ -14,6 +14,7 @@ from .lexical import bm25, bm25_stored, query_terms, top
 from .vector import above, cosine_topk
 from ..config import Retrieval
 from ..functions.text import excerpt
+from ..workspace import cut
 
 HOP_DECAY, DEAD_PENALTY = 0.5, 0.5
 #: What a hit shows of its note.
@@ -100,8 +101,9 @@ def search(chunks: DataFrame, notes: DataFrame, edges: DataFrame, query: str, ve
         scores = bm25_stored(chunks.sparkSession, index, query, kept)
     sparse = top(scores, pool)
     found = fuse(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")
-    # A pool of notes, used four times below.
-    direct = penalise(fold_to_notes(found).join(notes.select("note_id", "status"), "note_id")).persist()
+    # a pool of notes, used four times below, so written once
+    direct = penalise(fold_to_notes(found).join(notes.select("note_id", "status"), "note_id"))
+    direct = cut(direct)
     seeds = direct.orderBy(F.desc("score"), "note_id").limit(k)
     hops = settings.hops_default if hops is None else hops
     reached = expand(edges, seeds.select("note_id"), hops, settings.hops_max)

@@ -101,23 +101,29 @@ def active_scopes(notes: DataFrame, seen: DataFrame) -> DataFrame:
     return notes.join(seen, "note_id").groupBy("scope").agg(F.max("seen").alias("latest"))
 
 
-def type_of(folders: Column, tags: Column, rule: str) -> Column:
-    """A note's type from its folder names (nearest last) and mem/ tags.
+#: Memory types in their order, and the folders that stand for them.
+TYPE_FOLDERS = {"episodic": "Episodic", "semantic": "Semantic", "procedural": "Procedural", "research": "Research"}
 
-    ``tag_first`` takes the tag, then the two nearest folders; ``folder_first`` any
-    folder, then the tag; ``folder_only`` any folder.  Of several folders that name a
-    type the nearest counts.
+
+def type_of(folders: Column, tags: Column, rule: str, root: str | None = None) -> Column:
+    """A note's type from its folder names (nearest last, case counts) and mem/ tags.
+
+    ``tag_first`` takes the tag, then the nearer of the two nearest folders;
+    ``folder_first`` the first type, in their order, that any folder stands for, then the
+    tag; ``folder_only`` the folder right below ``root``, or the topmost one.
     """
-    kinds = F.array(*map(F.lit, ("episodic", "semantic", "procedural", "research")))
-    lower = F.transform(folders, F.lower)
+    kinds = F.array(*map(F.lit, TYPE_FOLDERS))
+    known = F.create_map(*[F.lit(x) for kind, folder in TYPE_FOLDERS.items() for x in (folder, kind)])
     by_tag = F.get(F.filter(kinds, lambda k: F.array_contains(tags, F.concat(F.lit("mem/"), k))), F.lit(0))
-    by_folder = lambda f: F.get(F.filter(F.reverse(f), lambda x: F.array_contains(kinds, x)), F.lit(0))
+    stands_for = lambda f: F.when(f.isNotNull(), F.element_at(known, f))
     if rule == "tag_first":
-        return F.coalesce(by_tag, by_folder(F.slice(lower, F.greatest(F.size(lower) - 1, F.lit(1)), F.lit(2))))
+        n = F.size(folders)
+        return F.coalesce(by_tag, stands_for(F.get(folders, n - 1)), stands_for(F.get(folders, n - 2)))
     if rule == "folder_first":
-        return F.coalesce(by_folder(lower), by_tag)
+        return F.coalesce(F.get(F.filter(kinds, lambda k: F.array_contains(F.transform(folders, stands_for), k)), F.lit(0)), by_tag)
     if rule == "folder_only":
-        return by_folder(lower)
+        place = F.lit(0) if root is None else F.nullif(F.array_position(folders, F.lit(root)), F.lit(0)).cast("int")
+        return stands_for(F.get(folders, place))
     raise ValueError(f"unknown rule {rule!r}")
 
 

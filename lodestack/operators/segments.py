@@ -1,7 +1,7 @@
 """A stored index that changes: segments of chunks with their postings, and the notes that each replaces.
 
 A write adds one segment: the new chunks, their postings dealt by a hash of the term, and
-the note_ids whose chunks in all earlier segments no longer count.  Nothing that was
+the chunks of earlier segments, those of the notes that it replaces, that no longer count.  Nothing that was
 written before is touched.  A segment counts when a new version names it, so chunks,
 vectors (columns of the chunks), postings and the state of files change together or not
 at all; readers keep the version that they opened.  One writer at a time.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
 from ..workspace import children, remove
-from .lexical import idf, query_terms, term_score
+from .lexical import idf, posted, query_terms, term_score
 
 #: Most folders that a segment's postings are dealt to, and chunks that fill one of them.
 BUCKETS, BUCKET_CHUNKS = 256, 4096
@@ -88,18 +88,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _dead(spark: SparkSession, stored: Stored) -> DataFrame | None:
-    """(note_id, until): chunks of a note in segments before ``until`` are void."""
-    parts = [spark.read.schema("note_id string").parquet(stored.at(s, "gone")).select("note_id", F.lit(s.segment).alias("until")) for s in stored.segments if s.gone]
-    return _union(parts).groupBy("note_id").agg(F.max("until").alias("until")) if parts else None
+    """(chunk_id, until): a chunk in segments before ``until`` is void."""
+    parts = [spark.read.schema("chunk_id string").parquet(stored.at(s, "gone")).select("chunk_id", F.lit(s.segment).alias("until")) for s in stored.segments if s.gone]
+    return _union(parts).groupBy("chunk_id").agg(F.max("until").alias("until")) if parts else None
 
 
 def _living(spark: SparkSession, stored: Stored, rows: DataFrame) -> DataFrame:
-    """``rows`` (note_id, segment, ...) that no later segment has made void."""
+    """``rows`` (chunk_id, segment, ...) that no later segment has made void."""
     dead = _dead(spark, stored)
     if dead is None:
         return rows
-    d = dead.withColumnRenamed("note_id", "_gone")
-    return rows.join(d, (rows["note_id"] == d["_gone"]) & (rows["segment"] < d["until"]), "left_anti")
+    d = dead.withColumnRenamed("chunk_id", "_gone")
+    return rows.join(d, (rows["chunk_id"] == d["_gone"]) & (rows["segment"] < d["until"]), "left_anti")
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -115,16 +115,16 @@ def chunks(spark: SparkSession, stored: Stored) -> DataFrame:
 
 
 def postings(spark: SparkSession, stored: Stored, terms: list[str] | None = None) -> DataFrame:
-    """chunk_id, note_id, length, term, tf of the chunks that count; of some ``terms``, only their folders are read."""
+    """chunk_id, length, term, tf of the chunks that count; of some ``terms``, only their folders are read."""
     parts = []
     for s in stored.segments:
         if s.chunks:
-            rows = spark.read.schema("chunk_id string, note_id string, length int, term string, tf int, bucket int").parquet(stored.at(s, "postings"))
+            rows = spark.read.schema("chunk_id string, length int, term string, tf int, bucket int").parquet(stored.at(s, "postings"))
             if terms is not None:
                 rows = rows.where(F.col("bucket").isin(*[_bucket(F.lit(t), s.buckets) for t in terms]) & F.col("term").isin(*terms)) if terms else rows.where(F.lit(False))
             parts.append(rows.drop("bucket").withColumn("segment", F.lit(s.segment)))
     if not parts:
-        return spark.createDataFrame([], "chunk_id string, note_id string, length int, term string, tf int")
+        return spark.createDataFrame([], "chunk_id string, length int, term string, tf int")
     return _living(spark, stored, _union(parts)).drop("segment")
 
 
@@ -140,9 +140,7 @@ def state(spark: SparkSession, stored: Stored) -> DataFrame | None:
 
 
 def _posted(rows: DataFrame, buckets: int) -> DataFrame:
-    terms = rows.select("chunk_id", "note_id", "length", F.explode(tokens(F.col("text"))).alias("term"))
-    counted = terms.groupBy("chunk_id", "note_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    return counted.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    return posted(rows, ["chunk_id"]).withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
 
 def write(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | None = None, of_state: Callable[[DataFrame], DataFrame] | None = None, settings: str = "", fresh: bool = False) -> Stored:
@@ -166,9 +164,9 @@ def write(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | Non
         _posted(made, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
     lost = (0, 0)
     if gone is not None and kept:
-        gone.select("note_id").distinct().write.mode("overwrite").parquet(f"{at}/gone")
-        void = spark.read.schema("note_id string").parquet(f"{at}/gone")
-        lost = chunks(spark, Stored(path, old.version, tuple(kept))).join(void, "note_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        void = chunks(spark, Stored(path, old.version, tuple(kept))).join(gone.select("note_id").distinct(), "note_id", "left_semi")
+        void.select("chunk_id", "length").write.mode("overwrite").parquet(f"{at}/gone")
+        lost = spark.read.schema("chunk_id string, length int").parquet(f"{at}/gone").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if of_state is not None:
         of_state(made).write.mode("overwrite").parquet(f"{at}/state")
     segment = Segment(number, buckets, n, total, gone is not None and bool(kept), lost[0], lost[1], of_state is not None, settings)
@@ -209,19 +207,19 @@ def expire(spark: SparkSession, path: str) -> list[str]:
 
 
 def bm25(spark: SparkSession, stored: Stored, query: str, keep: DataFrame | None = None) -> DataFrame:
-    """chunk_id, note_id and score of the chunks that hold a query term, as ``lexical.bm25`` gives them.
+    """chunk_id and score of the chunks that hold a query term, as ``lexical.bm25`` gives them.
 
     ``keep`` is (chunk_id) of the chunks that may be found; statistics cover all.
     """
     terms = query_terms(query)
     hits = postings(spark, stored, terms)
     counts = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    found = hits.groupBy("chunk_id", "note_id", "length").agg(*counts, F.lit(0))
+    found = hits.groupBy("chunk_id", "length").agg(*counts, F.lit(0))
     if not terms or not stored.chunks:
-        return found.select("chunk_id", "note_id", F.lit(0.0).alias("score")).where(F.lit(False))
+        return found.select("chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
     df = hits.agg(*[F.count_if(F.col("term") == t).alias(f"_df{i}") for i, t in enumerate(terms)])
     if keep is not None:
         found = found.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     n, average = F.lit(float(stored.chunks)), F.lit(stored.tokens / stored.chunks)
     parts = [F.when(F.col(f"_tf{i}") > 0, term_score(idf(n, F.col(f"_df{i}")), F.col(f"_tf{i}"), F.col("length"), average)).otherwise(0.0) for i in range(len(terms))]
-    return found.join(F.broadcast(df)).select("chunk_id", "note_id", sum(parts[1:], parts[0]).alias("score"))
+    return found.join(F.broadcast(df)).select("chunk_id", sum(parts[1:], parts[0]).alias("score"))

@@ -109,17 +109,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = PAIR_B
 
     def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.block == key[1]], rows[rows.block == key[2]]
-        out = []
         if len(left) and len(right):
             unit = lambda r: np.stack(r.embedding.to_list()).astype(np.float64)
             scale = lambda m: np.divide(m, n, out=np.zeros_like(m), where=n > 0) if (n := np.linalg.norm(m, axis=1, keepdims=True)) is not None else m
             cos = scale(unit(left)) @ scale(unit(right)).T
-            for i, j in zip(*np.nonzero(cos > threshold), strict=True):
-                a, b = left.iloc[i], right.iloc[j]
-                if key[1] != key[2] or a.id < b.id:
-                    a, b = (a, b) if a.id < b.id else (b, a)
-                    out.append((a.id, b.id, key[0], float(cos[i, j]), a.scope == b.scope))
-        return pd.DataFrame(out, columns=["a", "b", "kind", "cos", "same_scope"])
+            i, j = np.nonzero(cos > threshold)
+            a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+            same = left.scope.to_numpy()[i] == right.scope.to_numpy()[j]
+            ordered = a < b
+            some = ordered if key[1] == key[2] else np.ones(len(a), bool)
+            found = {"a": np.where(ordered, a, b)[some], "b": np.where(ordered, b, a)[some], "cos": cos[i, j][some], "same_scope": same[some]}
+            return pd.DataFrame(found).assign(kind=key[0])[["a", "b", "kind", "cos", "same_scope"]]
+        return pd.DataFrame([], columns=["a", "b", "kind", "cos", "same_scope"])
 
     return tiles.groupBy("kind", "x", "y").applyInPandas(pairs, f"a {id_type}, b {id_type}, kind {vectors.schema['kind'].dataType.simpleString()}, cos double, same_scope boolean")
 
@@ -132,8 +133,14 @@ def validated(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
-    """``table`` with ``rows`` replacing those of the same key; the last of a repeated key (by ``seq``) wins."""
-    if seq:
+    """``table`` with ``rows`` replacing those of the same key; the last of a repeated key (by ``seq``) wins.
+
+    Without ``seq`` a repeated key fails the job: which row is the last is not known then.
+    """
+    if not seq:
+        once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string")))).otherwise(F.first(F.struct(*rows.columns)))
+        rows = rows.groupBy(key).agg(once.alias("r")).select("r.*").select(*table.columns)
+    else:
         whole = F.struct(*rows.columns)
         rows = rows.groupBy(key).agg(F.max_by(whole, seq).alias("r")).select("r.*").select(*table.columns)
     return table.join(rows, key, "left_anti").unionByName(rows)

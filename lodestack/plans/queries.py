@@ -75,24 +75,13 @@ def bm25_stored_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 _BATCH = """, p AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM p GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tok), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT doc_id AS query_id, term, count(*) AS times FROM (SELECT doc_id, unnest(t[1:5]) AS term FROM tok WHERE doc_id % 100 = 0) GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, term, count(*) AS times FROM (SELECT doc_id, unnest(t) AS term FROM tok WHERE doc_id % 100 = 0) GROUP BY ALL),
 s AS (SELECT query_id, tf.doc_id AS chunk_id, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), stats GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 5"""
 
 
 @query(tb.views("tok") + _BATCH)
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth document's first five words as a query against all documents."""
-    docs = _docs(spark, sf)
-    words = docs.select("chunk_id", tx.tokens(F.col("text")).alias("t"))
-    asked = words.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.explode(F.slice("t", F.lit(1), F.lit(5))).alias("term"))
-    found = lexical.bm25_batch(lexical.postings(docs), words.select("chunk_id", F.size("t").alias("length")), asked, 6)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    return found.withColumn("r", rank).where("r <= 5").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-@query()
-def bm25_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth document's whole text as a query against all documents."""
     docs = _docs(spark, sf)
     words = docs.select("chunk_id", tx.tokens(F.col("text")).alias("t"))
@@ -101,6 +90,12 @@ def bm25_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(tb.views("tok") + _BATCH)
+def bm25_batch_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``bm25_batch`` under its earlier name."""
+    return bm25_batch(spark, sf)
+
+
 # -------------------------------------------------------------------- vectors
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -246,19 +241,19 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return file_names(tb.notes(spark, sf).join(tb.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("note_id", name.alias("name"))).select("note_id", "file")
 
 
-_KINDS = "['episodic', 'semantic', 'procedural', 'research']"
+_KINDS = "['Episodic', 'Semantic', 'Procedural', 'Research']"
 
 
-@query(f"""WITH n AS (SELECT doc_id, {_KINDS} AS kinds, [{_KINDS}[doc_id % 4 + 1], source, upper({_KINDS}[doc_id // 4 % 4 + 1]), lang] AS f, CASE WHEN doc_id % 5 = 0 THEN 'procedural' END AS tag FROM documents)
-SELECT doc_id, coalesce(tag, lower(f[3])) AS tag_first, lower(f[3]) AS folder_first, lower(f[3]) AS folder_only, coalesce(tag, f[1]) AS outer_only FROM n""")
+@query(f"""WITH n AS (SELECT doc_id, {_KINDS}[doc_id % 4 + 1] AS outer_, {_KINDS}[doc_id // 4 % 4 + 1] AS inner_, CASE WHEN doc_id % 5 = 0 THEN 'procedural' END AS tag FROM documents)
+SELECT doc_id, coalesce(tag, lower(inner_)) AS tag_first, lower({_KINDS}[least(doc_id % 4, doc_id // 4 % 4) + 1]) AS folder_first, lower(outer_) AS folder_only, tag AS lower_case FROM n""")
 def type_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Types by folder and tag under each rule; the nearest folder counts."""
-    d, kinds = F.col("doc_id"), F.array(*map(F.lit, ("episodic", "semantic", "procedural", "research")))
-    outer, inner = F.get(kinds, (d % 4).cast("int")), F.upper(F.get(kinds, (F.floor(d / 4) % 4).cast("int")))
+    """Types by folder and tag under each rule."""
+    d, kinds = F.col("doc_id"), F.array(*map(F.lit, ("Episodic", "Semantic", "Procedural", "Research")))
+    outer, inner = F.get(kinds, (d % 4).cast("int")), F.get(kinds, (F.floor(d / 4) % 4).cast("int"))
     tags = F.when(d % 5 == 0, F.array(F.lit("mem/procedural"), "lang")).otherwise(F.array("lang"))
-    kind = lambda folders, rule: maintain.type_of(folders, tags, rule)
-    whole = F.array(outer, "source", inner, "lang")
-    return tb.table(spark, sf, "documents").select("doc_id", *[kind(whole, r).alias(r) for r in ("tag_first", "folder_first", "folder_only")], kind(F.array(outer, F.lit("x")), "tag_first").alias("outer_only"))
+    kind = lambda folders, rule: maintain.type_of(folders, tags, rule, "vault")
+    whole = F.array(F.lit("vault"), outer, "source", inner, "lang")
+    return tb.table(spark, sf, "documents").select("doc_id", *[kind(whole, r).alias(r) for r in ("tag_first", "folder_first", "folder_only")], kind(F.array(F.lower(outer), F.lower(inner)), "tag_first").alias("lower_case"))
 
 
 @query(f"WITH {_NOTES} SELECT note_id, round(CASE WHEN status = 'ativo' THEN doc_id::DOUBLE ELSE doc_id / 2.0 END, 6) AS score FROM notes")
@@ -295,14 +290,18 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tb.table(spark, sf, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(substr(text, 1, 60))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'nota') AS slug FROM documents")
+_SLUG = "SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'nota') AS slug FROM documents"
+
+
+@query(_SLUG)
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return tb.table(spark, sf, "documents").select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return tb.table(spark, sf, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'nota') AS slug FROM documents")
+@query(_SLUG)
 def slugs_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return tb.table(spark, sf, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
+    """``slugs`` under its earlier name."""
+    return slugs(spark, sf)
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

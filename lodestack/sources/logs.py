@@ -24,14 +24,21 @@ def write_access(records: DataFrame, path: str) -> None:
 
 def parse_actions(lines: DataFrame) -> DataFrame:
     """(value) -> ts, action, record (VARIANT with all fields); bad lines are skipped."""
-    rows = lines.select(F.try_parse_json("value").alias("record"))
-    rows = rows.select(F.try_variant_get("record", "$.ts", "string").alias("ts"), F.try_variant_get("record", "$.action", "string").alias("action"), "record")
+    rows = lines.select(F.try_parse_json("value").alias("record"), *[c for c in lines.columns if c == "line"])
+    rows = rows.select(F.try_variant_get("record", "$.ts", "string").alias("ts"), F.try_variant_get("record", "$.action", "string").alias("action"), "record", *[c for c in lines.columns if c == "line"])
     return rows.where("ts is not null and action is not null")
 
 
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_actions`` of the files at ``path``, with ``line``: the order of the lines in the files by name."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("line"))
+    return parse_actions(lines)
+
+
 def tail_actions(actions: DataFrame, n: int) -> DataFrame:
-    """The latest n actions."""
-    return actions.orderBy(F.desc("ts"), F.desc("action")).limit(n)
+    """The last n actions: by their lines, where ``read_actions`` gave these, else by time and then as written."""
+    order = ["line"] if "line" in actions.columns else ["ts", "action", F.to_json("record")]
+    return actions.orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).limit(max(n, 0))
 
 
 def parse_links(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..workspace import cut
+
 HEAD = r"(?s)^---[ \t]*\n(.*?\n)?---[ \t]*(?:\n|$)"
 _FIELDS = ("scope", "status", "confidence", "title", "agent", "profile", "source", "created", "modified", "last_accessed", "last_tested")
 _LISTS = ("tags", "supersedes", "evidence")
@@ -154,8 +156,14 @@ def file_names(notes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     gets it; the others of that name get the numbers from 2 on that neither a taken
     nor a wanted name has (``a-2`` may be either).  Numbered names of unlike names are
     unlike, as the last number tells them apart, so these are all that can be in use.
+    Rows with one note_id are notes of their own; a null or empty name is ``nota``.
     """
-    rows = _running(notes, "name", F.substring("note_id", 1, 16), ["note_id"], F.lit(1), "_k")
+    own = notes.columns
+    # rows are known by a number, which is fixed by writing them out
+    order = ["note_id", "_row"]
+    notes = cut(notes.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("nota"))).withColumn("_row", F.monotonically_increasing_id()))
+    notes = cut(notes.repartitionByRange("name", *order).withColumn("_part", F.spark_partition_id()))
+    rows = _running(notes, "name", F.col("_part"), order, F.lit(1), "_k")
     wanted = notes.select("name").distinct()
     if taken is None:
         used, rows = wanted, rows.withColumn("_free", F.lit(True))
@@ -165,11 +173,11 @@ def file_names(notes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     # numbers in use behind a name, and how many free ones lie below each
     parts = used.select(F.regexp_extract("name", r"(?s)^(.*)-([1-9][0-9]{0,17})$", 1).alias("base"), F.regexp_extract("name", r"(?s)^(.*)-([1-9][0-9]{0,17})$", 2).try_cast("long").alias("n")).where("n >= 2")
     run = F.floor(F.col("n") / 65536)
-    below = _running(parts, "base", run, ["n"], F.lit(1), "_j").select(F.col("base").alias("name"), (F.col("n") - 1 - F.col("_j")).alias("place"), F.lit(0).alias("is_note"), F.lit(None).cast("string").alias("note_id"))
+    below = _running(parts, "base", run, ["n"], F.lit(1), "_j").select(F.col("base").alias("name"), (F.col("n") - 1 - F.col("_j")).alias("place"), F.lit(0).alias("is_note"), F.lit(None).cast("long").alias("_row"))
     plain = F.col("_free") & (F.col("_k") == 1)
     place = F.col("_k") - 1 - F.col("_free").cast("long")
-    waiting = rows.where(~plain).select("name", place.alias("place"), F.lit(1).alias("is_note"), "note_id")
-    both = _running(below.unionByName(waiting), "name", F.floor(F.col("place") / 65536), ["place", "is_note", "note_id"], 1 - F.col("is_note"), "_skipped")
-    numbers = both.where("is_note = 1").select("name", "note_id", (2 + F.col("place") + F.col("_skipped")).alias("_n"))
-    out = rows.join(numbers, ["name", "note_id"], "left")
-    return out.withColumn("file", F.concat(F.concat_ws("-", "name", F.col("_n").cast("string")), F.lit(".md"))).select(*notes.columns, "file")
+    waiting = rows.where(~plain).select("name", place.alias("place"), F.lit(1).alias("is_note"), "_row")
+    both = _running(below.unionByName(waiting), "name", F.floor(F.col("place") / 65536), ["place", "is_note", "_row"], 1 - F.col("is_note"), "_skipped")
+    numbers = both.where("is_note = 1").select("_row", (2 + F.col("place") + F.col("_skipped")).alias("_n"))
+    out = rows.join(numbers, "_row", "left")
+    return out.withColumn("file", F.concat(F.concat_ws("-", "name", F.col("_n").cast("string")), F.lit(".md"))).select(*own, "file")

@@ -177,6 +177,9 @@ def test_vector_table(spark):
     new = table(spark, [(1, [5.0, 5.0], 1), (1, [6.0, 8.0], 2), (9, [1.0, 1.0], 1)], "id long, embedding array<double>, seq int")
     got = {r.id: r.embedding for r in vector.upsert(v, new, seq="seq").collect()}
     assert got[1] == [6.0, 8.0] and set(got) == {1, 2, 3, 4, 9}
+    assert vector.upsert(v, new.where("id = 9").drop("seq")).count() == 5
+    with pytest.raises(Exception, match="repeated key"):
+        vector.upsert(v, new.drop("seq")).collect()
     assert vector.validated(v, 2).where("id = 2").first().embedding == [1.0, 0.0]
     with pytest.raises(Exception, match="invalid vector"):
         vector.validated(table(spark, [(1, [float("nan"), 1.0])], "id long, embedding array<double>"), 2).collect()
@@ -328,6 +331,11 @@ def test_expand(spark):
     fresh = table(spark, [("a", "b", "r", "o"), ("a", "a", "r", "o"), ("a", "nope", "r", "o"), ("b", "x", "n", "o")], e.schema)
     known = table(spark, [("a",), ("b",), ("x",)], "note_id string")
     assert [tuple(r) for r in graph.new_links(e, fresh, known).collect()] == [("b", "x", "n", "o")]
+    odd = table(spark, [("a", "b", "r", None), ("b", "a", None, "o"), ("x", "a", "r", None), (None, "a", "r", "o"), ("a", "b", "r", "o"), ("b", "b", "r", "o"), ("b", "zz", "r", "o")], e.schema)
+    reasons = {(r.source, r.target): r.reason for r in graph.judged_links(e.union(odd.limit(1)), odd, known).where("source is null or origin is null or source = 'b'").collect()}
+    assert reasons == {("a", "b"): "known", ("b", "a"): "blank", ("x", "a"): None, (None, "a"): "blank", ("b", "b"): "self", ("b", "zz"): "unknown"}
+    again = e.union(graph.new_links(e, odd, known))
+    assert graph.new_links(again, odd, known).count() == 0
 
 
 # index and maintenance
@@ -397,10 +405,14 @@ def test_cycle(spark):
 def test_type_rules(spark):
     a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     kind = lambda rule, folders, tags=(): one(spark, maintain.type_of(a(*folders), a(*tags), rule))
-    assert kind("tag_first", ["episodic", "semantic"]) == kind("folder_first", ["episodic", "semantic"]) == "semantic" and kind("tag_first", ["semantic", "Episodic", "x"]) == "episodic"
-    assert kind("tag_first", ["Semantic", "x"], ["mem/procedural"]) == "procedural"
+    assert kind("tag_first", ["Episodic", "Semantic"]) == "semantic" and kind("tag_first", ["Semantic", "Episodic", "x"]) == "episodic"
+    assert kind("folder_first", ["Semantic", "Episodic"]) == kind("folder_first", ["Episodic", "x", "Semantic", "y"]) == "episodic"
+    assert kind("tag_first", ["Semantic", "x"], ["mem/procedural"]) == "procedural" and kind("tag_first", ["semantic"]) is None
     assert kind("tag_first", ["Semantic", "x", "y"]) is None and kind("folder_first", ["Semantic", "x", "y"]) == "semantic"
     assert kind("folder_first", ["x"], ["mem/research"]) == "research" and kind("folder_only", ["x"], ["mem/research"]) is None
+    assert kind("folder_only", ["Semantic", "Episodic"]) == "semantic" and kind("tag_first", []) is None
+    below = lambda *folders: one(spark, maintain.type_of(a(*folders), a(), "folder_only", "root"))
+    assert below("Episodic", "root", "Semantic", "Procedural") == "semantic" and below("Semantic") is None and below("root", "x", "Semantic") is None
 
 
 # gate
@@ -420,7 +432,7 @@ def candidate(spark, **change):
     ("change", "check"),
     [
         ({"type": "research"}, "type_disabled"), ({"scope": " "}, "scope_missing"), ({"scope": "zz"}, "scope_unknown"), ({"agent": None}, "agent_missing"), ({"agent": "z"}, "agent_unknown"),
-        ({"profile": "planner"}, "profile_unknown"), ({"keys": ["bad"]}, "denylist_keys"), ({"tags": ["no/tag"]}, "denylist_tags"), ({"confidence": "High"}, "confidence_invalid"),
+        ({"profile": "planner"}, "profile_unknown"), ({"keys": ["bad"]}, "denylist_keys"), ({"tags": ["no/tag"]}, "denylist_tags"), ({"tags": ["t", " ##no/tag"]}, "denylist_tags"), ({"confidence": "High"}, "confidence_invalid"),
         ({"source": ""}, "source_missing"), ({"type": "procedural"}, "evidence_missing"),
     ],
 )

@@ -41,6 +41,8 @@ def test_file_names(spark):
     assert named(["a", "a", "a-2"], []) == {"0": "a.md", "1": "a-3.md", "2": "a-2.md"}
     assert named(["a"], ["a", "a-2"]) == {"0": "a-3.md"}
     many = named(["a", "a-2", "a", "a-2", "a-2-2", "b", "a", "a-3"], ["a-2", "a-4", "b", "b-2", "b-3"])
+    twice = spark.createDataFrame([("1", "n"), ("1", "n"), (None, "n"), ("2", None), ("3", "")], "note_id string, name string")
+    assert sorted(r.file for r in notes.file_names(twice).collect()) == ["n-2.md", "n-3.md", "n.md", "nota-2.md", "nota.md"]
     assert len(set(many.values())) == 8 and not {x[:-3] for x in many.values()} & {"a-2", "a-4", "b", "b-2", "b-3"}
 
 
@@ -56,6 +58,13 @@ def test_logs(spark):
             logs.parse_links(lines(bad)).collect()
 
 
+def test_tail_by_lines(spark, tmp_path):
+    put(tmp_path, "a.jsonl", "".join(json.dumps({"ts": "5", "action": "x", "n": i}) + "\n" for i in range(4)) + "torn\n")
+    put(tmp_path, "b.jsonl", "".join(json.dumps({"ts": "5", "action": "x", "n": i}) + "\n" for i in range(4, 6)))
+    tail = logs.tail_actions(logs.read_actions(spark, str(tmp_path)), 3).select(F.to_json("record").alias("j")).collect()
+    assert [json.loads(r.j)["n"] for r in tail] == [5, 4, 3]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(3)
     sinks.write_table(df, str(tmp_path / "t"))
