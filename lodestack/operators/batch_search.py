@@ -109,17 +109,18 @@ def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequenc
     return best.withColumn("_r", rank).where(F.col("_r") <= pool).drop("_r")
 
 
-def sparse_pools(index: DataFrame, fields: DataFrame, queries: DataFrame, pool: int, n: int, words: int, same: Sequence[str] = ()) -> DataFrame:
+def sparse_pools(index: DataFrame, fields: DataFrame, queries: DataFrame, pool: int, n: int, words: int, same: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score: each query's ``pool`` best chunks by BM25 that pass its filters.
 
     ``index`` is the postings (chunk_id, length, term, tf, the ``same`` columns) of ``n``
     chunks with ``words`` tokens in all, ``fields`` (chunk_id, the ``FIELDS``) of those
-    chunks.  Postings are shuffled once; how many chunks hold a term is counted before that.
+    chunks.  Postings are shuffled once; how many chunks hold a term is counted before
+    that, from ``counted`` (term) if these are the same postings by a shorter way.
     """
     keys = list(same)
     asked = queries.select("query_id", *keys, F.explode(terms_of(F.col("text"))).alias("term")).groupBy("query_id", *keys, "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
-    df = index.groupBy("term").agg(F.count("*").alias("_df")).join(wanted, "term").drop("_asked")
+    df = (index if counted is None else counted).groupBy("term").agg(F.count("*").alias("_df")).join(wanted, "term").drop("_asked")
     asked = cut(asked.join(df, "term"))
     weight = term_score(idf(F.lit(float(n)), F.col("_df")), F.col("tf"), F.col("length"), F.lit(words / n if n else 1.0))
     met = index.join(asked, ["term", *keys])
@@ -144,30 +145,33 @@ def fuse_pools(dense: DataFrame, sparse: DataFrame, weights: Retrieval = Retriev
     return both.select("query_id", "chunk_id", score.alias("score"), F.coalesce("cos", zero).alias("cos"))
 
 
-def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int = 8, same: Sequence[str] = (), settings: Retrieval = Retrieval(), index: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int = 8, same: Sequence[str] = (), settings: Retrieval = Retrieval(), index: tuple[DataFrame, int, int] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """query_id, note_id, score, similarity, best_chunk, rank: the k best notes of every query.
 
     ``chunks`` is (chunk_id, note_id, ordinal, text, embedding), ``notes`` (note_id and the
     ``FIELDS``), ``queries`` (query_id, text, embedding, the ``same`` columns and perhaps
     ``filters``, a map of what ``filters.apply`` takes).  ``index`` gives stored postings
-    with their number of chunks and of tokens, and spares the texts.
+    with their number of chunks and of tokens, and spares the texts.  ``vectors`` (chunk_id,
+    embedding) may be a table of their own, so that texts are not joined to get them.
     """
     if k < 1:
         raise ValueError("k must be positive")
     if "filters" not in queries.columns:
         queries = queries.withColumn("filters", F.lit(None).cast(FILTERS))
-    fields = chunks.select("chunk_id", "note_id", "embedding").join(notes.select("note_id", *dict.fromkeys((*FIELDS, *same))), "note_id")
+    held = chunks.select("chunk_id", "note_id", "embedding") if vectors is None else chunks.select("chunk_id", "note_id").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    fields = held.join(notes.select("note_id", *dict.fromkeys((*FIELDS, *same))), "note_id")
     keys = ["note_id", *same]
     if index is not None:
         placed = index[0].join(chunks.select("chunk_id", "note_id").join(notes.select(*keys), "note_id").drop("note_id"), "chunk_id") if same else index[0]
-        index = (placed, *index[1:])
+        index, counted = (placed, *index[1:]), index[0].select("term")
     else:
         rows = chunks.select("chunk_id", "note_id", "text")
         made = posted(rows.join(notes.select(*keys), "note_id") if same else rows, ["chunk_id", *same])
+        counted = posted(rows, ["chunk_id"]).select("term")
         index = (made, *chunks.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first())
     pool = pool_size(k)
     dense = dense_pools(fields, queries, pool, same)
-    sparse = sparse_pools(index[0], fields, queries, pool, index[1], index[2], same)
+    sparse = sparse_pools(index[0], fields, queries, pool, index[1], index[2], same, counted)
     found = fuse_pools(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")
     folded = found.groupBy("query_id", "note_id").agg(F.max("score").alias("score"), F.max_by("chunk_id", F.struct("score", -F.col("ordinal"))).alias("best_chunk"), F.max("cos").alias("similarity"))
     live = notes.select("note_id", flt.live(F.col("status")).alias("_live"))
@@ -176,7 +180,7 @@ def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def near_notes(candidates: DataFrame, chunks: DataFrame, notes: DataFrame, threshold: float = Maintenance().dedup_similarity, k: int = 5, settings: Retrieval = Retrieval(), index: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def near_notes(candidates: DataFrame, chunks: DataFrame, notes: DataFrame, threshold: float = Maintenance().dedup_similarity, k: int = 5, settings: Retrieval = Retrieval(), index: tuple[DataFrame, int, int] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(note_id, similar) for the gate: of a candidate's k best hits in its type and scope, those more alike than the threshold.
 
     ``candidates`` has note_id, type, scope, text (``dedup_query``) and its embedding; a
@@ -184,7 +188,7 @@ def near_notes(candidates: DataFrame, chunks: DataFrame, notes: DataFrame, thres
     write does.
     """
     asked = candidates.select(F.col("note_id").alias("query_id"), "type", "scope", "text", "embedding")
-    hits = search_many(chunks, notes, asked, k, ("type", "scope"), settings, index)
+    hits = search_many(chunks, notes, asked, k, ("type", "scope"), settings, index, vectors)
     near = hits.where((F.col("similarity") > threshold) & (F.col("note_id") != F.col("query_id")))
     return near.groupBy(F.col("query_id").alias("note_id")).agg(F.array_sort(F.collect_set("note_id")).alias("similar"))
 

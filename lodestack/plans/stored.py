@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as vx
-from ..operators import batch_search, lexical, segments
+from ..operators import adjacency, batch_search, ivf, segments
 from ..workspace import fresh_path
 from . import index_run, queries as core, tables as tb
 from .registry import query
@@ -86,20 +86,19 @@ def segment_terms(spark: SparkSession, sf: str) -> DataFrame:
 # -------------------------------------------------------------- batched search
 
 
-def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as notes of one chunk, with the vector of their number, where there is one."""
-    notes = tb.notes(spark, sf)
-    v = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), vx.doubles(F.col("embedding")).alias("embedding"))
-    chunks = notes.join(v, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "note_id", F.lit(0).alias("ordinal"), F.col("body").alias("text"), "embedding")
-    return chunks, notes
+def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as notes of one chunk, the notes, and the vectors that have a document's number."""
+    docs = tb.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("note_id"), F.lit(0).alias("ordinal"), "text")
+    v = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), vx.doubles(F.col("embedding")).alias("embedding"))
+    return docs, tb.notes(spark, sf), v
 
 
-def _asked(chunks: DataFrame, notes: DataFrame) -> DataFrame:
+def _asked(docs: DataFrame, notes: DataFrame, vectors: DataFrame) -> DataFrame:
     """Every hundredth document as a query in its own type and scope; some take dead notes too, some want labels."""
-    q = chunks.where("chunk_id % 100 = 0").join(notes.select("note_id", "type", "scope"), "note_id")
+    q = docs.where("chunk_id % 100 = 0").join(vectors, "chunk_id", "left").join(notes.select("note_id", "type", "scope"), "note_id")
     kind = F.col("chunk_id") / 100 % 3
     own = F.when(kind == 1, F.create_map(F.lit("status"), F.array(F.lit("ativo"), F.lit("deprecado")))).when(kind == 2, F.create_map(F.lit("min_confidence"), F.array(F.lit("low"))))
-    return q.select(F.col("chunk_id").alias("query_id"), "text", "embedding", "type", "scope", own.cast(batch_search.FILTERS).alias("filters"))
+    return q.select(F.col("chunk_id").alias("query_id"), "note_id", "text", "embedding", "type", "scope", own.cast(batch_search.FILTERS).alias("filters"))
 
 
 _POOLS = f"""WITH {tb.SQL['notes']}, {tb.SQL['tok']}, tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY ALL),
@@ -120,8 +119,8 @@ hits AS (SELECT query_id, note_id, CASE WHEN status = 'ativo' THEN score ELSE sc
 @query(_POOLS.replace("POOL", "40").replace("BEST", "8") + " SELECT query_id, note_id, round(s, 6) AS score, round(cos, 6) AS similarity FROM hits")
 def hybrid_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth document, with its whole text, vector and filters, against all documents of its type and scope."""
-    chunks, notes = _corpus(spark, sf)
-    hits = batch_search.search_many(chunks, notes, _asked(chunks, notes), 8, ("type", "scope"))
+    docs, notes, vectors = _corpus(spark, sf)
+    hits = batch_search.search_many(docs, notes, _asked(docs, notes, vectors), 8, ("type", "scope"), vectors=vectors)
     return hits.select("query_id", "note_id", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -131,6 +130,48 @@ _GATE = _POOLS.replace("POOL", "40").replace("BEST", "5").replace("doc_id // 100
 @query(_GATE + " SELECT 'd' || query_id AS note_id, list(note_id ORDER BY note_id) AS similar FROM hits WHERE cos > 0.25::DOUBLE AND note_id <> 'd' || query_id GROUP BY query_id")
 def gate_near_search(spark: SparkSession, sf: str) -> DataFrame:
     """Near copies that a write of every hundredth document finds: its five best hits, those above a cosine."""
-    chunks, notes = _corpus(spark, sf)
-    asked = chunks.where("chunk_id % 100 = 0").select("note_id", "embedding").join(notes.select("note_id", "type", "scope", batch_search.dedup_query(F.col("title"), F.col("body")).alias("text")), "note_id")
-    return batch_search.near_notes(asked, chunks, notes, 0.25)
+    docs, notes, vectors = _corpus(spark, sf)
+    asked = _asked(docs, notes, vectors).withColumn("text", batch_search.dedup_query(F.substring("text", 1, 40), F.col("text")))
+    return batch_search.near_notes(asked, docs, notes, 0.25, vectors=vectors)
+
+
+# --------------------------------------------------------------- stored links
+
+
+def _links(spark: SparkSession, sf: str) -> str:
+    path = fresh_path(spark, "links")
+    adjacency.write_adjacency(tb.edges(spark, sf), path)
+    return path
+
+
+@query(f"{tb.views('edges', 'steps')}, {core._H0}, {core._H1}, {core._H2} SELECT note_id, path[1] AS seed, hops, array_to_string(path, '>') AS path FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)")
+def expand_2hop_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """expand_2hop from stored links."""
+    found = adjacency.expand_stored(spark, _links(spark, sf), core._seeds(spark, sf), 2)
+    return found.drop("relations").withColumn("path", F.array_join("path", ">"))
+
+
+@query(f"""{tb.views('edges', 'steps')}, q0 AS (SELECT p_partkey AS query_id, 'p' || p_partkey AS note_id, 0 AS hops, ['p' || p_partkey] AS path FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT p_partkey, 's' || (p_partkey // 100 % 7 + 1), 0, ['s' || (p_partkey // 100 % 7 + 1)] FROM part WHERE p_partkey % 100 = 0),
+q1 AS (SELECT query_id, there AS note_id, 1 AS hops, min(list_append(path, there)) AS path FROM q0 JOIN steps ON here = note_id WHERE (query_id, there) NOT IN (SELECT query_id, note_id FROM q0) GROUP BY 1, 2),
+q2 AS (SELECT query_id, there AS note_id, 2 AS hops, min(list_append(path, there)) AS path FROM q1 JOIN steps ON here = note_id WHERE (query_id, there) NOT IN (SELECT query_id, note_id FROM q0 UNION ALL SELECT query_id, note_id FROM q1) GROUP BY 1, 2)
+SELECT query_id, hops, count(*) AS reached, min(array_to_string(path, '>')) AS least_path FROM (SELECT * FROM q0 UNION ALL SELECT * FROM q1 UNION ALL SELECT * FROM q2) GROUP BY 1, 2""")
+def expand_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth part, with a supplier beside it, as the seeds of a query of its own: how much each hop reaches."""
+    own = F.col("p_partkey").alias("query_id")
+    parts = tb.table(spark, sf, "part").where("p_partkey % 100 = 0")
+    seeds = parts.select(own, F.concat(F.lit("p"), "p_partkey").alias("note_id")).union(parts.select(own, F.concat(F.lit("s"), F.expr("p_partkey div 100 % 7 + 1"))))
+    found = adjacency.expand_stored(spark, _links(spark, sf), seeds, 2)
+    return found.groupBy("query_id", "hops").agg(F.count("*").alias("reached"), F.min(F.array_join("path", ">")).alias("least_path"))
+
+
+# --------------------------------------------------------------- inverted lists
+
+
+@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {core._COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT query_id, id, round(cos, 6) AS cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rank FROM s QUALIFY rank <= {core.K}")
+def ivf_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth vector against an index of all by inverted lists, exactly."""
+    v = core._vectors(spark, sf).select("id", "embedding")
+    path = fresh_path(spark, "ivf")
+    ivf.write_ivf(v, path)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return ivf.search_ivf(spark, path, asked, core.K, exact=True).withColumn("cos", F.round("cos", 6))
