@@ -10,8 +10,8 @@ Template, for every turn:
     [ROLE]role[/ROLE][INST]text[/INST]     role user
     [ROLE]role[/ROLE][MSG]text</s>         any other role
 
-after one ``<s>`` for the conversation.  Control strings inside roles and texts
-are broken by a backslash after their first character and backslashes are
+after one ``<s>`` for the conversation.  Control strings inside roles and texts,
+within a part or spread over neighbouring ones, are broken by a backslash after their first character and backslashes are
 doubled, so no text can end a turn, and ``unescape`` restores it exactly.
 
 The output is run-length coded: ``segments`` is an array of (text, loss) whose
@@ -76,12 +76,19 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("files", files).withColumn("at", F.row_number().over(order))
     rows = rows.withColumn("before", F.sum(F.size("files")).over(order.rowsBetween(Window.unboundedPreceding, -1))).fillna({"before": 0})
 
-    def visit(part: Column, i: Column) -> Column:
-        ordinal = F.col("before") + F.size(F.filter(F.slice("content", F.lit(1), i), _is_attachment))
-        mark = F.concat(F.lit("["), F.upper(part["type"]), F.lit(" "), ordinal.cast("string"), F.lit("]"))
-        return F.when(_is_attachment(part), mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    # texts between two attachments are one text: a control string may be spread over parts
+    places = F.array_compact(F.transform("content", lambda p, i: F.when(_is_attachment(p), i + 1)))
+    rows = rows.withColumn("places", places)
 
-    body = F.array_join(F.transform("content", visit), "")
+    def visit(k: Column) -> Column:
+        first = F.coalesce(F.get("places", k - 1), F.lit(0)) + 1
+        last = F.coalesce(F.get("places", k), F.size("content") + 1)
+        text = F.array_join(F.transform(F.slice("content", first, last - first), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        kind = F.get("content", last - 1)["type"]
+        mark = F.concat(F.lit("["), F.upper(kind), F.lit(" "), (F.col("before") + k).cast("string"), F.lit("]"))
+        return F.concat(escape(text), F.when(k < F.size("places"), mark).otherwise(""))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.size("places")), visit), "")
     user, loss = F.col("role") == "user", F.col("role") == "assistant"
     opening = F.concat(F.lit("[ROLE]"), escape(F.col("role")), F.lit("[/ROLE]"), F.when(user, F.lit("[INST]")).otherwise(F.lit("[MSG]")))
     closing = F.when(user, F.lit("[/INST]")).otherwise(F.lit("</s>"))
