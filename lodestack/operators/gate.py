@@ -14,6 +14,7 @@ from ..functions.arrays import let
 from .chunk import FENCE
 from .embed import hash_embed
 from .vector import similar_pairs
+from ..workspace import cut
 
 KNOWLEDGE = ("semantic", "procedural")
 ATOMIC_CHARS, ATOMIC_SECTIONS = 4000, 2
@@ -81,9 +82,10 @@ def near_copies(notes: DataFrame, threshold: float = Maintenance().dedup_similar
     known = notes.where(F.col("type").isin(*KNOWLEDGE) & (_text("scope") != ""))
     known = known.select("note_id", F.col("seq").cast("long").alias("seq"), "type", _text("scope").alias("scope"), F.coalesce("body", F.lit("")).alias("body"))
     known = known.withColumn("hash", F.sha2("body", 256))
-    first = known.groupBy("type", "scope", "hash").agg(F.min("seq").alias("first"))
-    placed = known.join(first, ["type", "scope", "hash"])
-    heads = placed.where("seq = first").select(F.col("seq").alias("id"), "note_id", "type", "scope", F.col("body").alias("text"))
+    # written out, so that a join with a hot body's copies shuffles both sides plainly; bodies stay behind
+    first = cut(known.groupBy("type", "scope", "hash").agg(F.min("seq").alias("first")))
+    placed = known.drop("body").join(first, ["type", "scope", "hash"])
+    heads = known.join(first.select(F.col("first").alias("seq")), "seq").select(F.col("seq").alias("id"), "note_id", "type", "scope", F.col("body").alias("text"))
     vectors = hash_embed(heads.select("id", "text")).join(heads.select("id", F.concat_ws("/", "type", "scope").alias("kind"), "scope"), "id")
     pairs = similar_pairs(vectors.select("id", "kind", "scope", "embedding"), threshold).select("a", "b")
     both = pairs.union(pairs.select("b", "a")).toDF("first", "other")

@@ -9,20 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.maintain import last_seen
 from ..sources.logs import parse_access
+from ..workspace import children, remove
 
 #: Buckets of a merged table; the driver sees a number for each.
 BUCKETS = 64
 
 
-def stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The records of a growing folder of JSON lines."""
-    return parse_access(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
+def stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, clean: str = "off", archive: str | None = None) -> DataFrame:
+    """The records of a growing folder of JSON lines.
+
+    ``clean`` says what becomes of files whose batch has been committed: ``delete``, or
+    ``archive`` below the folder of that name.  Files go while later batches run, so the
+    last ones go when the stream is started again.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("cleanSource", clean)
+    return parse_access((reader.option("sourceArchiveDir", archive) if archive else reader).text(folder))
 
 
 def flush(records: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -36,12 +42,12 @@ def flush(records: DataFrame, apply: Callable[[DataFrame], None], checkpoint: st
 
 def _newest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
     """The last version of a merged table and the version that holds each bucket."""
-    try:
-        listed = spark.read.parquet(f"{path}/versions")
-    except AnalysisException:
-        return 0, {}
-    rows = listed.where(F.col("v") == listed.agg(F.max("v")).first()[0]).collect()
-    return rows[0]["v"], {r["bucket"]: r["at"] for r in rows}
+    numbers = sorted((int(n[2:]) for n in children(spark, f"{path}/versions") if n.startswith("v=")), reverse=True)
+    for v in numbers:
+        if "_SUCCESS" in children(spark, f"{path}/versions/v={v}"):
+            rows = spark.read.schema("bucket int, at int").parquet(f"{path}/versions/v={v}").collect()
+            return v, {r["bucket"]: r["at"] for r in rows}
+    return 0, {}
 
 
 def _folders(path: str, marks: dict[int, int]) -> list[str]:
@@ -59,8 +65,8 @@ def merge_into(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Callab
     """An ``apply`` that keeps note_id, seen in buckets by a hash of the note; ``current`` reads them.
 
     A batch rewrites only the buckets that it touches, and counts when its list of
-    buckets is written.  Folders that the newest list does not name may be removed
-    when nobody reads them.  ``buckets`` is fixed for the life of the table.
+    buckets is written.  ``expire`` removes what the newest list does not name.
+    ``buckets`` is fixed for the life of the table.
     """
 
     def apply(seen: DataFrame) -> None:
@@ -79,3 +85,21 @@ def merge_into(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Callab
         new.unpersist()
 
     return apply
+
+
+def expire(spark: SparkSession, path: str) -> int:
+    """Remove the folders and lists of a merged table that its newest list does not name; how many went.
+
+    Nobody may be reading an older state.  Without a whole list nothing is removed.
+    """
+    version, marks = _newest(spark, path)
+    if not version:
+        return 0
+    old = [f"{path}/versions/{n}" for n in children(spark, f"{path}/versions") if n != f"v={version}"]
+    for n in children(spark, f"{path}/rows"):
+        held = [f"{path}/rows/{n}/{b}" for b in children(spark, f"{path}/rows/{n}") if b.startswith("bucket=")]
+        named = [f for f in held if f"v={marks.get(int(f.rsplit('=', 1)[1]))}" == n]
+        old += [f for f in held if f not in named] if named else [f"{path}/rows/{n}"]
+    for folder in old:
+        remove(spark, folder)
+    return len(old)

@@ -110,3 +110,47 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     assert len(list((tmp_path / "rows" / "v=2").glob("bucket=*"))) <= 2 and not (tmp_path / "rows" / "v=3").exists()
     got = {r.note_id: r.seen.day for r in access.current(spark, str(tmp_path)).collect()}
     assert got == {f"n{i}": 9 if i == 3 else 5 for i in range(40)}
+
+
+def test_flush_again_after_a_crash(spark, tmp_path):
+    """A batch that was applied but not committed comes again and does no harm; cleaned files and old versions go."""
+    src, out, done = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "done")
+    put(tmp_path, "in/0.jsonl", json.dumps({"ts": "2024-01-01T00:00:00", "kind": "get", "ids": ["a", "b"]}))
+    merge, calls = access.merge_into(spark, out, 4), []
+
+    def crashes(seen):
+        merge(seen)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    records = lambda: access.stream(spark, src, 1, "archive", done)
+    with pytest.raises(Exception, match="lost"):
+        access.flush(records(), crashes, str(tmp_path / "cp")).awaitTermination()
+    for i in range(1, 5):
+        put(tmp_path, f"in/{i}.jsonl", json.dumps({"ts": f"2024-01-0{i + 1}T00:00:00", "kind": "get", "ids": ["a", f"n{i}"]}))
+        access.flush(records(), crashes, str(tmp_path / "cp")).awaitTermination()
+        access.expire(spark, out)
+    got = {r.note_id: str(r.seen) for r in access.current(spark, out).collect()}
+    assert got == {"a": "2024-01-05", "b": "2024-01-01"} | {f"n{i}": f"2024-01-0{i + 1}" for i in range(1, 5)} and len(calls) >= 6
+    assert len(list((tmp_path / "out/versions").iterdir())) == 1
+    folders = [b for v in (tmp_path / "out/rows").iterdir() for b in v.iterdir() if b.name.startswith("bucket=")]
+    assert len(folders) <= 4
+    moved = [p.name for p in (tmp_path / "done").rglob("*.jsonl")] if (tmp_path / "done").exists() else []
+    assert len(moved) + len(list((tmp_path / "in").glob("*.jsonl"))) == 5 and moved
+    assert access.expire(spark, str(tmp_path / "none")) == 0
+
+
+def test_lines_of_large_documents(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 < 2, "hot.md").otherwise(F.concat(F.lit("in/p"), F.col("id") % 5, F.lit(".md"))).alias("path"), (3000 - F.col("id")).alias("entry"), F.when(F.col("id") != 7, F.concat(F.lit("line é "), "id")).alias("line"))
+    put(tmp_path, "docs/in/p0.md", "old")
+    assert sinks.write_lines(rows.repartition(5), root) == 6
+    for path, lines in rows.toPandas().sort_values("entry").groupby("path"):
+        assert (tmp_path / "docs" / path).read_text(encoding="utf-8") == "".join(f"{x or ''}\n" for x in lines.line)
+    assert not [p for p in (tmp_path / "docs").rglob(".*")]
+    bad = rows.withColumn("line", F.when(F.col("path") == "in/p1.md", F.raise_error(F.lit("no")).cast("string")).otherwise("x"))
+    with pytest.raises(Exception):
+        sinks.write_lines(bad, root)
+    assert (tmp_path / "docs/hot.md").read_text(encoding="utf-8").startswith("line é 2998\n")
+    assert sinks.write_lines(rows.limit(0), root) == 0
