@@ -5,14 +5,14 @@ and the fold to notes.  ``same`` names the note fields in which a hit must equal
 query (type and scope, say): both halves meet on these, so a query is compared with its
 own part of the corpus only.  Further filters are a map in the query's row.
 
-Vectors meet as matrix products of blocks; a hot value of the ``same`` fields is dealt to
-as many blocks as its rows need.  Words meet on (term, ``same``).  Statistics are of the
-whole corpus.  Results are those of ``hybrid.search`` without hops.
+Vectors and texts meet in blocks: matrix products of the ones, sums over shared terms of
+the others; a hot value of the ``same`` fields is dealt to as many blocks as its rows need,
+and only pools leave a block.  Statistics are of the whole corpus.  Results are those of ``hybrid.search`` without hops.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,13 +22,14 @@ from ..config import CONFIDENCE, Maintenance, Retrieval
 from ..functions.text import TOKEN, fold, tokens
 from . import filters as flt
 from .hybrid import DEAD_PENALTY, pool_size
-from .lexical import idf, posted, term_score
+from .lexical import K1, B, idf, posted, term_counts
 from .vector import NOISE_DIGITS, _best, _unit
 from ..workspace import cut
 
 FILTERS = "map<string,array<string>>"
-#: Queries and vectors of one block.
+#: Queries and vectors of one block, and queries and texts.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+TEXT_QUERIES, TEXT_ROWS = 256, 4096
 #: Note fields that filters look at.
 FIELDS = (*flt.SCALARS, "tags")
 
@@ -71,63 +72,107 @@ def _mask(allowed: dict | None, notes: pd.DataFrame) -> np.ndarray:
     return ok
 
 
-def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequence[str] = (), query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
-    """query_id, chunk_id, cos: each query's ``pool`` most similar chunks that pass its filters, those above zero.
-
-    ``vectors`` has chunk_id, embedding and the note's ``FIELDS``, ``queries`` query_id,
-    embedding, filters and the ``same`` columns.  A null in a ``same`` column finds nothing.
-    """
+def _blocks(asked: DataFrame, held: DataFrame, same: Sequence[str], query_block: int, row_block: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks dealt to blocks (``_x``, ``_y``) of their ``same`` values; a hot value has as many as its rows need."""
     keys = list(same)
-    asked, held = queries.where("embedding is not null"), vectors.where("embedding is not null")
-    blocks = lambda df, name, size: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    many, rows = blocks(asked, "_nx", query_block), blocks(held, "_ny", row_block)
-    sizes = many.join(rows, keys) if keys else many.join(rows)
+    count = lambda df, name, size: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    many, rows = count(asked, "_nx", query_block), count(held, "_ny", row_block)
+    sizes = cut(many.join(rows, keys) if keys else many.join(rows))
     deal = lambda df, key, own, own_n, other, other_n: (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes))).withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("_nx", "_ny")
-    left = deal(asked.select("query_id", "embedding", "filters", *keys), "query_id", "_x", "_nx", "_y", "_ny")
-    left = left.toDF(*left.columns)  # queries may be rows of the corpus
-    right = deal(held.select("chunk_id", "embedding", *FIELDS, *[k for k in keys if k not in FIELDS]), "chunk_id", "_y", "_ny", "_x", "_nx")
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, cos double"
+    left = deal(asked, "query_id", "_x", "_nx", "_y", "_ny")
+    return left.toDF(*left.columns), deal(held, "chunk_id", "_y", "_ny", "_x", "_nx")  # queries may be rows of the corpus
+
+
+def _masked(scores: np.ndarray, asked: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+    """``scores`` (queries by chunks), zero where a chunk does not pass a query's filters."""
+    masks: dict[str, np.ndarray] = {}
+    for i, allowed in enumerate(asked.filters):
+        mark = repr(sorted((k, list(v)) for k, v in dict(allowed or {}).items()))
+        if mark not in masks:
+            masks[mark] = _mask(allowed, found)
+        scores[i, ~masks[mark]] = 0.0
+    return scores
+
+
+def _pools(left: DataFrame, right: DataFrame, same: Sequence[str], pool: int, name: str, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """query_id, chunk_id and the score ``name``: each query's ``pool`` best chunks over its blocks, those above zero."""
+    schema = f"query_id {left.schema['query_id'].dataType.simpleString()}, chunk_id {right.schema['chunk_id'].dataType.simpleString()}, {name} double"
 
     def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": found.chunk_id[:0], "cos": np.array([], np.float64)})
         if not len(asked) or not len(found):
-            return none
-        cos = _unit(asked.embedding) @ _unit(found.embedding).T
-        masks: dict[str, np.ndarray] = {}
-        for i, allowed in enumerate(asked.filters):
-            mark = repr(sorted((k, list(v)) for k, v in dict(allowed or {}).items()))
-            if mark not in masks:
-                masks[mark] = _mask(allowed, found)
-            cos[i, ~masks[mark]] = 0.0
+            return pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": found.chunk_id[:0], name: np.array([], np.float64)})
         ids = found.chunk_id.to_numpy()
-        at, best = _best(cos, ids, pool)
-        out = pd.DataFrame({"query_id": np.repeat(asked.query_id.to_numpy(), at.shape[1]), "chunk_id": ids[at].ravel(), "cos": best.ravel()})
-        return out[out.cos.round(NOISE_DIGITS) > 0]
+        at, best = _best(_masked(score(asked, found), asked, found), ids, pool)
+        out = pd.DataFrame({"query_id": np.repeat(asked.query_id.to_numpy(), at.shape[1]), "chunk_id": ids[at].ravel(), name: best.ravel()})
+        return out[out[name].round(NOISE_DIGITS) > 0]
 
-    best = left.groupBy(*keys, "_x", "_y").cogroup(right.groupBy(*keys, "_x", "_y")).applyInPandas(meet, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "chunk_id"))
+    best = left.groupBy(*same, "_x", "_y").cogroup(right.groupBy(*same, "_x", "_y")).applyInPandas(meet, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(name), "chunk_id"))
     return best.withColumn("_r", rank).where(F.col("_r") <= pool).drop("_r")
 
 
-def sparse_pools(index: DataFrame, fields: DataFrame, queries: DataFrame, pool: int, n: int, words: int, same: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
+def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequence[str] = (), query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """query_id, chunk_id, cos: each query's ``pool`` most similar chunks that pass its filters, those above zero.
+
+    ``vectors`` has chunk_id, embedding and the note's ``FIELDS``, ``queries`` query_id,
+    embedding, filters and the ``same`` columns.  A null in a ``same`` column finds nothing.
+    """
+    asked = queries.where("embedding is not null").select("query_id", "embedding", "filters", *same)
+    held = vectors.where("embedding is not null").select("chunk_id", "embedding", *dict.fromkeys((*FIELDS, *same)))
+    left, right = _blocks(asked, held, same, query_block, row_block)
+    return _pools(left, right, same, pool, "cos", lambda a, b: _unit(a.embedding) @ _unit(b.embedding).T)
+
+
+def bags(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, length, terms, tfs of each row's text: its distinct tokens as hashes, and how often each occurs."""
+    words = rows.select(*keys, tokens(F.col("text")).alias("_t"))
+    counted = words.select(*keys, F.size("_t").alias("length"), term_counts(F.col("_t")).alias("_c"))
+    return counted.select(*keys, "length", F.transform("_c", lambda c: F.xxhash64(c["term"])).alias("terms"), F.transform("_c", lambda c: c["tf"]).alias("tfs"))
+
+
+def _bm25(average: float) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
+    """Scores of all chunks of a block for all of its queries: term by term, weights of queries times weights of chunks."""
+
+    def score(asked: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+        flat = lambda column, kind: np.concatenate([np.asarray(x, kind) for x in column]) if len(column) else np.zeros(0, kind)
+        owners = lambda column: np.repeat(np.arange(len(column)), [len(x) for x in column])
+        known, q_term = np.unique(flat(asked.terms, np.int64), return_inverse=True)
+        q_weight, q_of = flat(asked.weights, np.float64), owners(asked.terms)
+        terms, tf, c_of = flat(found.terms, np.int64), flat(found.tfs, np.float64), owners(found.terms)
+        scores = np.zeros((len(asked), len(found)))
+        if not len(known) or not len(terms):
+            return scores
+        at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        held = known[at] == terms
+        at, tf, c_of = at[held], tf[held], c_of[held]
+        length = found.length.to_numpy(np.float64)[c_of]
+        c_weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+        by_q, by_c = np.argsort(q_term, kind="stable"), np.argsort(at, kind="stable")
+        q_edges = np.searchsorted(q_term[by_q], np.arange(len(known) + 1))
+        c_edges = np.searchsorted(at[by_c], np.arange(len(known) + 1))
+        for t in np.flatnonzero(np.diff(c_edges)).tolist():
+            q, c = by_q[q_edges[t] : q_edges[t + 1]], by_c[c_edges[t] : c_edges[t + 1]]
+            scores[np.ix_(q_of[q], c_of[c])] += np.outer(q_weight[q], c_weight[c])
+        return scores
+
+    return score
+
+
+def sparse_pools(held: DataFrame, queries: DataFrame, df: DataFrame, pool: int, n: int, words: int, same: Sequence[str] = (), query_block: int = TEXT_QUERIES, row_block: int = TEXT_ROWS) -> DataFrame:
     """query_id, chunk_id, score: each query's ``pool`` best chunks by BM25 that pass its filters.
 
-    ``index`` is the postings (chunk_id, length, term, tf, the ``same`` columns) of ``n``
-    chunks with ``words`` tokens in all, ``fields`` (chunk_id, the ``FIELDS``) of those
-    chunks.  Postings are shuffled once; how many chunks hold a term is counted before
-    that, from ``counted`` (term) if these are the same postings by a shorter way.
+    ``held`` is the ``bags`` (chunk_id, length, terms, tfs) of ``n`` chunks with ``words``
+    tokens in all, beside their note's ``FIELDS``; ``df`` (term, _df) says how many chunks
+    hold each term.  Terms meet as 64-bit hashes, block by block; a chunk is shuffled as
+    one row and its scores never are, but for the pools.
     """
     keys = list(same)
-    asked = queries.select("query_id", *keys, F.explode(terms_of(F.col("text"))).alias("term")).groupBy("query_id", *keys, "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
-    df = (index if counted is None else counted).groupBy("term").agg(F.count("*").alias("_df")).join(wanted, "term").drop("_asked")
-    asked = cut(asked.join(df, "term"))
-    weight = term_score(idf(F.lit(float(n)), F.col("_df")), F.col("tf"), F.col("length"), F.lit(words / n if n else 1.0))
-    met = index.join(asked, ["term", *keys])
-    sums = met.groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
-    placed = sums.join(fields.select("chunk_id", *FIELDS), "chunk_id").join(queries.select("query_id", "filters"), "query_id").where(passes(F.col("filters")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return placed.select("query_id", "chunk_id", "score", rank.alias("_r")).where(F.col("_r") <= pool).drop("_r")
+    each = queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weighed = each.join(df, "term").select("query_id", F.struct(F.xxhash64("term").alias("t"), (idf(F.lit(float(n)), F.col("_df")) * F.col("times")).alias("w")).alias("p"))
+    own = weighed.groupBy("query_id").agg(F.collect_list("p").alias("p")).select("query_id", F.col("p.t").alias("terms"), F.col("p.w").alias("weights"))
+    asked = cut(queries.select("query_id", "filters", *keys).join(own, "query_id"))
+    left, right = _blocks(asked, held, same, query_block, row_block)
+    return _pools(left, right, same, pool, "score", _bm25(words / n if n and words else 1.0))
 
 
 def fuse_pools(dense: DataFrame, sparse: DataFrame, weights: Retrieval = Retrieval()) -> DataFrame:
@@ -159,19 +204,19 @@ def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     if "filters" not in queries.columns:
         queries = queries.withColumn("filters", F.lit(None).cast(FILTERS))
     held = chunks.select("chunk_id", "note_id", "embedding") if vectors is None else chunks.select("chunk_id", "note_id").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
-    fields = held.join(notes.select("note_id", *dict.fromkeys((*FIELDS, *same))), "note_id")
-    keys = ["note_id", *same]
-    if index is not None:
-        placed = index[0].join(chunks.select("chunk_id", "note_id").join(notes.select(*keys), "note_id").drop("note_id"), "chunk_id") if same else index[0]
-        index, counted = (placed, *index[1:]), index[0].select("term")
-    else:
-        rows = chunks.select("chunk_id", "note_id", "text")
-        made = posted(rows.join(notes.select(*keys), "note_id") if same else rows, ["chunk_id", *same])
-        counted = posted(rows, ["chunk_id"]).select("term")
-        index = (made, *chunks.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first())
+    fields = notes.select("note_id", *dict.fromkeys((*FIELDS, *same)))
     pool = pool_size(k)
-    dense = dense_pools(fields, queries, pool, same)
-    sparse = sparse_pools(index[0], fields, queries, pool, index[1], index[2], same, counted)
+    dense = dense_pools(held.join(fields, "note_id"), queries, pool, same)
+    if index is None:
+        df = posted(chunks, ["chunk_id"]).groupBy("term").agg(F.count("*").alias("_df"))
+        n, words = chunks.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()
+        texts = bags(chunks, ["chunk_id", "note_id"])
+    else:
+        rows, n, words = index
+        df = rows.groupBy("term").agg(F.count("*").alias("_df"))
+        texts = rows.groupBy("chunk_id", "length").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "tf")).alias("p"))
+        texts = texts.select("chunk_id", "length", F.col("p.t").alias("terms"), F.col("p.tf").alias("tfs")).join(chunks.select("chunk_id", "note_id"), "chunk_id")
+    sparse = sparse_pools(texts.join(fields, "note_id").drop("note_id"), queries, df, pool, n, words, same)
     found = fuse_pools(dense, sparse, settings).join(chunks.select("chunk_id", "note_id", "ordinal"), "chunk_id")
     folded = found.groupBy("query_id", "note_id").agg(F.max("score").alias("score"), F.max_by("chunk_id", F.struct("score", -F.col("ordinal"))).alias("best_chunk"), F.max("cos").alias("similarity"))
     live = notes.select("note_id", flt.live(F.col("status")).alias("_live"))
