@@ -1,8 +1,4 @@
 """Columns of the tables that operators exchange, as DDL."""
 
-NOTES = "note_id string, path string, type string, scope string, status string, confidence string, title string, agent string, profile string, source string, tags array<string>, supersedes array<string>, evidence string, created date, modified date, last_accessed date, last_tested date, read_only boolean, body string"
-CHUNKS = "note_id string, ordinal int, heading_path array<string>, raw_text string"
-VECTORS = "id string, embedding array<double>"
-EDGES = "source string, target string, relation string, origin string"
 ACCESS = "ts string, kind string, ids array<string>"
 LINKS = "a string, b string, relation string, created string, agent string"
