@@ -48,8 +48,8 @@ _LIKE = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:[.,:·_-]|[(\[{]\x20?(?:dot|DOT|\.)\x20?[)\]}]|\x20dot\x20)\x20?[0-9]{1,3}+){3}(?![0-9])",
     "number": r"(?:\+|(?<![0-9+]))\(?[0-9](?:[\x20().·/_ ‑-]{0,3}+[0-9]){6,24}+(?![0-9])",
-    "run": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}+[0-9])[A-Za-z0-9_+/=-]{16,200}+(?![A-Za-z0-9_+/=-])",
-    "named": r"(?<=(?:password|passwd|pwd|secret|token|key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})(?![\"'])[^\s\"',;]{6,200}+",
+    "run": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
+    "named": r"(?<=(?:password|passwd|pwd|secret|token|key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})(?![\"'])[^\s\"',;]{6,}+",
 }
 #: Kinds that a generator's spans may be.
 _PROPOSES = {"email": ("email",), "ip": ("ip",), "number": ("card", "phone"), "run": ("secret",), "named": ("secret",)}

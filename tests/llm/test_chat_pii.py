@@ -183,6 +183,23 @@ def test_long_texts_take_no_square_time(spark):
     assert time.time() - began < 120
 
 
+def test_secrets_of_any_length(spark):
+    """Keys of hundreds and thousands of characters are found whole."""
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPabcdefghijkmnp23456789") for _ in range(n))
+    parts = (key(20), key(320), key(80))
+    texts = [f"set token: {'.'.join(parts)} here", f'use token = "{key(320)}" now', f"the password: {key(1000)}", f"api key = {key(5000)} end", " ".join(["plain words of a text"] * 50)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    proposed = docs.select("doc_id", *[pii.find(F.col("text"), pii._LIKE[g], F.lit(True)).alias(g) for g in ("run", "named")]).collect()
+    longest = {r.doc_id: max((s.end - s.start for g in ("run", "named") for s in r[g]), default=0) for r in proposed}
+    assert longest[0] == 422 and longest[1] == 320 and longest[2] == 1000 and longest[3] == 5000 and longest[4] == 0
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(docs)).collect()}
+    for i in range(4):
+        spans = [x.split(":") for x in found[i].split(",") if x.startswith("secret")]
+        assert max((int(b) - int(a) for _, a, b in spans), default=0) >= 320, (i, found[i])
+    assert found[4] == ""
+
+
 def test_added_spans_keep_clear_of_base_spans(spark):
     span = "array<struct<start:int,rank:bigint,kind:string,end:int>>"
     rng = random.Random(8)
