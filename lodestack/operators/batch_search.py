@@ -22,14 +22,14 @@ from ..config import CONFIDENCE, Maintenance, Retrieval
 from ..functions.text import TOKEN, fold, tokens
 from . import filters as flt
 from .hybrid import DEAD_PENALTY, pool_size
-from .lexical import K1, B, idf, posted, term_counts
+from .lexical import K1, B, idf, term_counts
 from .vector import NOISE_DIGITS, _best, _unit
 from ..workspace import cut
 
 FILTERS = "map<string,array<string>>"
 #: Queries and vectors of one block, and queries and texts.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
-TEXT_QUERIES, TEXT_ROWS = 256, 4096
+TEXT_QUERIES, TEXT_ROWS = 1024, 8192
 #: Note fields that filters look at.
 FIELDS = (*flt.SCALARS, "tags")
 
@@ -162,13 +162,13 @@ def sparse_pools(held: DataFrame, queries: DataFrame, df: DataFrame, pool: int,
     """query_id, chunk_id, score: each query's ``pool`` best chunks by BM25 that pass its filters.
 
     ``held`` is the ``bags`` (chunk_id, length, terms, tfs) of ``n`` chunks with ``words``
-    tokens in all, beside their note's ``FIELDS``; ``df`` (term, _df) says how many chunks
+    tokens in all, beside their note's ``FIELDS``; ``df`` (t, _df) says how many chunks
     hold each term.  Terms meet as 64-bit hashes, block by block; a chunk is shuffled as
     one row and its scores never are, but for the pools.
     """
     keys = list(same)
-    each = queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = each.join(df, "term").select("query_id", F.struct(F.xxhash64("term").alias("t"), (idf(F.lit(float(n)), F.col("_df")) * F.col("times")).alias("w")).alias("p"))
+    each = queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).select("query_id", F.xxhash64("term").alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("times"))
+    weighed = each.join(df, "t").select("query_id", F.struct("t", (idf(F.lit(float(n)), F.col("_df")) * F.col("times")).alias("w")).alias("p"))
     own = weighed.groupBy("query_id").agg(F.collect_list("p").alias("p")).select("query_id", F.col("p.t").alias("terms"), F.col("p.w").alias("weights"))
     asked = cut(queries.select("query_id", "filters", *keys).join(own, "query_id"))
     left, right = _blocks(asked, held, same, query_block, row_block)
@@ -208,12 +208,13 @@ def search_many(chunks: DataFrame, notes: DataFrame, queries: DataFrame, k: int
     pool = pool_size(k)
     dense = dense_pools(held.join(fields, "note_id"), queries, pool, same)
     if index is None:
-        df = posted(chunks, ["chunk_id"]).groupBy("term").agg(F.count("*").alias("_df"))
-        n, words = chunks.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()
-        texts = bags(chunks, ["chunk_id", "note_id"])
+        # texts are cut into tokens once
+        texts = cut(bags(chunks, ["chunk_id", "note_id"]))
+        df = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("_df"))
+        n, words = texts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     else:
         rows, n, words = index
-        df = rows.groupBy("term").agg(F.count("*").alias("_df"))
+        df = rows.groupBy(F.xxhash64("term").alias("t")).agg(F.count("*").alias("_df"))
         texts = rows.groupBy("chunk_id", "length").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "tf")).alias("p"))
         texts = texts.select("chunk_id", "length", F.col("p.t").alias("terms"), F.col("p.tf").alias("tfs")).join(chunks.select("chunk_id", "note_id"), "chunk_id")
     sparse = sparse_pools(texts.join(fields, "note_id").drop("note_id"), queries, df, pool, n, words, same)
