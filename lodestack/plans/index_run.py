@@ -86,7 +86,7 @@ def chunked(files: DataFrame, provider: Provider, settings: Mapping[str, Any]) -
     return embed.add_embeddings(made, "text", provider)
 
 
-def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provider: Provider | None = None, settings: Mapping[str, Any] | None = None, full: bool = False, partial: bool = False) -> Report:
+def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provider: Provider | None = None, settings: Mapping[str, Any] | None = None, full: bool = False, partial: bool = False, hashes: Reader | None = None) -> Report:
     """Bring the index below ``path`` up to the listing (path, mtime, perhaps read_only).
 
     ``settings`` (``embedding``: the provider's name, ``max_chars``, ``overlap``,
@@ -94,6 +94,7 @@ def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provide
     ``full``, make it anew.  A ``partial`` listing names notes to be read whatever their
     mtime, and says nothing of others.  Of files with one name the first path counts.  With
     ``NO_VECTORS`` chunks have null embeddings and are found by their words alone.
+    ``hashes`` gives (path, hash) where a source can hash contents without moving them.
     """
     settings = {"embedding": "hash-256", **(settings or {})}
     mark = index.fingerprint(settings)
@@ -110,7 +111,7 @@ def run(spark: SparkSession, path: str, listed: DataFrame, read: Reader, provide
     if not fresh and not n("new") + n("maybe") + n("removed"):
         return Report(False, 0, 0, n("unchanged"), 0, ambiguous, 0, 0, stored.chunks)
     some = looked.where("look in ('new', 'maybe')")
-    hashed = read(some.select("path")).select("path", index.content_hash(F.col("content")).alias("hash"))
+    hashed = hashes(some.select("path")) if hashes else read(some.select("path")).select("path", index.content_hash(F.col("content")).alias("hash"))
     seen = cut(some.join(hashed, "path").withColumn("same", F.coalesce(F.col("hash") == F.col("old_hash"), F.lit(False)) & (F.lit(not partial))))
     todo = seen.where("not same")
     chunks = chunked(read(todo.select("path")), provider or (lambda: embed.hash_vectors), settings)

@@ -317,7 +317,7 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk.chunk_notes(tb.notes(spark, sf, busy=True))
+    return chunk.chunk_notes(tb.titled(tb.bodies(spark, sf, busy=True)))
 
 
 @query()

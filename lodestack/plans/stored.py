@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as vx
-from ..operators import adjacency, batch_search, ivf, segments
+from ..operators import adjacency, batch_search, index, ivf, segments
 from ..workspace import fresh_path
 from . import index_run, queries as core, tables as tb
 from .registry import query
@@ -27,7 +27,9 @@ def _version(spark: SparkSession, sf: str, second: bool) -> DataFrame:
 def _run(spark: SparkSession, sf: str, path: str, second: bool) -> index_run.Report:
     notes = _version(spark, sf, second)
     read = lambda paths: notes.join(paths, "path", "left_semi").select("path", "content")
-    return index_run.run(spark, path, notes.select("path", "mtime"), read, index_run.NO_VECTORS)
+    hashed = notes.select("path", index.content_hash(F.col("content")).alias("hash"))
+    hashes = lambda paths: hashed.join(paths, "path", "left_semi")
+    return index_run.run(spark, path, notes.select("path", "mtime"), read, index_run.NO_VECTORS, hashes=hashes)
 
 
 _STATE = """SELECT 'd' || doc_id AS note_id, 'vault/Semantic/d' || doc_id || '.md' AS path,

@@ -31,12 +31,26 @@ def notes(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
 
     ``busy`` deals them to all cores, for work that costs more than a shuffle.
     """
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    docs = spread(docs) if busy else docs
+    labels = table(spark, sf_dir, "labels")
+    return _as_notes(bodies(spark, sf_dir, busy).join(labels, "doc_id", "left"))
+
+
+def bodies(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """The documents; what needs no labels reads these, so that no text is shuffled to them."""
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs) if busy else docs
+
+
+def titled(docs: DataFrame) -> DataFrame:
+    """note_id, scope, title, tags, body of documents."""
+    return docs.select(F.concat(F.lit("d"), "doc_id").alias("note_id"), F.col("source").alias("scope"), F.substring("text", 1, 40).alias("title"), F.array("lang", "source").alias("tags"), F.col("text").alias("body"))
+
+
+def _as_notes(docs: DataFrame) -> DataFrame:
     d, day = F.col("doc_id"), lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % n).cast("int"))
     kind = F.when(F.col("lang") == "en", "semantic").when(F.col("lang") == "de", "procedural").when(F.col("lang") == "fr", "episodic").otherwise("research")
     status = F.when(F.col("toxic") == 1, "arquivado").when(F.col("quality") == 0, "deprecado").otherwise("ativo")
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.select(
         "doc_id",
         F.concat(F.lit("d"), d).alias("note_id"),
         F.concat(F.lit("vault/"), "source", F.lit("/d"), d, F.lit(".md")).alias("path"),
