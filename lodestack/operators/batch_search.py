@@ -120,7 +120,8 @@ def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequenc
     asked = queries.where("embedding is not null").select("query_id", "embedding", "filters", *same)
     held = vectors.where("embedding is not null").select("chunk_id", "embedding", *dict.fromkeys((*FIELDS, *same)))
     left, right = _blocks(asked, held, same, query_block, row_block)
-    return _pools(left, right, same, pool, "cos", lambda a, b: _unit(a.embedding) @ _unit(b.embedding).T)
+    # rounded, so that copies tie wherever in a block they lie
+    return _pools(left, right, same, pool, "cos", lambda a, b: np.round(_unit(a.embedding) @ _unit(b.embedding).T, NOISE_DIGITS))
 
 
 def bags(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
