@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def discounts(level: DataFrame, *extra: Column) -> DataFrame:
-    """lang, d1, d2, d3 (and ``extra`` aggregates) of a level's counts ``n``."""
-    n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == i), F.lit(1)) for i in (1, 2, 3, 4))
+def estimates(*counts: Column) -> list[Column]:
+    """d1, d2, d3 from the numbers of rows that were seen once, twice, three and four times."""
+    n1, n2, n3, n4 = (F.greatest(c, F.lit(1)) for c in counts)
     y = n1 / (n1 + 2 * n2)
     keep = lambda d, most: F.least(F.greatest(d, F.lit(0.05)), F.lit(most))
-    return level.groupBy("lang").agg(keep(1 - 2 * y * n2 / n1, 0.95).alias("d1"), keep(2 - 3 * y * n3 / n2, 1.95).alias("d2"), keep(3 - 4 * y * n4 / n3, 2.95).alias("d3"), *extra)
+    return [keep(1 - 2 * y * n2 / n1, 0.95).alias("d1"), keep(2 - 3 * y * n3 / n2, 1.95).alias("d2"), keep(3 - 4 * y * n4 / n3, 2.95).alias("d3")]
+
+
+def discounts(level: DataFrame, *extra: Column) -> DataFrame:
+    """lang, d1, d2, d3 (and ``extra`` aggregates) of a level's counts ``n``."""
+    return level.groupBy("lang").agg(*estimates(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]), *extra)
 
 
 def discount(n: Column) -> Column:

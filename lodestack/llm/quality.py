@@ -1,10 +1,10 @@
 """Quality rules with n-gram perplexity.
 
 A modified Kneser-Ney model of each language is counted by Spark over all documents
-(``wordmodel``: whole words, below them 5-grams of their unfolded code points in
-``spelling``) and kept as sorted hash arrays in shared files, which the tasks that score
-map into memory.  What is counted and stored grows with the corpus; the documents are
-scanned once for the counts and once for the scores, whatever the languages.
+(``bigrams``: word bigrams, below them whole words in ``wordmodel`` and 5-grams of their
+unfolded code points in ``spelling``) and kept as sorted hash arrays in shared files, which
+the tasks that score map into memory.  What is counted and stored grows with the corpus;
+the documents are scanned for words, for bigrams and for the scores, whatever the languages.
 
 A document is rejected if its log-perplexity (mean over its words) leaves its
 language's band around the median of the language's documents.  The band's unit is a
@@ -22,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import wordmodel
+from . import bigrams, wordmodel
 from .grams import gram_hashes, word_hashes
 from .hash_store import HashStore, Lookup
 from .workspace import column_of, free_name, join_small, small, table
 
 #: Shares of the good documents that fitted bands let go below and above, and how many labels a language needs for bands of its own.
 LET_GO, LEAST_LABELS = (0.001, 0.004), 100
+#: Words of the n-grams that judge documents.
+ORDER = 2
 #: Distinct words that are looked up at once.
 LOOKED_UP = 1 << 20
 _SYMBOLS = np.zeros(256, bool)
@@ -132,9 +134,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", _row_key().alias("row_key"), "text", lang_key().alias("lang"))
 
 
-def score(docs: DataFrame, map_rows: int = wordmodel.MAP_ROWS) -> DataFrame:
-    """doc_id, row_key, lang, the base counts, n, logp and logp2 for each row of ``docs`` (doc_id, text, lang)."""
+def score(docs: DataFrame, map_rows: int = wordmodel.MAP_ROWS, order: int = 1) -> DataFrame:
+    """doc_id, row_key, lang, the base counts, n, logp and logp2 for each row of ``docs`` (doc_id, text, lang).
+
+    ``order`` 1 scores words by themselves (joined beyond ``map_rows`` of them), 2 each
+    word after the one before it.
+    """
     texts = _texts(docs)
+    if order == 2:
+        keyed = texts.withColumn("text_key", bigrams.text_key())
+        return keyed.mapInArrow(bigrams.scorer(bigrams.model(texts), base_counts, (*BASE, *SUMS)), _SCORED)
+    if order != 1:
+        raise ValueError(f"order {order} is neither 1 nor 2")
     model = wordmodel.model(texts, map_rows)
     if isinstance(model, HashStore):
         return texts.mapInArrow(_scorer(model), _SCORED)
@@ -154,7 +165,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def assess(docs: DataFrame, width: float = 6.0, labels: DataFrame | None = None, map_rows: int = wordmodel.MAP_ROWS) -> DataFrame:
+def assess(docs: DataFrame, width: float = 6.0, labels: DataFrame | None = None, map_rows: int = wordmodel.MAP_ROWS, order: int = ORDER) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, lang): doc_id, row_key, the base counts, base_failed, log_perplexity, low, high, kept.
 
     With ``labels`` (doc_id, quality) a language's band lets ``LET_GO`` of its good
@@ -164,7 +175,7 @@ def assess(docs: DataFrame, width: float = 6.0, labels: DataFrame | None = None,
     their length.  ``row_key`` hashes doc_id, text and lang.  Repeated rows are judged
     alike; other columns are ignored.
     """
-    judged = _bands(table(score(docs, map_rows), "scored"), width, labels)
+    judged = _bands(table(score(docs, map_rows, order), "scored"), width, labels)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "row_key", *BASE, "base_failed", "log_perplexity", "low", "high", "kept")
 

@@ -7,8 +7,8 @@ a word that no other document holds falls to the 5-gram model of spellings, mixe
 and half with one more kind of word in the vocabulary, so that no single word costs more
 than that.
 
-Longer word n-grams are not counted: most of them are of one document, say nothing once
-that is left out, and shuffling them takes several times the input.
+These are the lowest levels of ``bigrams``, where a word's count is the number of different
+words before it.
 
 All documents are counted and the vocabulary grows with them.  Words and spellings are
 tables and then sorted hash arrays in shared files; the driver sees file names only.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import spelling
 from .grams import mix, word_hashes
 from .hash_store import HashStore, Lookup, write_store
-from .kneser import discount, discounts
+from .kneser import discount, discounts, probability
 from .spelling import SCALE, by_lang, lang_hash, pieces
 from .workspace import join_small, table
 
@@ -89,18 +89,28 @@ def _spell(store: HashStore):
     return spell
 
 
-def word_logps(words: DataFrame) -> DataFrame:
-    """(key, logp in millionths) of every word of ``words`` (lang, word, n), one document left out."""
+def spelt_words(words: DataFrame) -> DataFrame:
+    """``words`` (lang, word, n) by key, with the log-probabilities (millionths) of their spellings, also without one observation."""
     store = spelling.store(spelling.train(words.select("lang", "word")))
-    rows = words.mapInArrow(_spell(store), "lang string, key long, n long, spelt long, spelt_out long")
-    stats = join_small(words, discounts(words), "lang").groupBy("lang", "d1", "d2", "d3").agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"))).alias("left"), F.count("*").alias("types"))
-    rows = join_small(rows, stats, "lang")
+    return words.mapInArrow(_spell(store), "lang string, key long, n long, spelt long, spelt_out long")
+
+
+def word_level(rows: DataFrame) -> DataFrame:
+    """``rows`` (lang, n, spelt, spelt_out and others) with ``logp`` and ``logp_out`` (one observation left out), in millionths."""
+    stats = join_small(rows, discounts(rows), "lang").groupBy("lang", "d1", "d2", "d3").agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"))).alias("left"), F.count("*").alias("types"))
+    placed = join_small(rows, stats, "lang")
     n, rest, total = F.col("n"), F.col("n") - 1, F.greatest(F.col("total") - 1, F.lit(1))
-    spelt = F.when(rest > 0, F.col("spelt")).otherwise(F.col("spelt_out"))
-    novel = (F.exp(spelt / SCALE) + 1 / (F.col("types") + 1)) / 2
+    novel = lambda spelt: (F.exp(spelt / SCALE) + 1 / (F.col("types") + 1)) / 2
+    below = novel(F.when(rest > 0, F.col("spelt")).otherwise(F.col("spelt_out")))
     mass = F.col("left") - discount(n) + discount(rest)
-    p = F.greatest(rest - discount(rest), F.lit(0.0)) / total + F.when(mass > 0, mass / total).otherwise(1.0) * novel
-    return rows.select("key", F.round(F.log(p) * SCALE).cast("int").alias("logp"))
+    p_out = F.greatest(rest - discount(rest), F.lit(0.0)) / total + F.when(mass > 0, mass / total).otherwise(1.0) * below
+    logs = [F.round(F.log(p) * SCALE).cast("int").alias(c) for c, p in (("logp", probability(novel(F.col("spelt")))), ("logp_out", p_out))]
+    return placed.select(*rows.columns, *logs)
+
+
+def word_logps(words: DataFrame) -> DataFrame:
+    """(key, logp in millionths) of every word of ``words`` (lang, word, n), one document left out."""
+    return word_level(spelt_words(words)).select("key", F.col("logp_out").alias("logp"))
 
 
 def squared(logp: np.ndarray) -> np.ndarray:
