@@ -173,7 +173,7 @@ def assess(docs: DataFrame, width: float = 6.0, labels: DataFrame | None = None,
     too few in all, ``width`` holds.  Null text counts as empty and fails the base
     rules; a null language is a language of its own.  Texts are read whole, whatever
     their length.  ``row_key`` hashes doc_id, text and lang.  Repeated rows are judged
-    alike; other columns are ignored.
+    alike; other columns are ignored.  ``order`` and ``map_rows`` are those of ``score``.
     """
     judged = _bands(table(score(docs, map_rows, order), "scored"), width, labels)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
