@@ -80,11 +80,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
-def write_store(rows: DataFrame, kind: str, file_rows: int = FILE_ROWS, n: int | None = None) -> HashStore:
-    """Write ``rows`` (key long, then number columns without nulls; keys distinct; ``n`` of them) as sorted arrays."""
+def write_store(rows: DataFrame, kind: str, file_rows: int = FILE_ROWS, n: int | None = None, folder: str | None = None) -> HashStore:
+    """Write ``rows`` (key long, then number columns without nulls; keys distinct; ``n`` of them) as sorted arrays, to ``folder`` (of ``new_folder``)."""
     n = rows.count() if n is None else n
     bits = max(1, (n // file_rows).bit_length())
-    folder = new_folder(rows.sparkSession, kind)
+    folder = folder or new_folder(rows.sparkSession, kind)
     bucket = F.shiftrightunsigned("key", 64 - bits)
     dealt = rows.repartition(1 << bits, bucket).sortWithinPartitions(bucket, "key")
     files = dealt.mapInArrow(_writer(folder, rows.columns, bits), "bucket long, path string, n long").collect()

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bigrams, wordmodel
-from .grams import gram_hashes, word_hashes
+from .grams import Words, gram_hashes, mix, word_hashes, words_of
 from .hash_store import HashStore, Lookup
-from .workspace import column_of, free_name, join_small, small, table
+from .workspace import column_of, free_name, join_small, shuffles_dropped, small, table
 
 #: Shares of the good documents that fitted bands let go below and above, and how many labels a language needs for bands of its own.
 LET_GO, LEAST_LABELS = (0.001, 0.004), 100
@@ -33,31 +33,53 @@ LET_GO, LEAST_LABELS = (0.001, 0.004), 100
 ORDER = 2
 #: Distinct words that are looked up at once.
 LOOKED_UP = 1 << 20
-_SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[list(b"#*$%&|<>")] = True
-_SPACES = [9, 10, 11, 12, 13, 32]
+_SYMBOLS = "#*$%&|<>"
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def base_counts(text: str, words: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text (``words``: its word hashes)."""
-    data, points = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _points(text)
-    words = word_hashes(text) if words is None else words
-    spaces = int(np.isin(points, _SPACES).sum())
+def _dup_lines(text: str) -> int:
+    if "\n" not in text:
+        return 0
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    repeated = 0
-    if len(words) > 5:
-        _, at, counts = np.unique(gram_hashes(words, 5), return_inverse=True, return_counts=True)
-        again = np.flatnonzero(counts[at] > 1)
-        if len(again):
-            change = np.zeros(len(words) + 1, np.int64)
-            np.add.at(change, again, 1)
-            np.add.at(change, again + 5, -1)
-            repeated = int((np.cumsum(change) > 0).sum())
-    return len(words), len(points) - spaces, int(_SYMBOLS[data].sum()), len(lines) - len(set(lines)), repeated
+    return len(lines) - len(set(lines))
+
+
+def _repeat_words(words: Words) -> np.ndarray:
+    """For each text, its words in windows of five that the text holds twice or more."""
+    n, counts = len(words.hashes), words.counts
+    out = np.zeros(n + 1, np.int64)
+    if n > 5:
+        text = np.repeat(np.arange(len(counts)), counts)
+        inside = np.flatnonzero(text[4:] == text[:-4])
+        # a text's windows meet their like of the same text only
+        grams = mix(gram_hashes(words.hashes, 5)[inside] ^ mix(text[inside].view(np.uint64) + np.uint64(1)))
+        ordered = np.sort(grams)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):
+            # most windows differ from all of these in their leading bits
+            leading = np.zeros(1 << 18, bool)
+            leading[twice >> np.uint64(46)] = True
+            maybe = np.flatnonzero(leading[grams >> np.uint64(46)])
+            again = inside[maybe[twice[np.minimum(np.searchsorted(twice, grams[maybe]), len(twice) - 1)] == grams[maybe]]]
+            change = np.bincount(again, minlength=n + 1) - np.bincount(again + 5, minlength=n + 1)
+            np.cumsum(np.cumsum(change[:-1]) > 0, out=out[1:])
+    ends = np.cumsum(counts)
+    return out[ends] - out[ends - counts]
+
+
+def base_columns(texts: list[str], words: Words) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts (``words``: theirs)."""
+    ends = np.cumsum(words.counts)
+    held = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    points = np.fromiter(map(len, texts), np.int64, len(texts))
+    symbols, lines = ([f(t) for t in texts] for f in (lambda t: sum(map(t.count, _SYMBOLS)), _dup_lines))
+    # bytes of words less those that continue a code point
+    chars = held[ends] - held[ends - words.counts] - (words.sizes - points)
+    return [words.counts, chars, np.array(symbols, np.int64), np.array(lines, np.int64), _repeat_words(words)]
+
+
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
+    """The same of one text."""
+    return tuple(int(c[0]) for c in base_columns([text], words_of([text])))
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,7 +104,7 @@ def _scorer(store: HashStore | None, pairs: bool = False):
                 whole = batch.column("text")[i].as_py() or ""
                 own = word_hashes(whole)
                 if not pairs:
-                    base.append(base_counts(whole, own))
+                    base.append(base_counts(whole))
                 parts = wordmodel.spaced(whole)
                 unique, n = np.unique(wordmodel.word_keys(own if parts is whole else word_hashes(parts), lang), return_counts=True)
                 keys.append(unique)
@@ -143,7 +165,7 @@ def score(docs: DataFrame, map_rows: int = wordmodel.MAP_ROWS, order: int = 1) -
     texts = _texts(docs)
     if order == 2:
         keyed = texts.withColumn("text_key", bigrams.text_key())
-        return keyed.mapInArrow(bigrams.scorer(bigrams.model(texts), base_counts, (*BASE, *SUMS)), _SCORED)
+        return keyed.mapInArrow(bigrams.scorer(bigrams.model(texts), base_columns, (*BASE, *SUMS)), _SCORED)
     if order != 1:
         raise ValueError(f"order {order} is neither 1 nor 2")
     model = wordmodel.model(texts, map_rows)
@@ -175,7 +197,8 @@ def assess(docs: DataFrame, width: float = 6.0, labels: DataFrame | None = None,
     their length.  ``row_key`` hashes doc_id, text and lang.  Repeated rows are judged
     alike; other columns are ignored.  ``order`` and ``map_rows`` are those of ``score``.
     """
-    judged = _bands(table(score(docs, map_rows, order), "scored"), width, labels)
+    with shuffles_dropped(docs.sparkSession):
+        judged = _bands(table(score(docs, map_rows, order), "scored"), width, labels)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "row_key", *BASE, "base_failed", "log_perplexity", "low", "high", "kept")
 

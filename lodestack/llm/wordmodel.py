@@ -18,7 +18,6 @@ Beyond ``MAP_ROWS`` words, documents' words are joined to the table instead.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import spelling
-from .grams import mix, word_hashes
+from .grams import distinct, mix, word_hashes, words_of
 from .hash_store import HashStore, Lookup, write_store
 from .kneser import discount, discounts, probability
 from .spelling import SCALE, by_lang, lang_hash, pieces
@@ -34,8 +33,8 @@ from .workspace import join_small, table
 
 #: Words that tasks map as arrays of 16 bytes a row; more are joined.
 MAP_ROWS = 500_000_000
-#: Distinct words that a task holds while it counts.
-HELD_WORDS = 400_000
+#: Words that a task holds while it counts, distinct in each of some texts of ``_CHARS`` characters; rows that it returns at once.
+HELD_WORDS, _CHARS, _ROWS = 1 << 21, 1 << 20, 1 << 16
 #: Thai to Burmese, Khmer, CJK and kana.
 _UNSPACED = re.compile("([฀-໿က-႟ក-៿⺀-鿿豈-﫿\U00020000-\U0003ffff])")
 
@@ -45,23 +44,51 @@ def spaced(text: str) -> str:
     return text if text.isascii() else _UNSPACED.sub(r" \1 ", text)
 
 
+def _distinct(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words of some texts once each: keys, how many texts hold them, a text that does, and the words."""
+    words = words_of([spaced(t) for t in texts])
+    text = np.repeat(np.arange(len(texts)), words.counts)
+    salts = {lang: lang_hash(lang) for lang in set(langs)}
+    keys, first, back = distinct(salted(words.hashes, np.array([salts[lang] for lang in langs], np.uint64)[text]))
+    held = np.sort(text * len(keys) + back)
+    n = np.bincount(held[np.diff(held, prepend=-1) > 0] % max(1, len(keys)), minlength=len(keys))
+    order = np.argsort(first)
+    keys, n, first = keys[order], n[order], first[order]
+    start, size = words.start[first], (words.end - words.start)[first]
+    ends = np.cumsum(size)
+    data = words.data[np.repeat(start - ends + size, size) + np.arange(size.sum())]
+    return keys, n, text[first], pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, Counter] = {}
+    held: list[tuple] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        for lang, count in totals.items():
-            words, n = list(count), list(count.values())
-            for a, b in pieces(words):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a)), pa.array(words[a:b], pa.binary()).cast(pa.string()), pa.array(n[a:b], pa.int64())], ["lang", "word", "n"])
-        totals.clear()
+        keys, n, langs, words = (list(c) for c in zip(*held, strict=True))
+        held.clear()
+        _, first, back = distinct(np.concatenate(keys))
+        n = np.bincount(back, np.concatenate(n)).astype(np.int64)
+        lang, words = pa.concat_arrays(langs), pa.concat_arrays(words)
+        order = np.argsort(first)  # as in the texts, which compresses better
+        first, n = first[order], n[order]
+        for a in range(0, len(first), _ROWS):
+            rows = pa.array(first[a : a + _ROWS])
+            yield pa.RecordBatch.from_arrays([lang.take(rows), words.take(rows).cast(pa.large_string()).cast(pa.string()), pa.array(n[a : a + _ROWS])], ["lang", "word", "n"])
 
     for batch in batches:
-        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-            # bytes are split at ASCII white space only
-            totals.setdefault(lang, Counter()).update(set(spaced(text.as_py() or "").encode("utf-8", "surrogatepass").split()))
-            if sum(map(len, totals.values())) > HELD_WORDS:
-                yield from settle()
-    yield from settle()
+        langs, first, size = batch.column("lang").to_pylist(), 0, 0
+        texts: list[str] = []
+        for i in range(batch.num_rows):
+            texts.append(batch.column("text")[i].as_py() or "")
+            size += len(texts[-1])
+            if size >= _CHARS or i + 1 == batch.num_rows:
+                keys, n, text, words = _distinct(texts, langs[first : i + 1])
+                held.append((keys, n, batch.column("lang").take(pa.array(text + first)), words))
+                first, size, texts = i + 1, 0, []
+                if sum(len(h[0]) for h in held) > HELD_WORDS:
+                    yield from settle()
+    if held:
+        yield from settle()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -70,8 +97,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return table(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
 
 
+def salted(hashes: np.ndarray, salts: np.ndarray | np.uint64) -> np.ndarray:
+    """Keys of word hashes in languages (``lang_hash``)."""
+    return mix(hashes * np.uint64(0xD1342543DE82EF95) + salts)
+
+
 def word_keys(hashes: np.ndarray, lang: str) -> np.ndarray:
-    return mix(hashes * np.uint64(0xD1342543DE82EF95) + lang_hash(lang))
+    return salted(hashes, lang_hash(lang))
 
 
 def _spell(store: HashStore):

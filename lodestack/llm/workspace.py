@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,15 +36,52 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, or below that of ``scratch``."""
+    return f"{(spark.sparkContext.getLocalProperty(_SCRATCH) or shared_dir(spark)).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+#: A thread's own folder for fresh paths.
+_SCRATCH = "lodestack.scratch"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Fresh paths that are taken meanwhile, and what was written there, go in the end."""
+    folder, sc = fresh_path(spark, "scratch"), spark.sparkContext
+    before = sc.getLocalProperty(_SCRATCH)
+    sc.setLocalProperty(_SCRATCH, folder)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty(_SCRATCH, before)
+        store, at = open_fs(folder)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir(at)
+
+
+def table(df: DataFrame, kind: str = "table", path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet below the shared folder (to ``path``) and read back; smaller than a checkpoint."""
+    path = path or fresh_path(df.sparkSession, kind)
+    dense = {"compression": "zstd"} if df.sparkSession.sparkContext.getLocalProperty(_SCRATCH) else {}
+    df.write.parquet(path, **dense)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(df: DataFrame, kind: str = "table") -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read back; smaller than a checkpoint."""
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a query's shuffle files go when it ends, and do not wait for the driver to collect garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 #: Rows that a table of statistics may have to be broadcast.

@@ -93,3 +93,40 @@ def test_words_in_reverse_order_go(spark):
     judged = q.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels=labels).where("not base_failed").collect()
     good, bad = ([r.kept for r in judged if (r.doc_id >= 1000) == x] for x in (False, True))
     assert len(good) > 280 and sum(good) >= len(good) - 3 and len(bad) == 10 and not any(bad)
+
+
+def test_only_what_is_read_later_stays_on_disk(spark):
+    """Tables that a later one has used up go at once, as do shuffle files; the session's settings stay."""
+    import os
+
+    from lodestack.llm import workspace
+
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(some_texts())], "doc_id long, text string, lang string")
+    folder = workspace.shared_dir(spark).removeprefix("file:")
+    kinds = lambda: collections.Counter(f.rsplit("-", 5)[0].rsplit("-", 1)[0] if "-" in f else f for f in os.listdir(folder))
+    before, setting = kinds(), spark.conf.get(workspace._CLEANUP, None)
+    assert q.assess(docs).count() == docs.count()
+    new = kinds() - before
+    assert new["words"] == new["pairs"] == new["scored"] == 1
+    assert not set(new) & {"grams", "spelt", "spelling", "numbers", "bigrams", "table", "discounts", "scratch"}
+    assert spark.conf.get(workspace._CLEANUP, None) == setting and spark.sparkContext.getLocalProperty(workspace._SCRATCH) is None
+
+
+def test_scores_take_bounded_memory(spark):
+    """What a task holds beyond its rows does not follow their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestack.llm import bigrams as b
+
+    texts = some_texts()
+    model = b.model(spark.createDataFrame([(t, "=x") for t in texts], "text string, lang string"))
+    many = [" ".join(random.Random(i).sample(texts, 40)) for i in range(1500)]
+    known = pa.array([0] * len(many), pa.int64())
+    batch = pa.RecordBatch.from_arrays([known, known, pa.array(many), pa.array(["=x"] * len(many)), known], ["doc_id", "row_key", "text", "lang", "text_key"])
+    tracemalloc.start()
+    rows = sum(r.num_rows for r in b.scorer(model, q.base_columns, (*q.BASE, *q.SUMS))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(many) and sum(len(t.split()) for t in many) > 600_000 and peak < 64e6

@@ -27,6 +27,18 @@ def test_base_counts(text):
     assert q.base_counts(text) == base(text)
 
 
+def test_base_counts_of_many_texts_at_once():
+    """Texts that stand side by side share no word, window or line."""
+    from lodestack.llm.grams import word_hashes, words_of
+
+    rng = random.Random(3)
+    texts = ["", "a b c", "a b c d e", "a b c d e", " \n", "x" * 70_000 + " y", "é#ü\né#ü\x1f a"]
+    texts += ["".join(rng.choice("ab#é \n\t") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    words = words_of(texts)
+    assert list(zip(*(c.tolist() for c in q.base_columns(texts, words)), strict=True)) == [base(t) for t in texts]
+    assert words.hashes.tolist() == [h for t in texts for h in word_hashes(t).tolist()]
+
+
 def corpus(spark):
     rng = random.Random(2)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200)]
