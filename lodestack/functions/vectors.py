@@ -29,6 +29,11 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """Each value rounded half away from zero, signs kept, those of zeros too: what is small and negative becomes -0.0, as in SQL."""
+    return F.transform(doubles(v), lambda x: F.signum(x) * F.round(F.abs(x), digits))
+
+
 def is_valid(v: Column, dim: int) -> Column:
     """Of the right width and finite."""
     bad = F.exists(doubles(v), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

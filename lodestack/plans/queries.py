@@ -135,7 +135,7 @@ def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vec_id AS id, [round(x / sqrt(list_dot_product(e, e)), 6) for x in e] AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).select("id", F.transform(vx.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return _vectors(spark, sf).select("id", vx.rounded(vx.l2_normalize(F.col("embedding")), 6).alias("unit"))
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 3 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 4")
