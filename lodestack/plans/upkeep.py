@@ -276,4 +276,4 @@ def dates_read(spark: SparkSession, sf: str) -> DataFrame:
 def vectors_validated(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as they are stored: checked and scaled."""
     v = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vx.doubles(F.col("embedding")).alias("embedding"))
-    return vector.validated(v, 64).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("unit"))
+    return vector.validated(v, 64).select("id", vx.rounded(F.col("embedding"), 6).alias("unit"))

@@ -8,7 +8,7 @@ from oracle import SF
 from lodestack.plans import queries as core
 
 
-@pytest.mark.parametrize("name", ["l2_normalize"])
+@pytest.mark.parametrize("name", ["l2_normalize", "vectors_validated"])
 def test_small_negative_values_keep_their_sign(spark, tmp_path, name):
     """Equality to the bit, which tells -0.0 from 0.0."""
     at = tmp_path / "embeddings.parquet"
