@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CONFIDENCE, Maintenance, Retrieval
-from ..functions.text import TOKEN, fold, tokens
+from ..functions.text import TOKEN, fold
 from . import filters as flt
 from .hybrid import DEAD_PENALTY, pool_size
-from .lexical import K1, B, idf, term_counts
+from .lexical import K1, B, bags, idf
 from .vector import NOISE_DIGITS, _best, _unit
 from ..workspace import cut
 
@@ -124,13 +124,6 @@ def dense_pools(vectors: DataFrame, queries: DataFrame, pool: int, same: Sequenc
     return _pools(left, right, same, pool, "cos", lambda a, b: np.round(_unit(a.embedding) @ _unit(b.embedding).T, NOISE_DIGITS))
 
 
-def bags(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys``, length, terms, tfs of each row's text: its distinct tokens as hashes, and how often each occurs."""
-    words = rows.select(*keys, tokens(F.col("text")).alias("_t"))
-    counted = words.select(*keys, F.size("_t").alias("length"), term_counts(F.col("_t")).alias("_c"))
-    return counted.select(*keys, "length", F.transform("_c", lambda c: F.xxhash64(c["term"])).alias("terms"), F.transform("_c", lambda c: c["tf"]).alias("tfs"))
-
-
 def _bm25(average: float) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
     """Scores of all chunks of a block for all of its queries: term by term, weights of queries times weights of chunks."""
 

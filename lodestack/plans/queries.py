@@ -10,6 +10,7 @@ from ..config import Maintenance
 from ..functions import dates as dx, text as tx, vectors as vx
 from ..operators import boards, chunk, embed, filters, gate, graph, hybrid, index, lexical, maintain, vector, write
 from ..sources.notes import file_names
+from ..workspace import cut
 from . import tables as tb, upkeep  # noqa: F401  (registers its queries)
 from .consolidate import consolidate
 from .registry import ORACLES, QUERIES, TODAY, TODAY_SQL as _TODAY, query  # noqa: F401
@@ -83,10 +84,11 @@ SELECT query_id, chunk_id, round(score, 6) AS score FROM s QUALIFY row_number()
 @query(tb.views("tok") + _BATCH)
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth document's whole text as a query against all documents."""
-    docs = _docs(spark, sf)
-    words = docs.select("chunk_id", tx.tokens(F.col("text")).alias("t"))
-    asked = words.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.explode("t").alias("term"))
-    found = lexical.bm25_batch(lexical.postings(docs), words.select("chunk_id", F.size("t").alias("length")), asked, 5)
+    # texts are cut into tokens once
+    held = cut(lexical.bags(_docs(spark, sf), ["chunk_id"]))
+    asked = held.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "terms", F.col("tfs").alias("times"))
+    n, words = held.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    found = lexical.bm25_bags(held, asked, n, words, 5)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
