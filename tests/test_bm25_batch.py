@@ -59,7 +59,7 @@ def test_blocks_of_any_size_find_the_same(spark, blocks):
     assert lexical.bm25_bags(held, asked.limit(0), n, words, 4, *blocks).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_batch"])
+@pytest.mark.parametrize("name", ["bm25_batch", "bm25_batch_whole"])
 def test_scores_are_not_joined(spark, name):
     """Pairs of queries and chunks never become rows of a join: only the best of each task leave it."""
     plan = core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
