@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 DIM = 256
 _WORD = re.compile(r"\w+")
@@ -24,8 +24,8 @@ def _signed_places(features: list[str], dim: int) -> tuple[np.ndarray, np.ndarra
     return (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """A unit vector of signed feature counts for each text; zero for a text without words.
+def hash_counts(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """Signed feature counts of each text, whole numbers; zero for a text without words.
 
     Features are the words in lower case, pairs of neighbouring words, and the
     character trigrams of the words joined by blanks.
@@ -56,7 +56,12 @@ def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
         if len(codes):
             three = [(int(c) >> 42, int(c) >> 21 & 0x1FFFFF, int(c) & 0x1FFFFF) for c in codes]
             add([f"c:{chr(a)}{chr(b)}{chr(c)}" for a, b, c in three], which, inside[at])
-    vectors = out.reshape(len(texts), dim)
+    return out.reshape(len(texts), dim)
+
+
+def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """``hash_counts`` of each text as a unit vector."""
+    vectors = hash_counts(texts, dim)
     size = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
@@ -109,6 +114,21 @@ def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
     return embed_with(rows, lambda: lambda texts: hash_vectors(texts, dim), HASHED_TOGETHER)
 
 
+def hash_counted(rows: DataFrame, text: str, dim: int = DIM) -> DataFrame:
+    """``rows`` with the column ``text`` replaced by ``embedding``, its feature counts: a fraction of the unit vector's bytes, at the same angles."""
+    kept = [c for c in rows.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at in range(0, part.num_rows, HASHED_TOGETHER):
+                piece = part.slice(at, HASHED_TOGETHER)
+                counts = hash_counts([t or "" for t in piece.column(text).to_pylist()], dim)
+                ends = pa.array(np.arange(len(counts) + 1) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.ListArray.from_arrays(ends, pa.array(counts.reshape(-1).astype(np.int32)))], [*kept, "embedding"])
+
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in kept], StructField("embedding", ArrayType(IntegerType()))]))
+
+
 def http_provider(post: Callable[[list[str]], list[dict]]) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """A provider over a service that answers with {index, embedding} in any order; ``post`` does the call."""
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CONFIDENCE, Maintenance, Manifest
 from ..functions.arrays import let
 from .chunk import FENCE
-from .embed import hash_embed
+from .embed import hash_counted
 from .vector import similar_pairs
-from ..workspace import cut
+from ..workspace import cut, shuffles_dropped
 
 KNOWLEDGE = ("semantic", "procedural")
 ATOMIC_CHARS, ATOMIC_SECTIONS = 4000, 2
@@ -72,27 +72,39 @@ def _shared_rules(manifest: Manifest, level: str = "reject") -> list[tuple[str,
     ]
 
 
-def near_copies(notes: DataFrame, threshold: float = Maintenance().dedup_similarity) -> DataFrame:
+def near_copies(notes: DataFrame, threshold: float = Maintenance().dedup_similarity, every: bool = True) -> DataFrame:
     """(note_id, similar) of knowledge notes with an earlier near copy in the same type and scope.
 
     ``notes`` has note_id, seq (unique; stored notes have lower ones than candidates),
     type, scope and body.  Near means a cosine above the threshold.  ``similar`` names
-    the first note of each distinct body, so that many copies do not become many pairs.
+    the first note of each distinct body, so that many copies do not become many pairs;
+    without ``every`` it names one of them, which the rule of the gate is content with.
+
+    Bodies are read once, where they lie: what goes on is their hash and feature counts.
     """
     known = notes.where(F.col("type").isin(*KNOWLEDGE) & (_text("scope") != ""))
     known = known.select("note_id", F.col("seq").cast("long").alias("seq"), "type", _text("scope").alias("scope"), F.coalesce("body", F.lit("")).alias("body"))
-    known = known.withColumn("hash", F.sha2("body", 256))
-    # written out, so that a join with a hot body's copies shuffles both sides plainly; bodies stay behind
-    first = cut(known.groupBy("type", "scope", "hash").agg(F.min("seq").alias("first")))
-    placed = known.drop("body").join(first, ["type", "scope", "hash"])
-    heads = known.join(first.select(F.col("first").alias("seq")), "seq").select(F.col("seq").alias("id"), "note_id", "type", "scope", F.col("body").alias("text"))
-    vectors = hash_embed(heads.select("id", "text")).join(heads.select("id", F.concat_ws("/", "type", "scope").alias("kind"), "scope"), "id")
-    pairs = similar_pairs(vectors.select("id", "kind", "scope", "embedding"), threshold).select("a", "b")
-    both = pairs.union(pairs.select("b", "a")).toDF("first", "other")
-    near = placed.select("note_id", "seq", "first").join(both, "first").where("other < seq").select("note_id", F.col("other").alias("id"))
-    near = near.union(placed.where("seq > first").select("note_id", F.col("first").alias("id")))
-    names = heads.select("id", F.col("note_id").alias("name"))
-    return near.join(names, "id").groupBy("note_id").agg(F.array_sort(F.collect_set("name")).alias("similar"))
+    with shuffles_dropped(notes.sparkSession):
+        known = cut(hash_counted(known.withColumn("hash", F.unhex(F.sha2("body", 256))), "body"))
+        # written out, so that a join with a hot body's copies shuffles both sides plainly
+        first = cut(known.groupBy("type", "scope", "hash").agg(F.min("seq").alias("first")))
+        placed = cut(known.drop("embedding").join(first, ["type", "scope", "hash"]).select("note_id", "seq", "first"))
+        names = placed.where("seq = first").select(F.col("seq").alias("id"), F.col("note_id").alias("name"))
+        heads = known.join(first.select(F.col("first").alias("seq")), "seq", "left_semi")
+        vectors = heads.select(F.col("seq").alias("id"), F.concat_ws("/", "type", "scope").alias("kind"), "scope", "embedding")
+        pairs = similar_pairs(cut(vectors), threshold, least=not every).select("a", "b")
+        if every:
+            both = pairs.union(pairs.select("b", "a")).toDF("first", "other")
+        else:  # a copy of an earlier body needs no other; what is left are first notes and those before them
+            both = pairs.groupBy("b").agg(F.min("a").alias("other")).select(F.col("b").alias("first"), "other")
+        near = (placed if every else placed.where("seq = first")).join(both, "first").where("other < seq").select("note_id", F.col("other").alias("id"))
+        near = near.union(placed.where("seq > first").select("note_id", F.col("first").alias("id")))
+        return cut(near.join(names, "id").groupBy("note_id").agg(F.array_sort(F.collect_set("name")).alias("similar")))
+
+
+def too_broad(body: Column) -> Column:
+    """Longer or of more sections than one matter takes."""
+    return (F.length(body) > ATOMIC_CHARS) | (top_sections(body) > ATOMIC_SECTIONS)
 
 
 def evaluate(candidates: DataFrame, manifest: Manifest, near: DataFrame | None = None) -> DataFrame:
@@ -101,15 +113,20 @@ def evaluate(candidates: DataFrame, manifest: Manifest, near: DataFrame | None =
     Candidates have note_id, type, scope, agent, profile, confidence, source, body,
     tags, keys, supersedes, evidence (arrays) and merge.  ``near`` is (note_id,
     similar): known notes above the duplicate threshold in the same type and scope.
+    Where ``broad`` (``too_broad``) is there, no body is needed.
     """
     knowledge = F.coalesce(F.col("type").isin(*KNOWLEDGE), F.lit(False))
+    # before the join, which then ships no body that nobody wants afterwards
+    given = "broad" in candidates.columns
+    if not given:
+        candidates = candidates.withColumn("broad", knowledge & too_broad(F.coalesce("body", F.lit(""))))
     if near is None:
         candidates = candidates.withColumn("similar", F.array().cast("array<string>"))
     else:
         candidates = candidates.join(near, "note_id", "left")
     evidence = has_content("evidence")
     decided = has_content("supersedes") | F.coalesce("merge", F.lit(False))
-    confidence, body = _text("confidence"), F.coalesce("body", F.lit(""))
+    confidence = _text("confidence")
     rules = [
         ("type_disabled", "reject", (F.col("type") == "research") & F.lit(not manifest.research_enabled)),
         *_shared_rules(manifest),
@@ -118,10 +135,11 @@ def evaluate(candidates: DataFrame, manifest: Manifest, near: DataFrame | None =
         ("evidence_missing", "reject", (F.col("type") == "procedural") & ~evidence),
         ("duplicate", "reject", knowledge & (F.size(F.coalesce("similar", F.array().cast("array<string>"))) > 0) & ~decided & (_text("scope") != "") & scope_fits(manifest)),
         ("reusable", "warn", knowledge),
-        ("atomic", "warn", knowledge & ((F.length(body) > ATOMIC_CHARS) | (top_sections(body) > ATOMIC_SECTIONS))),
+        ("atomic", "warn", knowledge & F.col("broad")),
         ("confidence_unverified", "reject" if manifest.reject_unverified else "warn", knowledge & (F.lower(confidence) == "high") & ~evidence),
     ]
     judged = candidates.withColumn("findings", _findings(rules))
+    judged = judged if given else judged.drop("broad")
     return judged.withColumn("accepted", ~F.exists("findings", lambda f: f["severity"] == "reject"))
 
 

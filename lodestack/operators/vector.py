@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine, is_valid, l2_normalize
+from ..workspace import cut, shuffles_dropped
 
 #: Queries in one broadcast or block; rows in one block of a search and of a pair search.
-QUERY_BLOCK, ROW_BLOCK, PAIR_BLOCK = 4096, 16384, 2048
+QUERY_BLOCK, ROW_BLOCK, PAIR_BLOCK = 4096, 16384, 8192
+#: Rows of a block that are compared with the other block at once, and how often a job of a pair search ships each row.
+PAIR_STRIP, SHIPPED = 1024, 4
 #: Digits of a cosine beyond which it depends on the order of its sum.
 NOISE_DIGITS = 12
 
@@ -94,35 +97,63 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, query_bloc
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK, least: bool = False) -> DataFrame:
     """a, b, kind, cos, same_scope for pairs of one kind with cosine above the threshold, a < b.
 
-    ``vectors`` is (id, kind, scope, embedding).  Rows of a kind are dealt to
-    blocks by hash and each two blocks meet in one task as a matrix product, so
-    only true pairs become rows and no kind has to fit in a task.
+    ``vectors`` is (id, kind, scope, embedding).  Rows of a kind are dealt to blocks by
+    hash and each two blocks meet in one task as a matrix product, so only true pairs
+    become rows and no kind has to fit in a task.  With ``least`` a task gives only the
+    pair of lowest a for each b.
+
+    Blocks meet in rounds: in round r each meets the one r places on.  A job takes as many
+    rounds as ship each row some ``SHIPPED`` times, its pairs are written and its shuffle
+    files go, so that disk grows with the rows and not with their square.
     """
-    counts = vectors.groupBy("kind").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = vectors.join(counts, vectors["kind"].eqNullSafe(counts["kind"])).drop(counts["kind"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    id_type = vectors.schema["id"].dataType.simpleString()
-
-    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.block == key[1]], rows[rows.block == key[2]]
+    spark = vectors.sparkSession
+    counts = cut(vectors.groupBy("kind").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    few = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    schema = f"a {vectors.schema['id'].dataType.simpleString()}, b {vectors.schema['id'].dataType.simpleString()}, kind {vectors.schema['kind'].dataType.simpleString()}, cos double, same_scope boolean"
+    names = ["a", "b", "kind", "cos", "same_scope"]
+
+    def pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame([], columns=names)]
         if len(left) and len(right):
-            unit = lambda r: np.stack(r.embedding.to_list()).astype(np.float64)
-            scale = lambda m: np.divide(m, n, out=np.zeros_like(m), where=n > 0) if (n := np.linalg.norm(m, axis=1, keepdims=True)) is not None else m
-            cos = scale(unit(left)) @ scale(unit(right)).T
-            i, j = np.nonzero(cos > threshold)
-            a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-            same = left.scope.to_numpy()[i] == right.scope.to_numpy()[j]
-            ordered = a < b
-            some = ordered if key[1] == key[2] else np.ones(len(a), bool)
-            found = {"a": np.where(ordered, a, b)[some], "b": np.where(ordered, b, a)[some], "cos": cos[i, j][some], "same_scope": same[some]}
-            return pd.DataFrame(found).assign(kind=key[0])[["a", "b", "kind", "cos", "same_scope"]]
-        return pd.DataFrame([], columns=["a", "b", "kind", "cos", "same_scope"])
-
-    return tiles.groupBy("kind", "x", "y").applyInPandas(pairs, f"a {id_type}, b {id_type}, kind {vectors.schema['kind'].dataType.simpleString()}, cos double, same_scope boolean")
+            other, ids, scopes = _unit(right.embedding).T, right.id.to_numpy(), right.scope.to_numpy()
+            for at in range(0, len(left), PAIR_STRIP):
+                strip = left.iloc[at : at + PAIR_STRIP]
+                cos = _unit(strip.embedding) @ other
+                i, j = np.nonzero(cos > threshold)
+                a, b = strip.id.to_numpy()[i], ids[j]
+                ordered = a < b
+                some = ordered if key[2] == 0 else np.ones(len(a), bool)
+                got = {"a": np.where(ordered, a, b)[some], "b": np.where(ordered, b, a)[some], "kind": key[0], "cos": cos[i, j][some], "same_scope": (strip.scope.to_numpy()[i] == scopes[j])[some]}
+                if some.any():
+                    found.append(pd.DataFrame(got))
+                if least and len(found) > 1:
+                    found = [found[0], pd.concat(found[1:]).sort_values("a", kind="stable").drop_duplicates("b")]
+        return pd.concat(found[1:]) if len(found) > 1 else found[0]
+
+    with shuffles_dropped(spark):
+        dealt = vectors.join(few.select(F.col("kind").alias("_k"), "blocks"), F.col("kind").eqNullSafe(F.col("_k"))).drop("_k")
+        dealt = cut(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+        rows = dict(counts.groupBy((F.col("blocks") / 2).cast("int")).agg(F.sum("_n")).collect())
+        jobs, shipped = [], 0
+        for r in range(max(rows, default=-1) + 1):
+            more = sum(n for last, n in rows.items() if last >= r)
+            if not jobs or shipped + 2 * more > SHIPPED * sum(rows.values()):
+                jobs, shipped = [*jobs, [r, r]], 0
+            jobs[-1][1], shipped = r, shipped + 2 * more
+        out = spark.createDataFrame([], schema)
+        for first, last in jobs:
+            half = (F.col("blocks") / 2).cast("int")
+            met = dealt.where(half >= first).withColumn("r", F.explode(F.sequence(F.lit(first), F.least(F.lit(last), half))))
+            # half way round each two blocks would meet twice
+            once = (F.col("r") == 0) | (F.col("r") * 2 != F.col("blocks")) | (F.col("x") < F.col("r"))
+            left = met.withColumn("x", F.col("block")).where(once).select("kind", "x", "r", "id", "scope", "embedding")
+            right = met.withColumn("x", F.pmod(F.col("block") - F.col("r"), F.col("blocks"))).where(once).select("kind", "x", "r", "id", "scope", "embedding")
+            right = right.toDF(*right.columns)
+            out = out.union(cut(left.groupBy("kind", "x", "r").cogroup(right.groupBy("kind", "x", "r")).applyInPandas(pairs, schema)))
+    return out
 
 
 def validated(vectors: DataFrame, dim: int) -> DataFrame:

@@ -479,8 +479,12 @@ _RULES = """SELECT note_id, unnest(list_filter([
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _proposed(tb.notes(spark, sf))
+
+
+def _proposed(notes: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    return tb.notes(spark, sf).withColumns({"source": F.lit("import"), "keys": none, "supersedes": none, "evidence": none, "merge": F.lit(False)})
+    return notes.withColumns({"source": F.lit("import"), "keys": none, "supersedes": none, "evidence": none, "merge": F.lit(False)})
 
 
 @query(f"WITH {_NOTES} {_RULES}")
@@ -502,8 +506,10 @@ def lint_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates in order of doc_id, each compared with those before it."""
-    c = _candidates(spark, sf)
-    return gate.evaluate(c, tb.MANIFEST, gate.near_copies(c.withColumn("seq", F.col("doc_id"))))
+    d = F.col("doc_id")
+    texts = tb.bodies(spark, sf).select(F.concat(F.lit("d"), d).alias("note_id"), d.alias("seq"), tb.type_of_language().alias("type"), F.col("source").alias("scope"), F.col("text").alias("body"))
+    brief = tb.brief_notes(spark, sf, broad=gate.too_broad(F.coalesce("text", F.lit(""))))
+    return gate.evaluate(_proposed(brief), tb.MANIFEST, gate.near_copies(texts, every=False))
 
 
 @query()

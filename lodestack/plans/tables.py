@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Agent, Frontmatter, Manifest, Scopes
 from ..operators.lexical import write_index
@@ -35,6 +35,12 @@ def notes(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     return _as_notes(bodies(spark, sf_dir, busy).join(labels, "doc_id", "left"))
 
 
+def brief_notes(spark: SparkSession, sf_dir: str, **taken: Column) -> DataFrame:
+    """``notes`` without bodies but with what is ``taken`` from ``text``, so that no text is shuffled to the labels."""
+    docs = bodies(spark, sf_dir).select("doc_id", "lang", "source", F.substring("text", 1, 40).alias("text"), *[c.alias(name) for name, c in taken.items()])
+    return _as_notes(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left"), *taken).drop("body")
+
+
 def bodies(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     """The documents; what needs no labels reads these, so that no text is shuffled to them."""
     docs = table(spark, sf_dir, "documents")
@@ -46,9 +52,9 @@ def titled(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("d"), "doc_id").alias("note_id"), F.col("source").alias("scope"), F.substring("text", 1, 40).alias("title"), F.array("lang", "source").alias("tags"), F.col("text").alias("body"))
 
 
-def _as_notes(docs: DataFrame) -> DataFrame:
+def _as_notes(docs: DataFrame, *more: str) -> DataFrame:
     d, day = F.col("doc_id"), lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % n).cast("int"))
-    kind = F.when(F.col("lang") == "en", "semantic").when(F.col("lang") == "de", "procedural").when(F.col("lang") == "fr", "episodic").otherwise("research")
+    kind = type_of_language()
     status = F.when(F.col("toxic") == 1, "arquivado").when(F.col("quality") == 0, "deprecado").otherwise("ativo")
     return docs.select(
         "doc_id",
@@ -67,9 +73,14 @@ def _as_notes(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("date").alias("last_accessed"),
         F.when(d % 4 != 0, day(250)).alias("last_tested"),
         F.col("text").alias("body"),
+        *more,
     )
 
 
+def type_of_language() -> Column:
+    return F.when(F.col("lang") == "en", "semantic").when(F.col("lang") == "de", "procedural").when(F.col("lang") == "fr", "episodic").otherwise("research")
+
+
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as accesses to the notes of their users' numbers."""
     e = table(spark, sf_dir, "events")
