@@ -162,8 +162,7 @@ def expand_batch(spark: SparkSession, sf: str) -> DataFrame:
     own = F.col("p_partkey").alias("query_id")
     parts = tb.table(spark, sf, "part").where("p_partkey % 100 = 0")
     seeds = parts.select(own, F.concat(F.lit("p"), "p_partkey").alias("note_id")).union(parts.select(own, F.concat(F.lit("s"), F.expr("p_partkey div 100 % 7 + 1"))))
-    found = adjacency.expand_stored(spark, _links(spark, sf), seeds, 2)
-    return found.groupBy("query_id", "hops").agg(F.count("*").alias("reached"), F.min(F.array_join("path", ">")).alias("least_path"))
+    return adjacency.reach_stored(spark, _links(spark, sf), seeds, 2)
 
 
 # --------------------------------------------------------------- inverted lists
