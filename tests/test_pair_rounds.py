@@ -40,7 +40,7 @@ def test_one_near_copy_is_enough(spark):
     assert got["n2"] == got["n4"] == ["n1"]
 
 
-@pytest.mark.parametrize("name", ["write_plan_near"])
+@pytest.mark.parametrize("name", ["write_plan_near", "gate_rules_near", "gate_totals_near"])
 def test_no_body_is_shuffled(spark, name):
     """Bodies are left behind before candidates meet labels and near copies."""
     assert "body#" not in core.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
